@@ -11,12 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalar import SESSIONS_PER_YEAR, ratio
+from tidegauge.functions.scalar import SESSIONS_PER_YEAR, ratio, spread
 
 YEAR, MONTH = 252, 22
-PRICE_FIELDS = ["price", "high52", "pct_off_high", "ytd", "ma20", "ma50", "ma200", "pct_vs_ma50",
-                "pct_vs_ma200", "above_ma200", "above_ma20", "mom_12m", "mom_1m", "vol_3m", "vol_1y"]
-
 
 def by_ticker():
     return Window.partitionBy("ticker").orderBy("d")
@@ -53,7 +50,7 @@ def series(bars: DataFrame) -> DataFrame:
     year = F.year("d")
     new_year = F.coalesce(year != F.year(F.lag("d").over(w)), F.lit(True))
     base = (
-        with_bars(bars)
+        with_bars(spread(bars, "ticker"))
         .withColumn("_year_base", F.when(new_year, F.col("close")))
         .withColumn("_ytd_base", F.last("_year_base", ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -80,10 +77,47 @@ def series(bars: DataFrame) -> DataFrame:
 
 
 def snapshot(bars: DataFrame) -> DataFrame:
-    """The last bar of every ticker with its technicals."""
-    last = F.lead("d").over(by_ticker()).isNull()
-    return series(bars).withColumn("_last", last).where("_last").select(
-        "ticker", F.col("d").alias("as_of"), "bar", *PRICE_FIELDS)
+    """The last bar of every ticker with its technicals.
+
+    Only the tail of each series matters here, so the trailing windows become conditional aggregates
+    over the distance from the last bar: one pass per ticker instead of one frame per row.
+    """
+    whole = Window.partitionBy("ticker")
+    tail = (
+        with_bars(bars)
+        .withColumn("_n", F.count("*").over(whole))
+        .withColumn("_last", F.max("d").over(whole))
+        .withColumn("_back", F.col("_n") - F.col("bar"))
+    )
+    back, close, n = F.col("_back"), F.col("close"), F.max("_n")
+
+    def mean(k):
+        return F.when(n >= k, F.avg(F.when(back < k, close)))
+
+    def vol(k):
+        return F.when(n > k, F.stddev_samp(F.when(back < k, F.col("log_ret")))
+                      * F.sqrt(F.lit(float(SESSIONS_PER_YEAR))))
+
+    p = F.col("price")
+    return (
+        tail.groupBy("ticker").agg(
+            F.max("_last").alias("as_of"), n.alias("bar"),
+            F.max(F.when(back == 0, close)).alias("price"),
+            F.max(F.when(back < YEAR, close)).alias("high52"),
+            F.min_by(F.when(F.year("d") == F.year("_last"), close),
+                     F.when(F.year("d") == F.year("_last"), F.col("d"))).alias("_ytd_base"),
+            mean(20).alias("ma20"), mean(50).alias("ma50"), mean(200).alias("ma200"),
+            F.max(F.when(back == YEAR, close)).alias("_c12"), F.max(F.when(back == MONTH, close)).alias("_c1"),
+            vol(63).alias("vol_3m"), vol(YEAR).alias("vol_1y"))
+        .select(
+            "ticker", "as_of", "bar", "price", "high52",
+            (p / F.col("high52") - 1).alias("pct_off_high"), (p / F.col("_ytd_base") - 1).alias("ytd"),
+            "ma20", "ma50", "ma200",
+            (p / F.col("ma50") - 1).alias("pct_vs_ma50"), (p / F.col("ma200") - 1).alias("pct_vs_ma200"),
+            (p >= F.col("ma200")).alias("above_ma200"), (p >= F.col("ma20")).alias("above_ma20"),
+            (p / F.col("_c12") - 1).alias("mom_12m"), (p / F.col("_c1") - 1).alias("mom_1m"),
+            "vol_3m", "vol_1y")
+    )
 
 
 def rsi(bars: DataFrame, *periods: int) -> DataFrame:
@@ -129,7 +163,7 @@ def rsi_series(bars: DataFrame, period: int = 14) -> DataFrame:
             out.iloc[period:] = (100 - 100 / (1 + gain / loss.where(loss > 0))).where(loss > 0, 100.0)
         return pd.DataFrame({"ticker": pdf["ticker"], "d": pdf["d"], "rsi": out})
 
-    result = bars.select("ticker", "d", "close").groupBy("ticker").applyInPandas(
+    result = spread(bars.select("ticker", "d", "close"), "ticker").groupBy("ticker").applyInPandas(
         smooth, "ticker string, d date, rsi double")
     return result.withColumn("rsi", F.when(~F.isnan("rsi"), F.col("rsi")))
 
