@@ -18,19 +18,22 @@ def usable_members(series: DataFrame, min_points: int = 2) -> DataFrame:
             .where(F.col("_n") >= min_points).select("grp", "ticker"))
 
 
-def common_dates(series: DataFrame, min_points: int = 2) -> DataFrame:
-    """Dates on which every member of the group has a close."""
-    members = usable_members(series, min_points)
-    width = members.groupBy("grp").agg(F.count("*").alias("_width"))
-    days = series.join(members, ["grp", "ticker"], "left_semi").groupBy("grp", "d").agg(F.count("*").alias("_n"))
-    return days.join(width, "grp").where(F.col("_n") == F.col("_width")).select("grp", "d")
+def align(series: DataFrame, min_points: int = 2) -> DataFrame:
+    """The rows of the members on the dates on which every member of the group has a close.
 
+    Both counts run over bounded partitions (days of a ticker, members on a day), so the rows are
+    carried along instead of being joined back; only the group width is a join, with one row a group.
+    """
+    per_member = F.count("*").over(Window.partitionBy("grp", "ticker"))
+    kept = series.withColumn("_points", per_member).where(F.col("_points") >= min_points)
+    width = usable_members(series, min_points).groupBy("grp").agg(F.count("*").alias("_width"))
+    on_day = F.count("*").over(Window.partitionBy("grp", "d"))
+    return (kept.withColumn("_n", on_day).join(width, "grp")
+            .where(F.col("_n") == F.col("_width")).drop("_points", "_n", "_width"))
 
-def align(series: DataFrame, min_points: int = 2) -> DataFrame:
-    """The rows of the members on their common dates."""
-    members = usable_members(series, min_points)
-    return (series.join(members, ["grp", "ticker"], "left_semi")
-            .join(common_dates(series, min_points), ["grp", "d"], "left_semi"))
+
+def common_dates(series: DataFrame, min_points: int = 2) -> DataFrame:
+    return align(series, min_points).select("grp", "d").distinct()
 
 
 def basket_index(series: DataFrame, weight: str | None = None) -> DataFrame:

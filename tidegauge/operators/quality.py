@@ -49,7 +49,7 @@ def integrity(quotes: DataFrame, as_of: Column, divergence: float = 0.03, stale_
         F.when(F.col("as_of").isNull(), F.lit("freshness unknown")),
         F.when(age > stale_days, F.lit("stale last bar")),
         F.when(moved > jump, F.lit("jump vs last scan"))))
-    return quotes.withColumn("price", final).withColumn("flags", flags)
+    return quotes.withColumns({"price": final, "flags": flags})
 
 
 def has_bad_data(flags: Column) -> Column:

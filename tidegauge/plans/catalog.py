@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices"]
+MODULES = ["prices", "evaluation"]
 
 
 def load() -> None:

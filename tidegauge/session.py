@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -36,3 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_KEY, scratch)
     return scratch
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a compact intermediate that several branches read, so that each of them starts from
+    files in the shared folder instead of from the raw tables. Survives the loss of executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
