@@ -19,6 +19,12 @@ def half_up(x: Column | str) -> Column:
     return F.floor(col(x) + F.lit(0.5)).cast("bigint")
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """Round to a number of decimals, halves of the binary value toward +infinity."""
+    scale = float(10 ** digits)
+    return F.floor(col(x) * scale + F.lit(0.5)) / F.lit(scale)
+
+
 def clamp(x: Column | str, low: float | Column, high: float | Column) -> Column:
     """Bound x to [low, high]; null stays null."""
     x = col(x)

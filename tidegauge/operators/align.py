@@ -41,9 +41,9 @@ def basket_index(series: DataFrame, weight: str | None = None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(1.0)
     positive = series.withColumn("_w", w.cast("double")).where(F.col("_w") > 0)
     rows = align(positive, min_points=1)
-    base = rows.groupBy("grp", "ticker").agg(
-        F.min_by("close", "d").alias("_base"), F.count("*").alias("_days"))
-    based = rows.join(base.where(F.col("_days") >= 2), ["grp", "ticker"])
+    member = Window.partitionBy("grp", "ticker")
+    based = (rows.withColumn("_base", F.first("close").over(member.orderBy("d")))
+             .withColumn("_days", F.count("*").over(member)).where(F.col("_days") >= 2))
     return based.groupBy("grp", "d").agg(
         (F.lit(100.0) * F.sum(F.col("_w") * F.col("close") / F.col("_base")) / F.sum("_w")).alias("value"))
 

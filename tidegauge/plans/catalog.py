@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "evaluation"]
+MODULES = ["prices", "evaluation", "themes"]
 
 
 def load() -> None:

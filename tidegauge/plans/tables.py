@@ -129,7 +129,12 @@ class Tables:
 
     @cached_property
     def theme_members(self) -> DataFrame:
-        return self.securities.select("theme", "ticker")
+        """A supplier belongs to its nation's theme, every third one to the next theme as well."""
+        k, n = F.col("s_suppkey"), F.col("s_nationkey")
+        themes = F.array_compact(F.array(n, F.when(k % 3 == 0, (n + 1) % 25)))
+        return self.read("supplier").select(
+            F.concat(F.lit("S"), k).alias("ticker"), F.explode(themes).alias("_n")).select(
+            F.concat(F.lit("N"), F.col("_n")).alias("theme"), "ticker")
 
     @cached_property
     def _fills(self) -> DataFrame:
