@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalar import half_up, with_group
+from tidegauge.functions.scalar import fixed, half_up, with_group
 from tidegauge.operators import align, metrics, regression
 from tidegauge.session import cut
 
@@ -84,29 +84,29 @@ def fund_sleeve(names: DataFrame, holdings: DataFrame, sleeve_pct: float = 0.15,
     raw = F.col("conviction") / F.greatest(F.coalesce("vol", F.lit(default_vol)), F.lit(vol_floor))
     shared = with_group(fresh.withColumn("_raw", raw), ["portfolio_id"], _sum=F.sum("_raw"))
     budget = F.greatest(F.lit(0.0), F.round(sleeve_pct - F.col("existing"), 6))
-    weight = F.round(budget * F.col("_raw") / F.col("_sum"), 4)
+    weight = fixed(budget * F.col("_raw") / F.col("_sum"), 4)
     return (shared.join(existing, "portfolio_id")
             .select("portfolio_id", "ticker", "conviction", budget.alias("budget"), "existing", weight.alias("weight"))
             .where(F.col("weight") > 0))
 
 
-def apply_funding(holdings: DataFrame, funding: DataFrame, sleeve_usd: Column) -> DataFrame:
-    """Holdings with the new names added and the build-out scaled to keep the total at one.
+def apply_funding(holdings: DataFrame, funding: DataFrame) -> DataFrame:
+    """Holdings with the funded names added and the build-out scaled so that the weights still sum to one.
 
-    A portfolio that already holds a proposed name was funded before and is returned unchanged.
+    Holdings carry `sleeve_usd`, the portfolio's total. A portfolio that already holds a proposed name
+    was funded before and comes back unchanged, so applying twice is harmless.
     """
-    keys = ["portfolio_id"]
-    done = funding.join(holdings.select("portfolio_id", "ticker"), ["portfolio_id", "ticker"], "left_semi").select(
-        "portfolio_id").distinct()
-    todo = funding.join(done, keys, "left_anti")
-    scale = todo.groupBy("portfolio_id").agg(
-        F.round((1 - F.max("existing") - F.sum("weight")) / F.nullif(1 - F.max("existing"), F.lit(0.0)), 4).alias("_scale"))
-    weight = F.when(F.col("_scale").isNull() | F.col("is_diversifier"), F.col("weight")).otherwise(
-        F.round(F.col("weight") * F.col("_scale"), 4))
-    usd = F.when(F.col("_scale").isNull() | F.col("is_diversifier"), F.col("target_usd")).otherwise(
-        half_up(F.col("_w") * sleeve_usd))
-    old = holdings.join(scale, keys, "left").withColumn("_w", weight).withColumn("_usd", usd).select(
-        "portfolio_id", "ticker", F.col("_w").alias("weight"), F.col("_usd").alias("target_usd"))
-    new = todo.join(holdings.select("portfolio_id", "sleeve_usd").distinct(), keys) if "sleeve_usd" in holdings.columns else todo
-    added = new.select("portfolio_id", "ticker", "weight", half_up(F.col("weight") * sleeve_usd).alias("target_usd"))
+    key = "portfolio_id"
+    done = funding.join(holdings.select(key, "ticker"), [key, "ticker"], "left_semi").select(key).distinct()
+    todo = funding.join(done, key, "left_anti")
+    scale = todo.groupBy(key).agg(
+        fixed((1 - F.max("existing") - F.sum("weight")) / F.nullif(1 - F.max("existing"), F.lit(0.0)), 4).alias("_scale"))
+    scaled = F.col("_scale").isNotNull() & ~F.col("is_diversifier")
+    weight = F.when(scaled, fixed(F.col("weight") * F.col("_scale"), 4)).otherwise(F.col("weight"))
+    old = holdings.join(scale, key, "left").select(
+        key, "ticker", weight.alias("weight"),
+        F.when(scaled, half_up(weight * F.col("sleeve_usd"))).otherwise(F.col("target_usd")).alias("target_usd"))
+    sleeves = holdings.groupBy(key).agg(F.max("sleeve_usd").alias("sleeve_usd"))
+    added = todo.join(sleeves, key).select(
+        key, "ticker", "weight", half_up(F.col("weight") * F.col("sleeve_usd")).alias("target_usd"))
     return old.unionByName(added)

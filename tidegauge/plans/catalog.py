@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "evaluation", "themes"]
+MODULES = ["prices", "evaluation", "themes", "portfolios"]
 
 
 def load() -> None:

@@ -60,6 +60,11 @@ def scored(t):
     return signals.opportunity(t.themes.join(theme_crowd(t).select("theme", "crowding"), "theme", "left"))
 
 
+def static_scored(t):
+    """Thesis-only scores: no live prices involved."""
+    return signals.opportunity(t.themes.withColumn("crowding", F.lit(None).cast("double")))
+
+
 def etf_momentum(t):
     etfs = t.quotes.join(t.securities.where(F.col("type") == "etf").select("ticker"), "ticker", "left_semi")
     return etfs.agg(F.avg("mom_1m")).scalar()
@@ -109,7 +114,7 @@ FROM theme_members JOIN scored USING (theme) GROUP BY 1""")
 
 @query("JN3", "SELECT ticker, round(opportunity, 6) AS opportunity FROM ticker_opp")
 def ticker_opportunity(t):
-    return signals.ticker_opportunity(t.theme_members, scored(t))
+    return signals.ticker_opportunity(t.theme_members, static_scored(t))
 
 
 shared(entry_in="""SELECT ticker, -pct_off_high AS off_high, above_ma200, mom_12m, mom_1m, rel_strength,
