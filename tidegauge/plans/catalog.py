@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "evaluation", "themes", "portfolios"]
+MODULES = ["prices", "evaluation", "themes", "portfolios", "ledgers"]
 
 
 def load() -> None:
