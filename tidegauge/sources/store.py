@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,11 +73,13 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     cannot be read and overwritten in one plan.
     """
     fresh = dedupe_trusted(sanitize(incoming)).withColumn("year", F.year("d"))
-    store = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store)
     merged = fresh
-    if exists:
+    try:
         stored = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
         touched = stored.join(fresh.select("year").distinct(), "year", "left_semi")
         merged = merge_rows(touched.select("ticker", "d", "close", "source"),
                             fresh.drop("year")).withColumn("year", F.year("d"))
