@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import is_weekend
 
+STORE = "ticker string, d date, close double, source string, year int"
+
 # Providers whose prints may enter the store.
 TRUSTED_SOURCES = ["yahoo", "stooq", "tiingo", "finnhub", "twelvedata", "alphavantage", "consensus"]
 
@@ -16,14 +18,13 @@ def read_series(spark: SparkSession, path: str, tickers: list[str] | None = None
                 min_date: str | None = None) -> DataFrame:
     """Closes from the store. Ticker and date predicates reach the Parquet scan; the year partition
     column is filtered too, so whole directories are skipped."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(STORE).parquet(path)
     if tickers:
         rows = rows.where(F.col("ticker").isin(tickers))
     if min_date:
         day = F.lit(min_date).cast("date")
         rows = rows.where(F.col("d") >= day)
-        if "year" in rows.columns:
-            rows = rows.where(F.col("year") >= int(min_date[:4]))
+        rows = rows.where(F.col("year") >= int(min_date[:4]))
     return rows.where(F.col("close") > 0).select("ticker", "d", "close")
 
 
@@ -75,7 +76,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     fresh = dedupe_trusted(sanitize(incoming)).withColumn("year", F.year("d"))
     merged = fresh
     try:
-        stored = spark.read.parquet(path)
+        stored = spark.read.schema(STORE).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -84,9 +85,9 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> None:
         merged = merge_rows(touched.select("ticker", "d", "close", "source"),
                             fresh.drop("year")).withColumn("year", F.year("d"))
     staging = f"{path.rstrip('/')}_staging"
-    layout = merged.repartition("year", "ticker").sortWithinPartitions("year", "ticker", "d")
+    layout = merged.select("ticker", "d", "close", "source", "year").repartition("year", "ticker").sortWithinPartitions("year", "ticker", "d")
     layout.write.mode("overwrite").partitionBy("year").parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite")
+    (spark.read.schema(STORE).parquet(staging).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
 
