@@ -4,6 +4,7 @@ import math
 import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -69,16 +70,18 @@ def main(argv):
     con = connect(sf)
     qs, os_ = e.queries(), e.oracle_sql()
     bad = []
-    for name, fn in qs.items():
-        if argv and not any(name.startswith(a) for a in argv):
-            continue
+
+    def check(name):
         try:
-            msg, ok = compare(spark, con, name, fn, os_.get(name), sf)
+            msg, ok = compare(spark, con.cursor(), name, qs[name], os_.get(name), sf)
         except Exception as ex:  # noqa: BLE001
             msg, ok = f"ERROR {type(ex).__name__}: {str(ex)[:1200]}", False
         print(("ok   " if ok else "FAIL ") + name, msg, flush=True)
         if not ok:
             bad.append(name)
+
+    with ThreadPoolExecutor(int(os.environ.get("CHECK_THREADS", "5"))) as pool:
+        list(pool.map(check, [n for n in qs if not argv or any(n.startswith(a) for a in argv)]))
     print("failed:", bad)
     return len(bad)
 

@@ -93,16 +93,6 @@ def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.join(stats, keys, "inner")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows over all configured shuffle partitions.
-
-    For steps whose cost is computation per row (long sliding frames): adaptive coalescing looks at
-    bytes only and would pack a compact table into too few tasks. Windows and groups on the same keys
-    reuse this partitioning, so it adds no second shuffle.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def monotone_bucket(x: Column | str, buckets: int = 4096, scale: float = 8.0) -> Column:
     """A fixed order-preserving bucket number, used to rank without a single-task sort."""
     return F.floor((F.atan(col(x) * scale) / F.lit(3.141592653589793) + 0.5) * buckets).cast("int")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalar import spread
 from tidegauge.operators import align, metrics, timing
 from tidegauge.operators.technicals import by_ticker, sma, with_bars
 
@@ -43,7 +42,7 @@ def moving_average_path(bars: DataFrame, window: int = 200, cost_bps: float = 10
                         min_bars: int | None = None) -> DataFrame:
     """In the market while yesterday's close was above yesterday's moving average."""
     w = by_ticker()
-    base = with_bars(spread(bars, "ticker")).withColumn("_ma", sma(window)).withColumn(
+    base = with_bars(bars).withColumn("_ma", sma(window)).withColumn(
         "_len", F.count("*").over(Window.partitionBy("ticker")))
     above = F.coalesce(F.lag("close").over(w) > F.lag("_ma").over(w), F.lit(False)).cast("int")
     decided = base.withColumn("position", above).where(F.col("_len") >= (min_bars or window + 2))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import fixed, ratio, with_group
+from tidegauge.session import cut
 
 TILT_DAYS, THEME_DAYS, SIZING_DAYS = 21, 42, 42
 GRACE_DAYS = 180
@@ -111,27 +112,32 @@ def resolve_kills(kills: DataFrame, themes: DataFrame, today: Column) -> DataFra
                        F.lit(True).alias("needs_review"))
 
 
-def window_returns(baskets: DataFrame, windows: DataFrame, bars: DataFrame, out: str) -> DataFrame:
+def window_returns(baskets: DataFrame, windows: DataFrame, bars: DataFrame) -> DataFrame:
     """Equal-weight return of each basket (basket, ticker) over each of its windows (basket, date,
     resolve_on): every member's own return, over the members priced at both ends.
 
-    Each distinct window is priced once, not once per claim that uses it.
+    Each distinct window is priced once, not once per claim that uses it, and both ends are looked up
+    in the same pass over the bars.
     """
     legs = windows.distinct().join(baskets, "basket")
-    at = price_on_or_after(legs.withColumn("on", F.col("date")), bars).withColumnRenamed("price", "_p0").drop("on")
-    end = price_on_or_after(at.withColumn("on", F.col("resolve_on")), bars)
-    r = F.when((F.col("_p0") > 0) & (F.col("price") > 0), F.col("price") / F.col("_p0") - 1)
-    return end.groupBy("basket", "date", "resolve_on").agg(F.avg(r).alias(out))
+    ends = legs.withColumn("on", F.explode(F.array("date", "resolve_on")))
+    priced = price_on_or_after(ends, bars).groupBy("basket", "date", "resolve_on", "ticker").agg(
+        F.max(F.when(F.col("on") == F.col("date"), F.col("price"))).alias("_p0"),
+        F.max(F.when(F.col("on") == F.col("resolve_on"), F.col("price"))).alias("_p1"))
+    r = F.when((F.col("_p0") > 0) & (F.col("_p1") > 0), F.col("_p1") / F.col("_p0") - 1)
+    return priced.groupBy("basket", "date", "resolve_on").agg(F.avg(r).alias("ret"))
 
 
 def grade_theme_claims(claims: DataFrame, baskets: DataFrame, bars: DataFrame) -> DataFrame:
     """Grade relative claims (id, basket, complex, market, claim, date, resolve_on) against their
     complex and, separately, against the market; a market that cannot be priced is tallied."""
     days = ["date", "resolve_on"]
+    sides = ["basket", "complex", "market"]
+    windows = claims.select(*days, F.explode(F.array(*sides)).alias("basket"))
+    rets = cut(window_returns(baskets, windows, bars))
     graded = claims
-    for side in ("basket", "complex", "market"):
-        rets = window_returns(baskets, claims.select(F.col(side).alias("basket"), *days), bars, f"{side}_return")
-        graded = graded.join(rets.withColumnRenamed("basket", side), [side, *days], "left")
+    for side in sides:
+        graded = graded.join(rets.withColumnsRenamed({"basket": side, "ret": f"{side}_return"}), [side, *days], "left")
     rel = F.col("basket_return") - F.col("complex_return")
     rel_market = F.col("basket_return") - F.col("market_return")
     down = F.col("claim") == "underperform"

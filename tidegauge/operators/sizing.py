@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import clamp, fixed, half_up, ratio, with_group
 from tidegauge.operators.universe import sleeve_axis
+from tidegauge.session import cut
 
 CELL = ["portfolio_id", "account", "axis"]
 FRACTION_BUCKETS = 1024
@@ -75,7 +76,7 @@ def target_weights(holdings: DataFrame, mode: str, posture: Column | None = None
     get the risk tilt in both. `total` names a live value per row to size the cells by.
     """
     rows = holdings.where(F.col("target_usd") > 0).withColumn("axis", sleeve_axis(F.col("axis"), F.col("role")))
-    rows = risk_factors(rows, risk_cap)
+    rows = risk_factors(cut(rows), risk_cap)
     factor = F.col("risk_factor")
     if mode == "signal":
         regime = F.when(F.col("account") == "ira", regime_factor(F.col("tilt"), posture, regime_cap)).otherwise(1.0)
@@ -85,7 +86,7 @@ def target_weights(holdings: DataFrame, mode: str, posture: Column | None = None
     cells = with_group(rows, CELL, _sum=F.sum("_raw"), _usd=half_up(F.sum(total or "target_usd")))
     cells = cells.withColumn("weight_in_cell", ratio("_raw", "_sum")).withColumn(
         "_exact", F.col("_usd") * F.col("weight_in_cell"))
-    out = largest_remainder(cells, CELL, "_exact", "_usd", "ticker")
+    out = largest_remainder(cut(cells), CELL, "_exact", "_usd", "ticker")
     return out.withColumnRenamed("target_usd", "base_usd").withColumnRenamed("whole", "target_usd").drop(
         "_raw", "_sum", "_usd", "_exact")
 

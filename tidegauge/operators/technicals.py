@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalar import SESSIONS_PER_YEAR, ratio, spread
+from tidegauge.functions.scalar import SESSIONS_PER_YEAR, ratio
 
 YEAR, MONTH = 252, 22
 
@@ -50,7 +50,7 @@ def series(bars: DataFrame) -> DataFrame:
     year = F.year("d")
     new_year = F.coalesce(year != F.year(F.lag("d").over(w)), F.lit(True))
     base = (
-        with_bars(spread(bars, "ticker"))
+        with_bars(bars)
         .withColumn("_year_base", F.when(new_year, F.col("close")))
         .withColumn("_ytd_base", F.last("_year_base", ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -163,7 +163,7 @@ def rsi_series(bars: DataFrame, period: int = 14) -> DataFrame:
             out.iloc[period:] = (100 - 100 / (1 + gain / loss.where(loss > 0))).where(loss > 0, 100.0)
         return pd.DataFrame({"ticker": pdf["ticker"], "d": pdf["d"], "rsi": out})
 
-    result = spread(bars.select("ticker", "d", "close"), "ticker").groupBy("ticker").applyInPandas(
+    result = bars.select("ticker", "d", "close").groupBy("ticker").applyInPandas(
         smooth, "ticker string, d date, rsi double")
     return result.withColumn("rsi", F.when(~F.isnan("rsi"), F.col("rsi")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalar import either_null, spread
+from tidegauge.functions.scalar import either_null
 from tidegauge.operators.technicals import by_ticker, realized_vol, sma, with_bars
 
 MIN_BARS = 211
@@ -18,7 +18,7 @@ def signals(bars: DataFrame) -> DataFrame:
     """
     w = by_ticker()
     base = (
-        with_bars(spread(bars, "ticker"))
+        with_bars(bars)
         .withColumn("sma200", sma(200)).withColumn("sma20", sma(20))
         .withColumn("_before", F.lag("sma20", 10).over(w))
         .withColumn("_start", F.coalesce(F.lag("close", 252).over(w), F.first("close").over(w)))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import technicals
+from tidegauge.session import shared_dir
 
 PRICED_LEVELS = ["low", "medium", "high", "crowded"]
 BIND_LEVELS = ["now", "2027", "2028-29", "2030+", "physics-floor"]
@@ -26,8 +30,16 @@ def cents(x) -> F.Column:
     return F.floor(x * 100 + 0.2871) / F.lit(100.0)
 
 
+_WRITING = threading.RLock()
+
+
 class Tables:
-    """Lazy views; every property is a DataFrame plan, nothing is computed here."""
+    """Views over the driver tables.
+
+    The tables most operators start from (daily bars, holdings, positions, claims, latest quotes) are
+    derived once per session and kept in the shared folder, as a price store would be. Bars are
+    bucketed and sorted by ticker, so that per-ticker windows and joins need no shuffle at all.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -36,6 +48,28 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, build, bucket: str | None = None, order: str | None = None) -> DataFrame:
+        """The derived table `name`, written on first use."""
+        spark = self.spark
+        root = shared_dir(spark)
+        table = f"tg_{hashlib.md5(f'{root}|{self.sf_dir}'.encode()).hexdigest()[:10]}_{name}"
+        path = f"{root}/{table}"
+        with _WRITING:
+            try:
+                spark.read.parquet(path)
+                if spark.catalog.tableExists(table):
+                    return spark.table(table)
+            except AnalysisException:
+                pass
+            df = build()
+            parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+            writer = (df.repartition(parts, bucket) if bucket else df).write.mode("overwrite").format("parquet").option("path", path)
+            if bucket:
+                writer = writer.bucketBy(parts, bucket).sortBy(*([bucket, order] if order else [bucket]))
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            writer.saveAsTable(table)
+        return spark.table(table)
+
     @property
     def scan_date(self):
         return F.lit(SCAN_DATE).cast("date")
@@ -52,6 +86,9 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
+        return self.stored("bars", self._bars, "ticker", "d")
+
+    def _bars(self) -> DataFrame:
         return self._daily(self._lines, F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"))
 
     @cached_property
@@ -63,6 +100,9 @@ class Tables:
 
     @cached_property
     def theme_bars(self) -> DataFrame:
+        return self.stored("theme_bars", self._theme_bars, "ticker", "d")
+
+    def _theme_bars(self) -> DataFrame:
         return self._daily(
             self._placed,
             F.concat(F.lit("N"), F.col("n_nationkey")).alias("ticker"),
@@ -70,10 +110,16 @@ class Tables:
 
     @cached_property
     def complex_bars(self) -> DataFrame:
+        return self.stored("complex_bars", self._complex_bars, "ticker", "d")
+
+    def _complex_bars(self) -> DataFrame:
         return self._daily(self._placed, F.concat(F.lit("R"), F.col("n_regionkey")).alias("ticker"))
 
     @cached_property
     def market_bars(self) -> DataFrame:
+        return self.stored("market_bars", self._market_bars)
+
+    def _market_bars(self) -> DataFrame:
         return self._daily(self._lines, F.lit("M").alias("ticker"))
 
     @cached_property
@@ -104,6 +150,9 @@ class Tables:
     @cached_property
     def quotes(self) -> DataFrame:
         """Latest technicals per ticker."""
+        return self.stored("quotes", self._quotes)
+
+    def _quotes(self) -> DataFrame:
         return technicals.snapshot(self.bars)
 
     @cached_property
@@ -145,6 +194,9 @@ class Tables:
     @cached_property
     def holdings(self) -> DataFrame:
         """One row per portfolio, account and ticker."""
+        return self.stored("holdings", self._holdings, "portfolio_id")
+
+    def _holdings(self) -> DataFrame:
         k = F.col("l_suppkey")
         return (
             self._fills.groupBy(
@@ -161,6 +213,9 @@ class Tables:
 
     @cached_property
     def positions(self) -> DataFrame:
+        return self.stored("positions", self._positions, "portfolio_id")
+
+    def _positions(self) -> DataFrame:
         k = F.col("l_suppkey")
         return (
             self._fills.groupBy(F.col("o_custkey").alias("portfolio_id"), k)
@@ -172,6 +227,9 @@ class Tables:
 
     @cached_property
     def claims(self) -> DataFrame:
+        return self.stored("claims", self._claims)
+
+    def _claims(self) -> DataFrame:
         first = self._lines.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("k"))
         return self.read("orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).select(
             F.col("o_orderkey").alias("id"),
