@@ -177,9 +177,12 @@ def interleave(leads: DataFrame, limit: int | None = None) -> DataFrame:
     """Round robin over engines in the order they first appear (engine, position): adds `turn`."""
     turn = F.row_number().over(Window.partitionBy("engine").orderBy("position"))
     first = leads.groupBy("engine").agg(F.min("position").alias("_first"))
-    out = leads.withColumn("turn", turn).join(first, "engine").orderBy("turn", "_first")
-    out = out if limit is None else out.limit(limit)
-    return out.drop("_first")
+    ranked = leads.withColumn("turn", turn)
+    if limit is not None:
+        # no engine can fill more than the whole list: the rank limit runs before the shuffle too
+        ranked = ranked.where(F.col("turn") <= limit)
+    out = ranked.join(first, "engine").orderBy("turn", "_first")
+    return (out if limit is None else out.limit(limit)).drop("_first")
 
 
 # ---- leads and drafts ----------------------------------------------------------------------------------

@@ -158,7 +158,8 @@ def cut_or_trim(holdings: DataFrame, edits: DataFrame) -> DataFrame:
     edited = F.when(F.col("edit") == "cut", 0.0).when(F.col("edit") == "trim", fixed(w * (2 / 3), 4)).otherwise(w)
     marked = marked.withColumn("_w", w).withColumn("_e", edited)
     is_div = F.col("_axis") == "diversifier"
-    side = lambda c, d: F.sum(F.when(is_div == d, F.col(c)).otherwise(0.0))
+    # weights carry four decimals, so rounding their sums removes only the noise of the summation order
+    side = lambda c, d: F.round(F.sum(F.when(is_div == d, F.col(c)).otherwise(0.0)), 6)
     rows = with_group(marked, ["portfolio_id"],
                       _hit=F.max(F.col("edit").isNotNull() & (F.col("_w") > 0)),
                       _bd=side("_w", True), _bb=side("_w", False), _ad=side("_e", True), _ab=side("_e", False))

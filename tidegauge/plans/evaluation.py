@@ -305,10 +305,10 @@ def breadth_reentry_proof(t):
 
 @query("WN20", """
 WITH axis AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS idx FROM (SELECT d FROM theme_bars UNION SELECT d FROM complex_bars)),
-px AS (SELECT ticker, grp, idx, close FROM (SELECT ticker, grp, d, close FROM theme_bars UNION ALL SELECT ticker, 'C', d, close FROM complex_bars) JOIN axis USING (d)),
+prices AS (SELECT ticker, grp, idx, close FROM (SELECT ticker, grp, d, close FROM theme_bars UNION ALL SELECT ticker, 'C', d, close FROM complex_bars) JOIN axis USING (d)),
 steps AS (SELECT DISTINCT idx FROM axis WHERE idx >= 63 AND (idx - 63) % 21 = 0),
-tr AS (SELECT a.grp, s.idx, avg(a.close / b.close - 1) AS r FROM steps s JOIN px a ON a.idx = s.idx JOIN px b ON b.ticker = a.ticker AND b.idx = s.idx - 63 GROUP BY 1, 2),
-fw AS (SELECT a.grp, s.idx, avg(a.close / b.close - 1) AS r FROM steps s JOIN px a ON a.idx = s.idx + 42 JOIN px b ON b.ticker = a.ticker AND b.idx = s.idx GROUP BY 1, 2),
+tr AS (SELECT a.grp, s.idx, avg(a.close / b.close - 1) AS r FROM steps s JOIN prices a ON a.idx = s.idx JOIN prices b ON b.ticker = a.ticker AND b.idx = s.idx - 63 GROUP BY 1, 2),
+fw AS (SELECT a.grp, s.idx, avg(a.close / b.close - 1) AS r FROM steps s JOIN prices a ON a.idx = s.idx + 42 JOIN prices b ON b.ticker = a.ticker AND b.idx = s.idx GROUP BY 1, 2),
 pairs AS (SELECT g.grp, g.idx, g.r - c.r AS s, gf.r - cf.r AS f FROM tr g JOIN tr c ON c.grp = 'C' AND c.idx = g.idx
   JOIN fw gf ON gf.grp = g.grp AND gf.idx = g.idx JOIN fw cf ON cf.grp = 'C' AND cf.idx = g.idx WHERE g.grp <> 'C'),
 rk AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rs, rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0 AS rf FROM pairs),

@@ -44,7 +44,7 @@ shared(
 )
 
 
-@query("WN21", f"SELECT portfolio_id, account, ticker, {r6('rf')} FROM risked")
+@query("WN21 SF8", f"SELECT portfolio_id, account, ticker, {r6('rf')} FROM risked")
 def risk_factors(t):
     return sizing.risk_factors(sized_holdings(t)).select("portfolio_id", "account", "ticker", F.col("risk_factor").alias("rf"))
 
@@ -58,7 +58,7 @@ def targets(t, mode):
     return sizing.target_weights(sized_holdings(t), mode, market_posture(t))
 
 
-@query("WN22", weights_query("research"))
+@query("WN22 SF8", weights_query("research"))
 def research_weights(t):
     return targets(t, "research").select("portfolio_id", "account", "axis", "ticker", "base_usd", "factor",
                                          (F.col("weight_in_cell") * 100).alias("target_weight"), "target_usd")
@@ -195,9 +195,9 @@ def funded_plan(t):
 @query("WN27", """
 WITH e AS (SELECT b.*, CASE CAST(substr(ticker, 2) AS BIGINT) % 20 WHEN 1 THEN 'cut' WHEN 2 THEN 'trim' END AS edit FROM book b),
 w AS (SELECT *, CASE edit WHEN 'cut' THEN 0 WHEN 'trim' THEN floor((weight * (2e0 / 3e0)) * 10000 + 0.5e0) / 10000 ELSE weight END AS ew FROM e),
-g AS (SELECT *, bool_or(edit IS NOT NULL AND weight > 0) OVER p AS hit, sum(CASE WHEN axis = 'diversifier' THEN weight ELSE 0 END) OVER p AS bd,
- sum(CASE WHEN axis <> 'diversifier' THEN weight ELSE 0 END) OVER p AS bb, sum(CASE WHEN axis = 'diversifier' THEN ew ELSE 0 END) OVER p AS ad,
- sum(CASE WHEN axis <> 'diversifier' THEN ew ELSE 0 END) OVER p AS ab FROM w WINDOW p AS (PARTITION BY portfolio_id)),
+g AS (SELECT *, bool_or(edit IS NOT NULL AND weight > 0) OVER p AS hit, round(sum(CASE WHEN axis = 'diversifier' THEN weight ELSE 0 END) OVER p, 6) AS bd,
+ round(sum(CASE WHEN axis <> 'diversifier' THEN weight ELSE 0 END) OVER p, 6) AS bb, round(sum(CASE WHEN axis = 'diversifier' THEN ew ELSE 0 END) OVER p, 6) AS ad,
+ round(sum(CASE WHEN axis <> 'diversifier' THEN ew ELSE 0 END) OVER p, 6) AS ab FROM w WINDOW p AS (PARTITION BY portfolio_id)),
 n AS (SELECT *, hit AND ad + ab > 0 AS applies, CASE WHEN (bb = 0 OR ab > 0) AND (bd = 0 OR ad > 0)
   THEN floor((ew * coalesce(CASE WHEN axis = 'diversifier' THEN bd / nullif(ad, 0) ELSE bb / nullif(ab, 0) END, 1)) * 10000 + 0.5e0) / 10000 ELSE floor((ew / (ad + ab)) * 10000 + 0.5e0) / 10000 END AS nw FROM g)
 SELECT portfolio_id, account, ticker, round(CASE WHEN applies THEN nw ELSE weight END, 6) AS weight,
