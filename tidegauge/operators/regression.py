@@ -14,6 +14,7 @@ from tidegauge.functions.scalar import change, ratio
 from tidegauge.session import cut
 
 SINGULAR = 1e-12
+EXACT = 1e-12
 
 
 def _inverse(s: list[list[Column]]) -> list[list[Column]]:
@@ -63,7 +64,9 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     solved = solved.where(F.col("coef_1").isNotNull())
     fitted = sum(F.col(f"coef_{i + 1}") * F.col(f"_c{i}") * n for i in range(k))
     total = F.col("_vy") * n
-    sse = F.greatest(total - fitted, F.lit(0.0))
+    # an exact fit leaves only rounding noise, which must not turn into a t-statistic
+    rest = total - fitted
+    sse = F.when(rest > total * EXACT, rest).otherwise(0.0)
     sigma2 = sse / (n - (k + 1))
     spread = sum(F.col(f"_m{i}") * F.col(f"_m{j}") * inv[i][j] for i in range(k) for j in range(k))
     solved = (

@@ -220,7 +220,7 @@ def position_usd(positions: DataFrame, quotes: DataFrame, securities: DataFrame,
 def sleeve_value(valued: DataFrame) -> DataFrame:
     held = F.col("shares") > 0
     return valued.groupBy("portfolio_id").agg(
-        F.when(F.count("usd") > 0, half_up(F.sum("usd"))).alias("sleeve_usd"), F.count("usd").alias("priced"),
+        F.when(F.count("usd") > 0, half_up(F.round(F.sum("usd"), 6))).alias("sleeve_usd"), F.count("usd").alias("priced"),
         F.count_if(held & F.col("price").isNull()).alias("missing_price"),
         F.count_if(held & F.col("price").isNotNull() & F.col("usd").isNull()).alias("missing_rate"))
 

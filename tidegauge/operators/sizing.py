@@ -83,7 +83,7 @@ def target_weights(holdings: DataFrame, mode: str, posture: Column | None = None
         factor = F.when(F.col("axis") == "diversifier", factor).otherwise(
             factor * opportunity_factor(F.col("opportunity"), opp_cap) * regime)
     rows = rows.withColumn("factor", factor).withColumn("_raw", F.col("target_usd") * F.col("factor"))
-    cells = with_group(rows, CELL, _sum=F.sum("_raw"), _usd=half_up(F.sum(total or "target_usd")))
+    cells = with_group(rows, CELL, _sum=F.sum("_raw"), _usd=half_up(F.round(F.sum(total or "target_usd"), 6)))
     cells = cells.withColumn("weight_in_cell", ratio("_raw", "_sum")).withColumn(
         "_exact", F.col("_usd") * F.col("weight_in_cell"))
     out = largest_remainder(cut(cells), CELL, "_exact", "_usd", "ticker")

@@ -368,11 +368,11 @@ k AS (SELECT ticker, count(*) AS n, sum(y * e3) / sum(e3 * e3) AS b3, sum(y * e2
    any_value(my) AS my, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3,
    sum(x1 * x1) AS q1, sum(e2 * e2) AS q2, sum(e3 * e3) AS q3, sum(y * y) AS sst FROM b GROUP BY ticker),
 f AS (SELECT *, g2 - p32 * b3 AS b2, g1 - p21 * (g2 - p32 * b3) - p31 * b3 AS b1 FROM k),
-s AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS a0, sst - g1 * g1 * q1 - g2 * g2 * q2 - b3 * b3 * q3 AS sse,
+s AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS a0, CASE WHEN sst - g1 * g1 * q1 - g2 * g2 * q2 - b3 * b3 * q3 > sst * 1e-12 THEN sst - g1 * g1 * q1 - g2 * g2 * q2 - b3 * b3 * q3 ELSE 0e0 END AS sse,
    m2 - p21 * m1 AS u2, m3 - p31 * m1 - p32 * (m2 - p21 * m1) AS u3 FROM f)
-SELECT ticker, n, round(a0 * 252, 6) AS alpha_annual, round(a0 / sqrt(sse / (n - 4) * (1 / n + m1 * m1 / q1 + u2 * u2 / q2 + u3 * u3 / q3)), 6) AS alpha_t,
+SELECT ticker, n, round(a0 * 252, 6) AS alpha_annual, round(coalesce(a0 / nullif(sqrt(sse / (n - 4) * (1 / n + m1 * m1 / q1 + u2 * u2 / q2 + u3 * u3 / q3)), 0), 0), 6) AS alpha_t,
  round(b1, 6) AS beta_mkt, round(b2, 6) AS beta_mom, round(b3, 6) AS beta_theme, round(1 - sse / sst, 6) AS r2,
- CASE WHEN a0 > 0 AND abs(a0 / sqrt(sse / (n - 4) * (1 / n + m1 * m1 / q1 + u2 * u2 / q2 + u3 * u3 / q3))) >= 2 THEN 'alpha' ELSE 'factor/beta' END AS verdict FROM s""")
+ CASE WHEN a0 > 0 AND abs(coalesce(a0 / nullif(sqrt(sse / (n - 4) * (1 / n + m1 * m1 / q1 + u2 * u2 / q2 + u3 * u3 / q3)), 0), 0)) >= 2 THEN 'alpha' ELSE 'factor/beta' END AS verdict FROM s""")
 def factor_attribution(t):
     return regression.factor_attribution(factor_levels(t), ["ticker"], "asset", ["MKT", "MOM", "THEME"])
 

@@ -34,7 +34,7 @@ shared(
 def weights_sql(factor: str, total: str = "sum(target_usd) OVER cell", src: str = "factors") -> str:
     return f"""SELECT *, fl + CASE WHEN row_number() OVER (PARTITION BY portfolio_id, account, axis ORDER BY frac DESC, ticker) <= tot - sum(fl) OVER cell THEN 1 ELSE 0 END AS whole FROM (
       SELECT *, CAST(floor(tot * w) AS BIGINT) AS fl, tot * w - floor(tot * w) AS frac FROM (
-      SELECT *, CAST(floor({total} + 0.5e0) AS BIGINT) AS tot, target_usd * {factor} / sum(target_usd * {factor}) OVER cell AS w, {factor} AS factor
+      SELECT *, CAST(floor(round({total}, 6) + 0.5e0) AS BIGINT) AS tot, target_usd * {factor} / sum(target_usd * {factor}) OVER cell AS w, {factor} AS factor
       FROM {src} WINDOW cell AS (PARTITION BY portfolio_id, account, axis))) WINDOW cell AS (PARTITION BY portfolio_id, account, axis)"""
 
 

@@ -36,7 +36,7 @@ shared(
     theme_crowding="""SELECT theme, avg(crowding) AS crowding, count(crowding) AS crowding_n FROM theme_members JOIN name_scores USING (ticker) GROUP BY 1""",
     scored=f"""SELECT *, CAST(floor(least(100, 100 * gate * quality * bonus) + 0.5e0) AS BIGINT) AS score FROM (
       SELECT t.*, crowding, {case('priced_in', signals.PRICED_GATE, '0.5e0')} AS static_gate,
-      least(1, greatest(0, 1 - crowding / 100)) AS live_gate,
+      CASE WHEN crowding IS NOT NULL THEN least(1, greatest(0, 1 - crowding / 100)) END AS live_gate,
       CASE WHEN crowding IS NULL THEN {case('priced_in', signals.PRICED_GATE, '0.5e0')}
         ELSE 0.6e0 * {case('priced_in', signals.PRICED_GATE, '0.5e0')} + 0.4e0 * least(1, greatest(0, 1 - crowding / 100)) END AS gate,
       0.40e0 * {case('bind_window', signals.BIND_PROXIMITY, '0.5e0')} + 0.35e0 * {case('durability', signals.DURABILITY, '0.5e0')}
@@ -322,7 +322,7 @@ def regime_components(t):
     return signals.regime_components(universe.composite_members(t.holdings, t.securities).select("portfolio_id", "ticker"), t.quotes)
 
 
-@query("PR19", """SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(sum(usd) + 0.5e0) AS BIGINT) END AS sleeve_usd, count(usd) AS priced,
+@query("PR19", """SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(round(sum(usd), 6) + 0.5e0) AS BIGINT) END AS sleeve_usd, count(usd) AS priced,
  count(*) FILTER (price IS NULL) AS missing_price, count(*) FILTER (price IS NOT NULL AND usd IS NULL) AS missing_rate FROM usd_positions GROUP BY 1""")
 def sleeve_values(t):
     return signals.sleeve_value(signals.position_usd(t.positions, t.quotes, t.securities, fx_rates(t)))
@@ -330,7 +330,7 @@ def sleeve_values(t):
 
 @query("AG13", """SELECT portfolio_id, s.sleeve_usd, coalesce(h.trim_hits, 0) AS trim_hits,
  (SELECT abs(avg(pct_off_high)) >= 0.2 FROM tech) AS drawdown_met, coalesce(s.sleeve_usd >= 1720000, false) AS sleeve_met, coalesce(h.trim_hits, 0) > 0 AS trim_met
-FROM (SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(sum(usd) + 0.5e0) AS BIGINT) END AS sleeve_usd FROM usd_positions GROUP BY 1) s
+FROM (SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(round(sum(usd), 6) + 0.5e0) AS BIGINT) END AS sleeve_usd FROM usd_positions GROUP BY 1) s
 LEFT JOIN (SELECT portfolio_id, count(*) AS trim_hits FROM positions JOIN tech USING (ticker) WHERE price / cost_basis >= 2 AND forward_pe > 50 GROUP BY 1) h USING (portfolio_id)""")
 def trigger_conditions(t):
     sleeves = signals.sleeve_value(signals.position_usd(t.positions, t.quotes, t.securities, fx_rates(t)))
