@@ -10,14 +10,17 @@ from tidegauge.operators import diversify, option_screen, signals, sizing
 from tidegauge.operators.universe import sleeve_axis
 from tidegauge.plans.prices import r6
 from tidegauge.plans.registry import query, shared
+from tidegauge.session import cut
 from tidegauge.plans.themes import fx_rates, market_posture, static_scored
 
 
 def sized_holdings(t):
+    """Holdings with their name-level inputs. Those are put together as one small table first: its size
+    is then known, so it is broadcast if it fits and the holdings keep their bucketing."""
     tilt = signals.momentum_tilt(F.col("mom_12m"), F.col("above_ma200"))
-    names = t.quotes.select("ticker", "price", F.col("vol_1y").alias("vol"), tilt.alias("tilt"))
-    return t.holdings.join(names, "ticker", "left").join(
-        signals.ticker_opportunity(t.theme_members, static_scored(t)), "ticker", "left")
+    names = t.quotes.select("ticker", "price", F.col("vol_1y").alias("vol"), tilt.alias("tilt")).join(
+        signals.ticker_opportunity(t.theme_members, static_scored(t)), "ticker", "full_outer")
+    return t.holdings.join(cut(names), "ticker", "left")
 
 
 shared(

@@ -52,7 +52,8 @@ class Tables:
         """The derived table `name`, written on first use."""
         spark = self.spark
         root = shared_dir(spark)
-        table = f"tg_{hashlib.md5(f'{root}|{self.sf_dir}'.encode()).hexdigest()[:10]}_{name}"
+        owner = f"{spark.sparkContext.applicationId}|{self.sf_dir}"
+        table = f"tg_{hashlib.md5(owner.encode()).hexdigest()[:10]}_{name}"
         path = f"{root}/{table}"
         with _WRITING:
             try:

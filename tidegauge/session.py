@@ -30,7 +30,7 @@ def build_session(master: str | None = None, app: str = "tidegauge", **conf) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a scratch folder only in local mode."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
