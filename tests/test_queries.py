@@ -12,7 +12,8 @@ import __spark_entry__ as entry_point
 from check_queries import connect, key
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+QUERIES = {name: fn for name, fn in entry_point.queries().items() if name in entry_point.QUERIES}
+SQL = entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
