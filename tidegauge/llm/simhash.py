@@ -126,9 +126,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MOST,
             keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: the columns `keep` (the id by default), `fp` (long) and `component`, the
+    """One row per row of docs: the columns `keep` (the id by default), `fp` (long), `component`, the
     smallest doc_id among all documents reachable over links of at most two differing bits, itself
-    included. Null and empty texts have fingerprint zero and link like any other; a null doc_id never is
+    included, and `root`, the component's smallest fingerprint. Null and empty texts have fingerprint zero and link like any other; a null doc_id never is
     a component's id unless the component has no other. Repeated rows and copies share a fingerprint and
     are indexed once; an empty table gives an empty result. Texts and extra columns are left behind
     after the fingerprint, so clashing names do not matter and no text is shuffled."""
@@ -142,8 +142,8 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     rooted = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.select("fp", "root").join(lows, "root").select("fp", "component")
-    return marked.join(named, "fp").select(*[F.col(of[c]).alias(c) for c in keep], "fp", "component")
+    named = rooted.select("fp", "root").join(lows, "root").select("fp", "component", "root")
+    return marked.join(named, "fp").select(*[F.col(of[c]).alias(c) for c in keep], "fp", "component", "root")
 
 
 def hex16(fp: Column) -> Column:
@@ -159,7 +159,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = docs.withColumns({r1: F.xxhash64(F.lit(1), *row), r2: F.xxhash64(F.lit(2), *row)})
     near = cluster(marked, doc_id, text, words, keep=[doc_id, r1, r2])
     first = F.min(F.struct(F.col(doc_id).isNull(), doc_id, r1, r2)).alias("first")
-    kept = near.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("fp")).agg(first) \
+    kept = near.groupBy("root").agg(first) \
         .select(F.col(f"first.{r1}").alias(r1), F.col(f"first.{r2}").alias(r2))
     once = marked.withColumn(fresh(marked, "rank"), F.row_number().over(Window.partitionBy(r1, r2).orderBy(r1)))
     once = once.where(F.col(once.columns[-1]) == 1)
