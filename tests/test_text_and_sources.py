@@ -59,6 +59,30 @@ def test_phrase_and_ladder_parsing(spark):
     rows = one(spark, "- transformer bushings — few makers — proxies: ABB, hubb\nglass: slow to qualify\nab", T.ladder_lines)
     assert [(r["input"], r["why"], r["tickers"]) for r in rows] == [
         ("transformer bushings", "few makers", ["ABB", "HUBB"]), ("glass", "slow to qualify", [])]
+    reply = '[{"input": "clean rooms", "why": "slow", "tickers": ["abc", "TOOLONG"]}, {"input": "x"}, {"why": "no input"}]'
+    assert [(r["input"], r["why"], r["tickers"]) for r in one(spark, reply, T.ladder_lines)] == [("clean rooms", "slow", ["ABC"])]
+
+
+def test_votes_and_verdicts_keep_every_key(spark):
+    from tidegauge.operators import votes
+
+    cast = spark.createDataFrame([("a", "low"), ("a", "low"), ("b", None), ("c", "odd")], "item string, value string")
+    assert sorted(tuple(r) for r in votes.consensus(cast).collect()) == [
+        ("a", 2, "low", 1.0, "tight"), ("b", 0, None, 0.0, "wide"), ("c", 0, None, 0.0, "wide")]
+    verdicts = spark.createDataFrame([("t", None, 0.9)], "trigger string, met boolean, confidence double")
+    evidence = spark.createDataFrame([("u", 3, 3)], "trigger string, filings bigint, news bigint")
+    got = votes.catalyst_consensus(verdicts, evidence, spark.createDataFrame([("v", "likely-met")], "trigger string, status string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(k, "monitoring", False, 0.0, 0, 0, False) for k in "tuv"]
+
+
+def test_index_is_null_with_a_broken_close(spark):
+    from tidegauge.operators import technicals
+
+    rows = [(t, f"2001-01-{i + 1:02d}", float("nan") if t == "N" and i == 3 else None if t == "M" and i == 3 else 100.0 + i * (-1) ** i)
+            for t in "NMG" for i in range(30)]
+    bars = spark.createDataFrame(rows, "ticker string, d string, close double").withColumn("d", F.col("d").cast("date"))
+    assert {r["ticker"]: r["rsi_14"] is None for r in technicals.rsi(bars, 14).collect()} == {"N": True, "M": True, "G": False}
+    assert {r["ticker"] for r in technicals.rsi_series(bars, 14).where("rsi is not null").collect()} == {"G"}
 
 
 def test_clustering_prefers_breadth(spark):

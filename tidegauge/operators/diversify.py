@@ -34,9 +34,10 @@ def screen(candidates: DataFrame, market: DataFrame, complex_: DataFrame, plan:
     mixed = both.join(start.where(F.col("_n") >= min_dates), "grp").select(
         "grp", "d", (50 * (F.col("value") / F.col("_v0") + F.col("_plan") / F.col("_p0"))).alias("value"))
     mix = metrics.series_metrics(mixed, ["grp"]).select("grp", F.col("max_drawdown").alias("blended_max_dd"))
-    out = stats.join(load.drop("n", "qualifies"), "grp", "left").join(mix, "grp", "left")
+    asked = candidates.select("grp").distinct()  # a candidate without enough prices keeps its row
+    out = asked.join(stats, "grp", "left").join(load.drop("n", "qualifies"), "grp", "left").join(mix, "grp", "left")
     gated = gate_passes(F.lit("diversifier"), F.col("residual_beta"), beta_max)
-    known = F.col("residual_beta").isNotNull()
+    known = F.col("residual_beta").isNotNull() & F.col("n").isNotNull()
     reason = (
         F.when(~known, "insufficient price history").when(~gated, "amplifies the build-out")
         .when(F.col("market_beta") > market_beta_max, "moves too much with the market")
@@ -53,10 +54,12 @@ def screen(candidates: DataFrame, market: DataFrame, complex_: DataFrame, plan:
 
 
 def parse_conviction(text: Column) -> Column:
-    """A 0..1 conviction out of a reply: the JSON field if present, else the first bare 0..1 number."""
-    named = F.regexp_extract(text, r'(?i)"conviction"\s*:\s*(-?\d*\.?\d+)', 1)
-    loose = F.regexp_extract(text, r"\b(0?\.\d+|1(?:\.0+)?|0)\b", 1)
-    value = F.when(named != "", named).when(loose != "", loose).try_cast("double")
+    """A 0..1 conviction out of a reply: the number after the JSON field, else the first word that is
+    itself a number from 0 to 1."""
+    after = F.get(F.split(F.lower(text), '"conviction"\\s*:', 2), 1)
+    words = F.transform(F.split(text, r"[^\w.]+"), lambda w: F.rtrim(w, F.lit(".")))
+    plain = F.filter(words, lambda w: w.rlike(r"^[01]?(\.\d+)?$") & w.try_cast("double").between(0, 1))
+    value = F.coalesce(F.regexp_extract(F.trim(after), r"^-?[\d.]+", 0).try_cast("double"), F.get(plain, 0).try_cast("double"))
     return F.when(value < 0, 0.0).when(value > 1, 1.0).otherwise(F.round(value, 3))
 
 
@@ -83,10 +86,11 @@ def fund_sleeve(names: DataFrame, holdings: DataFrame, sleeve_pct: float = 0.15,
         F.coalesce(F.sum(F.when(F.col("is_diversifier"), F.col("weight"))), F.lit(0.0)).alias("existing"))
     raw = F.col("conviction") / F.greatest(F.coalesce("vol", F.lit(default_vol)), F.lit(vol_floor))
     shared = with_group(fresh.withColumn("_raw", raw), ["portfolio_id"], _sum=F.sum("_raw"))
-    budget = F.greatest(F.lit(0.0), F.round(sleeve_pct - F.col("existing"), 6))
+    existing_or_none = F.coalesce("existing", F.lit(0.0))  # a book without holdings has its whole budget
+    budget = F.greatest(F.lit(0.0), F.round(sleeve_pct - existing_or_none, 6))
     weight = fixed(budget * F.col("_raw") / F.col("_sum"), 4)
-    return (shared.join(existing, "portfolio_id")
-            .select("portfolio_id", "ticker", "conviction", budget.alias("budget"), "existing", weight.alias("weight"))
+    return (shared.join(existing, "portfolio_id", "left")
+            .select("portfolio_id", "ticker", "conviction", budget.alias("budget"), existing_or_none.alias("existing"), weight.alias("weight"))
             .where(F.col("weight") > 0))
 
 
@@ -107,6 +111,6 @@ def apply_funding(holdings: DataFrame, funding: DataFrame) -> DataFrame:
         key, "ticker", weight.alias("weight"),
         F.when(scaled, half_up(weight * F.col("sleeve_usd"))).otherwise(F.col("target_usd")).alias("target_usd"))
     sleeves = holdings.groupBy(key).agg(F.max("sleeve_usd").alias("sleeve_usd"))
-    added = todo.join(sleeves, key).select(
+    added = todo.join(sleeves, key, "left").select(  # the amount is unknown where there is no book yet
         key, "ticker", "weight", half_up(F.col("weight") * F.col("sleeve_usd")).alias("target_usd"))
     return old.unionByName(added)

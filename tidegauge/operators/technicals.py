@@ -7,6 +7,7 @@ uses the same partitioning and order: one shuffle and one sort feed all of them.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,7 +109,8 @@ def snapshot(bars: DataFrame) -> DataFrame:
                      F.when(F.year("d") == F.year("_last"), F.col("d"))).alias("_ytd_base"),
             mean(20).alias("ma20"), mean(50).alias("ma50"), mean(200).alias("ma200"),
             F.max(F.when(back == YEAR, close)).alias("_c12"), F.max(F.when(back == MONTH, close)).alias("_c1"),
-            vol(63).alias("vol_3m"), vol(YEAR).alias("vol_1y"))
+            vol(63).alias("vol_3m"), vol(YEAR).alias("vol_1y"),
+            *[wilder(p, close - F.col("prev"), F.col("bar") - 1, F.col("_n") - 1).alias(f"rsi_{p}") for p in (14, 10)])
         .select(
             "ticker", "as_of", "bar", "price", "high52",
             (p / F.col("high52") - 1).alias("pct_off_high"), (p / F.col("_ytd_base") - 1).alias("ytd"),
@@ -116,34 +118,39 @@ def snapshot(bars: DataFrame) -> DataFrame:
             (p / F.col("ma50") - 1).alias("pct_vs_ma50"), (p / F.col("ma200") - 1).alias("pct_vs_ma200"),
             (p >= F.col("ma200")).alias("above_ma200"), (p >= F.col("ma20")).alias("above_ma20"),
             (p / F.col("_c12") - 1).alias("mom_12m"), (p / F.col("_c1") - 1).alias("mom_1m"),
-            "vol_3m", "vol_1y")
+            "vol_3m", "vol_1y", "rsi_14", "rsi_10")
     )
 
 
-def rsi(bars: DataFrame, *periods: int) -> DataFrame:
-    """Wilder's index at the last bar, one column per period.
+def finite(close: Column) -> Column:
+    return F.coalesce(~F.isnan(close) & (F.abs(close) < float("inf")), F.lit(False))
+
+
+def wilder(period: int, x: Column, i: Column, n: Column) -> Column:
+    """Wilder's index at the last bar as an aggregate over changes x, each with its place i of n.
 
     The smoothing recurrence is a geometric weighting of the gains: with a = (p-1)/p the first p
-    changes weigh a^(N-p) each and change i weighs a^(N-i) after that, so the last value is a plain
-    aggregate. No losses at all gives 100; fewer than p changes gives null.
+    changes weigh a^(N-p) each and change i weighs a^(N-i) after that. No losses at all gives 100; fewer
+    than p changes, or a close that is missing or not finite anywhere, gives null.
     """
+    weight = F.pow(F.lit((period - 1) / period), (n - F.greatest(i, F.lit(period))).cast("double"))
+    gain = F.sum(weight * F.greatest(x, F.lit(0.0)))
+    loss = F.sum(weight * F.greatest(-x, F.lit(0.0)))
+    quiet = F.sum(F.greatest(-x, F.lit(0.0))) == 0
+    value = F.when(quiet, F.lit(100.0)).otherwise(100 - 100 / (1 + ratio(gain, loss)))
+    return F.when((F.max(n) >= period) & (F.count_if(~finite(F.col("close"))) == 0), value)
+
+
+def rsi(bars: DataFrame, *periods: int) -> DataFrame:
+    """Wilder's index at the last bar, one column per period."""
     w = by_ticker()
     whole = Window.partitionBy("ticker")
     moves = (
         bars.withColumn("_x", F.col("close") - F.lag("close").over(w))
-        .withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
-        .withColumn("_n", (F.count("*").over(whole) - 1).cast("double"))
+        .withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(whole) - 1)
     )
-    aggs = []
-    for p in periods:
-        a = (p - 1) / p
-        weight = F.pow(F.lit(a), F.col("_n") - F.greatest(F.col("_i"), F.lit(float(p))))
-        gain = F.sum(weight * F.greatest(F.col("_x"), F.lit(0.0)))
-        loss = F.sum(weight * F.greatest(-F.col("_x"), F.lit(0.0)))
-        quiet = F.sum(F.greatest(-F.col("_x"), F.lit(0.0))) == 0
-        value = F.when(quiet, F.lit(100.0)).otherwise(100 - 100 / (1 + ratio(gain, loss)))
-        aggs.append(F.when(F.max("_n") >= p, value).alias(f"rsi_{p}"))
-    return moves.groupBy("ticker").agg(*aggs)
+    return moves.groupBy("ticker").agg(*[
+        wilder(p, F.col("_x"), F.col("_i"), F.col("_n")).alias(f"rsi_{p}") for p in periods])
 
 
 def rsi_series(bars: DataFrame, period: int = 14) -> DataFrame:
@@ -153,7 +160,7 @@ def rsi_series(bars: DataFrame, period: int = 14) -> DataFrame:
         pdf = pdf.sort_values("d", ignore_index=True)
         x = pdf["close"].diff()
         out = pd.Series([float("nan")] * len(pdf))
-        if len(pdf) > period:
+        if len(pdf) > period and np.isfinite(pdf["close"].astype(float)).all():
             sides = []
             for side in (x.clip(lower=0), (-x).clip(lower=0)):
                 seeded = side.iloc[period:].copy()

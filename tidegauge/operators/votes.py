@@ -56,15 +56,17 @@ def sanitize_edit(raw: DataFrame) -> DataFrame:
 # ---- votes -------------------------------------------------------------------------------------------
 
 def consensus(votes: DataFrame, key: str = "item", allowed: list[str] = PRICED) -> DataFrame:
-    """Strict-majority value, agreement and dispersion per item from votes (item, value)."""
+    """Strict-majority value, agreement and dispersion per item from votes (item, value). An item without
+    a valid vote has no value, agreement 0 and level wide."""
     counts = votes.where(F.col("value").isin(allowed)).groupBy(key, "value").agg(F.count("*").alias("c"))
     out = counts.groupBy(key).agg(
         F.sum("c").alias("n"), F.max("c").alias("_top"), F.max_by("value", F.struct("c", "value")).alias("_value"),
         F.count("*").alias("_kinds"))
     majority = F.col("_top") * 2 > F.col("n")
     level = F.when(F.col("_kinds") == 1, "tight").when(majority, "moderate").otherwise("wide")
-    return out.select(key, "n", F.when(majority, F.col("_value")).alias("value"),
-                      fixed(F.col("_top") / F.col("n"), 2).alias("agreement"), level.alias("level"))
+    return votes.select(key).distinct().join(out, key, "left").select(
+        key, F.coalesce("n", F.lit(0)).alias("n"), F.when(majority, F.col("_value")).alias("value"),
+        F.coalesce(fixed(F.col("_top") / F.col("n"), 2), F.lit(0.0)).alias("agreement"), level.alias("level"))
 
 
 def panel_health(votes: DataFrame, key: str = "item") -> DataFrame:
@@ -82,13 +84,17 @@ def panel_health(votes: DataFrame, key: str = "item") -> DataFrame:
 def catalyst_consensus(verdicts: DataFrame, evidence: DataFrame, previous: DataFrame, key: str = "trigger",
                        min_confidence: float = 0.6, min_seats: int = 2, min_sources: int = 2) -> DataFrame:
     """Status of each trigger from seat verdicts (met, confidence), fetched evidence (filings, news) and
-    the previous status. Citations claimed by a seat are not evidence; firing takes two runs."""
+    the previous status. Citations claimed by a seat are not evidence; firing takes two runs. Triggers
+    known from any of the three inputs keep a row; without a verdict they are monitored."""
     v = verdicts.where(F.col("met").isNotNull()).groupBy(key).agg(
         F.count("*").alias("seats"), F.count_if("met").alias("met_seats"),
         F.coalesce(fixed(F.avg(F.when(F.col("met"), F.coalesce("confidence", F.lit(0.0)))), 2), F.lit(0.0)).alias("confidence"))
-    rows = v.join(evidence, key, "left").join(previous.select(key, F.col("status").alias("_prev")), key, "left")
+    asked = verdicts.select(key).union(evidence.select(key)).union(previous.select(key)).distinct()
     zero = F.lit(0)
-    corroborated = (F.coalesce("filings", zero) >= 1) | (F.coalesce("news", zero) >= min_sources)
+    v = asked.join(v, key, "left").withColumns({
+        "seats": F.coalesce("seats", zero), "met_seats": F.coalesce("met_seats", zero), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    rows = v.join(evidence, key, "left").join(previous.select(key, F.col("status").alias("_prev")), key, "left")
+    corroborated = (F.col("seats") > 0) & ((F.coalesce("filings", zero) >= 1) | (F.coalesce("news", zero) >= min_sources))
     majority = F.col("met_seats") * 2 > F.col("seats")
     met = (F.col("met_seats") >= min_seats) & majority & corroborated & (F.col("confidence") >= min_confidence)
     status = (F.when(met & F.coalesce(F.col("_prev").isin("likely-met", "fired"), F.lit(False)), "fired")

@@ -17,7 +17,7 @@ shared(
     clusters="""SELECT filer, count(*) AS phrase_count, CAST(sum(mentions) AS BIGINT) AS mentions, array_to_string(list_sort(list(phrase)), ', ') AS phrases,
       floor((count(*) + least(0.99e0, ln(1 + sum(mentions)) / 10)) * 1000 + 0.5e0) / 1000 AS score FROM hits WHERE filer NOT IN ('SRC0', 'SRC7') GROUP BY 1 HAVING count(*) >= 2""",
     tally="""SELECT chokepoint, filer AS ticker, CAST(sum(mentions) AS BIGINT) AS mentions FROM hits JOIN (SELECT phrase, 'C' || (length(phrase) % 4) AS chokepoint FROM (SELECT DISTINCT phrase FROM hits)) USING (phrase)
-      WHERE mentions > 2 GROUP BY 1, 2""",
+      GROUP BY 1, 2""",
     specific="""SELECT chokepoint, ticker, mentions, floor(sqrt(mentions / max(mentions) OVER (PARTITION BY chokepoint)) / count(*) OVER (PARTITION BY ticker) * 1000 + 0.5e0) / 1000 AS score,
       count(*) OVER (PARTITION BY ticker) > (SELECT count(DISTINCT chokepoint) FROM tally) / 2 AS generic FROM tally""",
 )
@@ -36,7 +36,7 @@ def hits(t):
 
 def tally(t):
     terms = phrase_table(t).select("phrase", F.concat(F.lit("C"), F.length("phrase") % 4).alias("chokepoint"))
-    return leads.proxy_tally(hits(t).where(F.col("mentions") > 2), terms)
+    return leads.proxy_tally(hits(t), terms)
 
 
 def known_filers(t):
@@ -202,10 +202,10 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY a, b ROWS UNBOUNDED
 SELECT {key}, CAST(k AS BIGINT) AS k, trim(regexp_replace(substr(any_value(txt), min(a) + 1, max(b) - min(a)), '\\s+', ' ', 'g')) AS passage FROM g WHERE k <= {limit} GROUP BY {key}, k"""
 
 
-@query("TX4 WN29 SF2", passages_sql("page_text", "page_id", "txt", ["tion", "menu", "copyright"], 3))
+@query("TX4 WN29 SF2", passages_sql("page_text", "page_id", "txt", ["tion", "menu", "copyright"], 4))
 def page_passages(t):
     rows = t.read("pages").select("page_id", T.html_text(F.col("html")).alias("_t"))
-    found = rows.select("page_id", F.posexplode(T.passages(F.col("_t"), ["tion", "menu", "copyright"], limit=3)).alias("k", "passage"))
+    found = rows.select("page_id", F.posexplode(T.passages(F.col("_t"), ["tion", "menu", "copyright"], limit=4)).alias("k", "passage"))
     return found.select("page_id", (F.col("k") + 1).cast("bigint").alias("k"), "passage")
 
 

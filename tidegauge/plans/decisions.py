@@ -11,7 +11,7 @@ from tidegauge.plans.tables import BIND_LEVELS, PRICED_LEVELS, pick
 from tidegauge.plans.themes import theme_strength
 
 shared(
-    seats="""SELECT doc_id AS item, unnest([{'s': 'bull', 'v': CASE quality WHEN 1 THEN 'medium' ELSE 'low' END}, {'s': 'bear', 'v': CASE WHEN doc_id % 5 = 0 THEN NULL WHEN toxic = 1 THEN 'crowded' ELSE 'medium' END},
+    seats="""SELECT doc_id AS item, unnest([{'s': 'bull', 'v': CASE WHEN doc_id % 10 = 0 THEN NULL WHEN quality = 1 THEN 'medium' ELSE 'low' END}, {'s': 'bear', 'v': CASE WHEN doc_id % 5 = 0 THEN NULL WHEN toxic = 1 THEN 'crowded' ELSE 'medium' END},
       {'s': 'skeptic', 'v': CASE WHEN n_chars % 7 < 4 THEN NULL ELSE ['low', 'medium', 'high', 'odd'][n_chars % 4 + 1] END}]) AS x FROM labels JOIN documents USING (doc_id)""",
     votes="SELECT item, x.s AS seat, x.v AS value FROM seats",
 )
@@ -20,7 +20,7 @@ shared(
 def vote_table(t):
     n = F.col("n_chars")
     seats = F.explode(F.create_map(
-        F.lit("bull"), F.when(F.col("quality") == 1, "medium").otherwise("low"),
+        F.lit("bull"), F.when(F.col("doc_id") % 10 == 0, F.lit(None)).when(F.col("quality") == 1, "medium").otherwise("low"),
         F.lit("bear"), F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("toxic") == 1, "crowded").otherwise("medium"),
         F.lit("skeptic"), F.when(n % 7 >= 4, pick(["low", "medium", "high", "odd"], n % 4)))).alias("seat", "value")
     return t.read("labels").join(t.read("documents").select("doc_id", "n_chars"), "doc_id").select(
@@ -29,8 +29,8 @@ def vote_table(t):
 
 @query("AG20", """
 WITH c AS (SELECT item, value, count(*) AS c FROM votes WHERE value IN ('low', 'medium', 'high', 'crowded') GROUP BY 1, 2)
-SELECT item, CAST(sum(c) AS BIGINT) AS n, CASE WHEN max(c) > sum(c) / 2 THEN max_by(value, c) END AS value, floor(max(c) / sum(c) * 100 + 0.5e0) / 100 AS agreement,
- CASE WHEN count(*) = 1 THEN 'tight' WHEN max(c) > sum(c) / 2 THEN 'moderate' ELSE 'wide' END AS level FROM c GROUP BY 1""")
+SELECT item, coalesce(n, 0) AS n, value, coalesce(agreement, 0e0) AS agreement, coalesce(level, 'wide') AS level FROM (SELECT DISTINCT item FROM votes) LEFT JOIN (SELECT item, CAST(sum(c) AS BIGINT) AS n, CASE WHEN max(c) > sum(c) / 2 THEN max_by(value, c) END AS value, floor(max(c) / sum(c) * 100 + 0.5e0) / 100 AS agreement,
+ CASE WHEN count(*) = 1 THEN 'tight' WHEN max(c) > sum(c) / 2 THEN 'moderate' ELSE 'wide' END AS level FROM c GROUP BY 1) USING (item)""")
 def vote_consensus(t):
     return votes.consensus(vote_table(t))
 
@@ -63,14 +63,14 @@ def parsed_verdicts(t):
 
 
 shared(
-    seat_verdicts="""SELECT source AS trigger, doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE quality = 1 AND CAST(substr(source, 4) AS INT) % 5 > 0 END AS met, 0.3e0 + (CAST(substr(source, 4) AS INT) % 6) / 10e0 AS confidence FROM labels JOIN documents USING (doc_id)""",
+    seat_verdicts="""SELECT source AS trigger, doc_id, CASE WHEN doc_id % 13 = 0 OR CAST(substr(source, 4) AS INT) % 10 = 9 THEN NULL ELSE quality = 1 AND CAST(substr(source, 4) AS INT) % 5 > 0 END AS met, 0.3e0 + (CAST(substr(source, 4) AS INT) % 6) / 10e0 AS confidence FROM labels JOIN documents USING (doc_id)""",
     trigger_evidence="""SELECT source AS trigger, count(*) FILTER (lang = 'es' AND CAST(substr(source, 4) AS INT) % 2 = 0) AS filings, count(DISTINCT lang) FILTER (CAST(substr(source, 4) AS INT) % 3 = 0) AS news FROM documents GROUP BY 1""",
 )
 
 
 def seat_verdicts(t):
     k = F.expr("substr(source, 4)").cast("int")
-    met = F.when(F.col("doc_id") % 13 != 0, (F.col("quality") == 1) & (k % 5 > 0))
+    met = F.when((F.col("doc_id") % 13 != 0) & (k % 10 != 9), (F.col("quality") == 1) & (k % 5 > 0))
     return t.read("labels").join(t.read("documents").select("doc_id", "source"), "doc_id").select(
         F.col("source").alias("trigger"), met.alias("met"), (0.3 + (k % 6) / 10.0).alias("confidence"))
 
@@ -84,7 +84,8 @@ def trigger_evidence(t):
 
 CONSENSUS = """
 v AS (SELECT trigger, count(met) AS seats, count(*) FILTER (met) AS met_seats, coalesce(floor(avg(confidence) FILTER (met) * 100 + 0.5e0) / 100, 0) AS confidence FROM seat_verdicts WHERE met IS NOT NULL GROUP BY 1),
-j AS (SELECT v.*, filings >= 1 OR news >= 2 AS corroborated, met_seats * 2 > seats AS majority, CASE WHEN CAST(substr(trigger, 4) AS INT) % 4 = 0 THEN 'likely-met' ELSE 'monitoring' END AS prev FROM v JOIN trigger_evidence USING (trigger)),
+k AS (SELECT trigger, coalesce(seats, 0) AS seats, coalesce(met_seats, 0) AS met_seats, coalesce(confidence, 0) AS confidence FROM trigger_evidence LEFT JOIN v USING (trigger)),
+j AS (SELECT v.*, seats > 0 AND (filings >= 1 OR news >= 2) AS corroborated, met_seats * 2 > seats AS majority, CASE WHEN CAST(substr(trigger, 4) AS INT) % 4 = 0 THEN 'likely-met' ELSE 'monitoring' END AS prev FROM k v JOIN trigger_evidence USING (trigger)),
 m AS (SELECT *, met_seats >= 2 AND majority AND corroborated AND confidence >= 0.6 AS met FROM j),
 c AS (SELECT trigger, CASE WHEN met AND prev IN ('likely-met', 'fired') THEN 'fired' WHEN met THEN 'likely-met' WHEN majority OR confidence >= 0.4 THEN 'approaching' ELSE 'monitoring' END AS status, met,
  round(confidence, 6) AS confidence, seats, met_seats, corroborated FROM m)"""

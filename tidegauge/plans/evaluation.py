@@ -26,7 +26,7 @@ def metrics_sql(src: str, keys: str, value: str, prefix: str = "", digits: int =
 
 
 shared(
-    basket_bars="SELECT 'B' || substr(grp, 2) AS grp, ticker, d, close FROM theme_bars WHERE CAST(substr(ticker, 2) AS INT) < 10",
+    basket_bars="SELECT 'B' || substr(grp, 2) AS grp, ticker, d, close FROM theme_bars",
     basket_dates="""SELECT grp, d FROM basket_bars GROUP BY grp, d
       HAVING count(*) = (SELECT count(DISTINCT ticker) FROM basket_bars x WHERE x.grp = basket_bars.grp)""",
     basket_first="""SELECT grp, ticker, min_by(close, d) AS base FROM basket_bars SEMI JOIN basket_dates USING (grp, d) GROUP BY 1, 2""",
@@ -42,8 +42,7 @@ shared(
 
 
 def basket_bars(t):
-    return t.theme_bars.where(F.expr("substr(ticker, 2)").cast("int") < 10).withColumn(
-        "grp", F.concat(F.lit("B"), F.expr("substr(grp, 2)")))
+    return t.theme_bars.withColumn("grp", F.concat(F.lit("B"), F.expr("substr(grp, 2)")))
 
 
 def single_returns(t, bars):
@@ -79,14 +78,17 @@ def basket_returns(t):
 
 
 @query("AL5", """
-WITH parts AS (SELECT 'mix' AS grp, grp AS part, d, value FROM basket_values WHERE grp IN ('B0', 'B1')),
-c AS (SELECT d FROM parts GROUP BY d HAVING count(*) = (SELECT count(DISTINCT part) FROM parts)),
-b AS (SELECT part, min_by(value, d) AS base FROM parts SEMI JOIN c USING (d) GROUP BY 1)
-SELECT 'mix' AS grp, d, round(100 * avg(value / base), 6) AS value FROM parts JOIN b USING (part) SEMI JOIN c USING (d)
-WHERE (SELECT count(*) FROM c) >= 60 AND (SELECT count(*) FROM b) >= 2 GROUP BY d""")
+WITH parts AS (SELECT grp, 'basket' AS part, d, value FROM basket_values UNION ALL SELECT 'B' || substr(ticker, 2), 'complex', d, close FROM complex_bars),
+c AS (SELECT grp, d FROM parts GROUP BY grp, d HAVING count(*) = 2),
+b AS (SELECT grp, part, min_by(value, d) AS base FROM parts SEMI JOIN c USING (grp, d) GROUP BY 1, 2)
+SELECT grp, d, round(100 * avg(value / base), 6) AS value FROM parts JOIN b USING (grp, part) SEMI JOIN c USING (grp, d)
+WHERE grp IN (SELECT grp FROM c GROUP BY 1 HAVING count(*) >= 60) GROUP BY grp, d""")
 def blended_sleeve(t):
-    parts = align.basket_index(basket_bars(t)).where(F.col("grp").isin("B0", "B1"))
-    return align.blend(parts.withColumn("part", F.col("grp")).withColumn("grp", F.lit("mix")))
+    """Each basket blended with its region's own series."""
+    baskets = align.basket_index(basket_bars(t)).select("grp", F.lit("basket").alias("part"), "d", "value")
+    regions = t.complex_bars.select(
+        F.concat(F.lit("B"), F.expr("substr(ticker, 2)")).alias("grp"), F.lit("complex").alias("part"), "d", F.col("close").alias("value"))
+    return align.blend(baskets.union(regions))
 
 
 @query("AG1", metrics_sql("bars", "ticker", "close"))
@@ -416,10 +418,10 @@ WITH st AS ({metrics_sql('basket_values', 'grp', 'value')}), bl AS (SELECT grp,
 pl AS (SELECT max_drawdown AS plan FROM ({metrics_sql("(SELECT 1 AS one, * FROM plan_values)", 'one', 'value', '', 12)}))
 SELECT grp, n, years, start_d, end_d, cagr, max_drawdown, calmar, sortino, sharpe, vol, breaches_35, {r6('market_beta', 'residual_beta', 'residual_t', 'r2')},
  round(blended, 6) AS blended_max_dd, round(plan - blended, 6) AS dd_reduction, reason, starts_with(reason, 'qualifies') AS qualifies FROM (
-SELECT st.*, round(st.n / 252.0, 6) AS years, x.start_d, x.end_d, l.* EXCLUDE (grp, n), bl.blended, pl.plan,
- CASE WHEN residual_beta IS NULL THEN 'insufficient price history' WHEN residual_beta > 0.3 THEN 'amplifies the build-out' WHEN market_beta > 0.95 THEN 'moves too much with the market'
+SELECT g.grp, st.* EXCLUDE (grp), round(st.n / 252.0, 6) AS years, CASE WHEN st.n IS NOT NULL THEN x.start_d END AS start_d, CASE WHEN st.n IS NOT NULL THEN x.end_d END AS end_d, l.* EXCLUDE (grp, n), bl.blended, pl.plan,
+ CASE WHEN residual_beta IS NULL OR st.n IS NULL THEN 'insufficient price history' WHEN residual_beta > 0.3 THEN 'amplifies the build-out' WHEN market_beta > 0.95 THEN 'moves too much with the market'
   WHEN max_drawdown > 0.5 THEN 'drawdown over the cap' WHEN plan - blended <= 0 THEN 'qualifies, redundant with the plan' ELSE 'qualifies' END AS reason
-FROM st JOIN (SELECT grp, min(d) AS start_d, max(d) AS end_d FROM basket_values GROUP BY 1) x USING (grp) LEFT JOIN loading l USING (grp) LEFT JOIN bl USING (grp) CROSS JOIN pl WHERE st.n >= 60)""")
+FROM (SELECT DISTINCT grp FROM basket_bars) g LEFT JOIN (SELECT * FROM st WHERE n >= 60) st USING (grp) LEFT JOIN (SELECT grp, min(d) AS start_d, max(d) AS end_d FROM basket_values GROUP BY 1) x USING (grp) LEFT JOIN loading l USING (grp) LEFT JOIN bl USING (grp) CROSS JOIN pl)""")
 def diversifier_screen(t):
     plan = align.basket_index(
         t.complex_bars.where(F.col("ticker").isin("R3", "R4")).withColumn("grp", F.lit("plan"))).select("d", "value")

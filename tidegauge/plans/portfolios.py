@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import options
@@ -151,10 +152,10 @@ shared(
     wanted="""SELECT c_custkey AS portfolio_id, ticker, round(0.3e0 + (CAST(substr(ticker, 2) AS BIGINT) % 7) / 10e0, 6) AS conviction, vol_1y AS vol
       FROM customer JOIN theme_members ON theme = 'N' || c_nationkey LEFT JOIN tech USING (ticker)""",
     funded="""SELECT portfolio_id, ticker, conviction, budget, existing, floor((budget * raw / sum(raw) OVER (PARTITION BY portfolio_id)) * 10000 + 0.5e0) / 10000 AS weight FROM (
-      SELECT w.*, existing, greatest(0, round(0.35e0 - existing, 6)) AS budget, conviction / greatest(coalesce(vol, 0.25e0), 0.01e0) AS raw FROM (
+      SELECT w.*, coalesce(existing, 0) AS existing, greatest(0, round(0.35e0 - coalesce(existing, 0), 6)) AS budget, conviction / greatest(coalesce(vol, 0.25e0), 0.01e0) AS raw FROM (
         SELECT w.* FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM book b WHERE b.portfolio_id = w.portfolio_id AND b.ticker = w.ticker)
         QUALIFY row_number() OVER (PARTITION BY w.portfolio_id ORDER BY conviction DESC, w.ticker) <= 3) w
-      JOIN (SELECT portfolio_id, sum(CASE WHEN axis = 'diversifier' THEN weight ELSE 0 END) AS existing FROM book GROUP BY 1) e USING (portfolio_id))""",
+      LEFT JOIN (SELECT portfolio_id, sum(CASE WHEN axis = 'diversifier' THEN weight ELSE 0 END) AS existing FROM book GROUP BY 1) e USING (portfolio_id))""",
 )
 
 
@@ -169,11 +170,17 @@ def book(t):
         "is_diversifier", sleeve_axis(F.col("axis"), F.col("role")) == "diversifier")
 
 
-def wanted(t):
+def wanted(t, most_new=3):
+    """Names that a portfolio may want: the best of its theme. Of a theme's ranking no portfolio looks further
+    than the names it wants beside those it may hold already, so the input grows with the portfolios only."""
     level = F.round(0.3 + (F.expr("substr(ticker, 2)").cast("bigint") % 7) / 10.0, 6)
     customers = t.read("customer").select(
         F.col("c_custkey").alias("portfolio_id"), F.concat(F.lit("N"), "c_nationkey").alias("theme"))
-    return customers.join(t.theme_members, "theme").join(
+    held = book(t).groupBy("portfolio_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).collect()[0][0]
+    order = Window.partitionBy("theme").orderBy(F.desc("_level"), "ticker")
+    best = t.theme_members.withColumn("_level", level).withColumn("_rank", F.row_number().over(order)) \
+        .where(F.col("_rank") <= most_new + held).drop("_level", "_rank")
+    return customers.join(best, "theme").join(
         t.quotes.select("ticker", F.col("vol_1y").alias("vol")), "ticker", "left").select(
         "portfolio_id", "ticker", level.alias("conviction"), "vol")
 
@@ -189,7 +196,7 @@ sc AS (SELECT portfolio_id, floor(((1 - max(existing) - sum(weight)) / (1 - max(
 SELECT portfolio_id, ticker, round(w, 6) AS weight, target_usd FROM (
 SELECT b.portfolio_id, b.ticker, CASE WHEN scale IS NOT NULL AND axis <> 'diversifier' THEN floor((weight * scale) * 10000 + 0.5e0) / 10000 ELSE weight END AS w,
  CASE WHEN scale IS NOT NULL AND axis <> 'diversifier' THEN CAST(floor(floor((weight * scale) * 10000 + 0.5e0) / 10000 * sleeve_usd + 0.5e0) AS BIGINT) ELSE target_usd END AS target_usd FROM book b LEFT JOIN sc USING (portfolio_id)
-UNION ALL SELECT f.portfolio_id, f.ticker, f.weight, CAST(floor(f.weight * s.sleeve_usd + 0.5e0) AS BIGINT) FROM f JOIN (SELECT DISTINCT portfolio_id, sleeve_usd FROM book) s USING (portfolio_id))""")
+UNION ALL SELECT f.portfolio_id, f.ticker, f.weight, CAST(floor(f.weight * s.sleeve_usd + 0.5e0) AS BIGINT) FROM f LEFT JOIN (SELECT DISTINCT portfolio_id, sleeve_usd FROM book) s USING (portfolio_id))""")
 def funded_plan(t):
     holdings = book(t)
     return diversify.apply_funding(holdings, diversify.fund_sleeve(wanted(t), holdings, sleeve_pct=0.35, max_names=3))

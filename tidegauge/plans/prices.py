@@ -71,17 +71,6 @@ def momentum_leaders(t):
         .select("ticker", "s_name", "n_name", "as_of", "price", "mom_12m", "vol_1y", "pct_off_high"))
 
 
-@query("WN1 WN2 WN4 WN5 WN6 WN7", f"""
-SELECT ticker, as_of, bar, {r6(*TECH_FLOATS, 'pct_vs_ma50', 'pct_vs_ma200')}, above_ma200, above_ma20 FROM tech""")
-def technicals_snapshot(t):
-    return t.quotes.withColumn("bar", F.col("bar").cast("bigint"))
-
-
-@query("WN1 WN2 WN4 WN5 WN6", f"SELECT ticker, d, bar, {r6(*TECH_FLOATS)} FROM tech_series")
-def technicals_series(t):
-    return technicals.series(t.bars).select("ticker", "d", F.col("bar").cast("bigint").alias("bar"), *TECH_FLOATS)
-
-
 RSI_RECURRENCE = """
 WITH RECURSIVE moves AS MATERIALIZED (
   SELECT ticker, d, row_number() OVER w - 1 AS i, close - lag(close) OVER w AS x
@@ -95,14 +84,35 @@ walk AS (
   FROM walk w JOIN moves m ON m.ticker = w.ticker AND m.i = w.i + 1)
 SELECT ticker, {what}CASE WHEN l = 0 THEN 100 ELSE round(100 - 100 / (1 + g / l), 6) END AS {name}
 FROM walk {join}"""
+RSI_LAST = RSI_RECURRENCE.format(p="{p}", what="", name="rsi_{p}", join="QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY i DESC) = 1")
+
 
+@query("WN1 WN2 WN4 WN5 WN6 WN7", f"""
+SELECT ticker, as_of, bar, {r6(*TECH_FLOATS, 'pct_vs_ma50', 'pct_vs_ma200')}, above_ma200, above_ma20, rsi_14, rsi_10 FROM tech
+LEFT JOIN ({RSI_LAST.format(p=14)}) USING (ticker) LEFT JOIN ({RSI_LAST.format(p=10)}) USING (ticker)""")
+def technicals_snapshot(t):
+    return t.quotes.withColumn("bar", F.col("bar").cast("bigint"))
 
-@query("WN3", RSI_RECURRENCE.format(
-    p=14, what="", name="rsi_14", join="QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY i DESC) = 1"))
+
+@query("WN1 WN2 WN4 WN5 WN6", f"SELECT ticker, d, bar, {r6(*TECH_FLOATS)} FROM tech_series")
+def technicals_series(t):
+    return technicals.series(t.bars).select("ticker", "d", F.col("bar").cast("bigint").alias("bar"), *TECH_FLOATS)
+
+
+@query("WN3", RSI_LAST.format(p=14))
 def wilder_rsi(t):
     return technicals.rsi(t.bars, 14)
 
 
+@query("WN3", f"""SELECT ticker, CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 5 > 1 THEN rsi_14 END AS rsi_14,
+CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 5 > 1 THEN rsi_10 END AS rsi_10 FROM ({RSI_LAST.format(p=14)}) JOIN ({RSI_LAST.format(p=10)}) USING (ticker)""")
+def guarded_rsi(t):
+    """A missing or non-finite first close leaves no index for the whole ticker."""
+    k, first = F.expr("substr(ticker, 2)").cast("bigint") % 5, F.row_number().over(technicals.by_ticker()) == 1
+    bars = t.bars.withColumn("close", F.when(first & (k == 0), F.lit(None)).when(first & (k == 1), F.lit(float("nan"))).otherwise(F.col("close")))
+    return technicals.rsi(bars, 14, 10)
+
+
 @query("WN3", RSI_RECURRENCE.format(p=10, what="d, ", name="rsi", join="JOIN moves USING (ticker, i)"))
 def wilder_rsi_series(t):
     return technicals.rsi_series(t.bars, 10).where(F.col("rsi").isNotNull())
