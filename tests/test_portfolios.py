@@ -214,3 +214,18 @@ def test_skewed_portfolio_keeps_every_row(spark):
     rows = [(1 if i % 3 else 2, f"T{i:05d}", "ira", "deep-tech", "core", 7, 0.2, "neutral", None) for i in range(6000)]
     out = sizing.target_weights(spark.createDataFrame(rows, HOLDING), "research")
     assert out.count() == 6000 and out.agg(F.sum("target_usd")).first()[0] == 42000
+
+
+def test_cash_counts_in_the_sleeve_of_a_priced_book(spark):
+    rows = [("a", "X", 2.0, 10.0, 20.0), ("b", "X", 1.0, None, None), ("c", "X", 1.0, 5.0, 5.0)]
+    valued = spark.createDataFrame(rows, "portfolio_id string, ticker string, shares double, price double, usd double")
+    cash = spark.createDataFrame([("a", 4.6), ("b", 9.0)], "portfolio_id string, cash_usd double")
+    got = {r["portfolio_id"]: r["sleeve_usd"] for r in signals.sleeve_value(valued, cash).collect()}
+    assert got == {"a": 25, "b": None, "c": 5}
+
+
+def test_after_tax_places_follow_the_multiples(spark):
+    rows = spark.createDataFrame([("p", "X", "ira", "core", "deep-tech")], "portfolio_id string, ticker string, account string, role string, sleeve string")
+    got = signals.after_tax_multiples(rows).orderBy("place").collect()
+    assert [r["place"] for r in got] == [1, 2, 3] and {r["location"] for r in got} == {"roth", "traditional", "taxable"}
+    assert [r["multiple"] for r in got] == sorted((r["multiple"] for r in got), reverse=True)

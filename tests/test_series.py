@@ -322,3 +322,13 @@ def test_average_ranks_match_sorted_ranks(spark):
     want = {x: (sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2) for x in v}
     got = average_rank(spark.createDataFrame([(x,) for x in v], "x double"), "x", "r").collect()
     assert len(got) == len(v) and all(r["r"] == want[r["x"]] for r in got)
+
+
+def test_term_inversion_is_decided_by_the_first_low_or_unusable_session(spark):
+    cases = {"up": [(2.0, 1.0), (2.0, 1.0), (2.0, 1.0)], "low_first": [(2.0, None), (2.0, 1.0), (0.5, 1.0)],
+             "gap_first": [(0.5, 1.0), (2.0, 0.0), (2.0, 1.0)], "gap_only": [(2.0, 1.0), (None, 1.0), (2.0, 1.0)],
+             "short": [(0.5, 1.0), (0.5, 1.0)]}
+    rows = [(k, i, a, b) for k, pairs in cases.items() for i, (a, b) in enumerate(pairs)]
+    got = timing.term_inversion(spark.createDataFrame(rows, "ticker string, d int, near double, far double"))
+    assert {r["ticker"]: r["term_inverted"] for r in got.collect()} == {
+        "up": True, "low_first": False, "gap_first": None, "gap_only": None, "short": None}

@@ -168,3 +168,14 @@ def test_store_upsert_is_idempotent_and_prunes(spark, tmp_path):
     assert got == [("A", dt.date(2000, 1, 3), 1.0), ("A", dt.date(2001, 1, 3), 5.0)]
     plan = store.read_series(spark, path, ["A"], "2001-01-01")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(d" in plan and "year" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_phrases_are_swept_in_blocks(spark):
+    from tidegauge.operators import leads
+
+    phrases = spark.createDataFrame([(f"phrase {i:04d}", "approved") for i in range(1200)] + [("nothing", "pending")], "phrase string, status string")
+    filings = spark.createDataFrame([("A", "a Phrase 0007 and phrase 1100"), ("A", "phrase 0007 nothing"), ("B", None)], "filer string, text string")
+    got = {(r["filer"], r["phrase"]): r["mentions"] for r in leads.phrase_hits(filings, leads.approved_phrases(phrases)).collect()}
+    assert got == {("A", "phrase 0007"): 2, ("A", "phrase 1100"): 1}
+    seed = leads.approved_phrases(phrases.where("status = 'pending'"))
+    assert seed.count() == len(leads.SEED_PHRASES)

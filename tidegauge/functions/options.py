@@ -1,7 +1,9 @@
-"""Option pricing as column expressions, so that a whole chain is screened without leaving the JVM."""
+"""Option pricing as column expressions; only the search for an implied volatility runs over Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,27 +71,46 @@ def greeks(kind: Column, s: Column, k: Column, t: Column, sigma: Column, r: floa
 
 def implied_vol(kind: Column, s: Column, k: Column, t: Column, market: Column, r: float = RATE, q: float = 0.0,
                 low: float = 1e-4, high: float = 5.0, steps: int = 100, tolerance: float = 1e-6) -> Column:
-    """Volatility that reproduces a price, by bisection inside one expression; null when none can."""
-    carry, discount = F.exp(-q * t), F.exp(-r * t)
-    floor = F.greatest(F.lit(0.0), F.when(kind == "put", k * discount - s * carry).otherwise(s * carry - k * discount))
-    solvable = (market > 0) & (t > 0) & (market >= floor - 1e-6) & (price(kind, s, k, t, F.lit(high), r, q) >= market)
-
-    def halve(state: Column, _: Column) -> Column:
-        def step(m: Column) -> Column:
-            mid, p = m["mid"], m["p"]
-            hit = F.abs(p - market) < tolerance
-            return F.struct(F.when(hit, mid).when(p > market, state["lo"]).otherwise(mid).alias("lo"),
-                            F.when(hit, mid).when(p > market, mid).otherwise(state["hi"]).alias("hi"))
-
-        middle = (state["lo"] + state["hi"]) / 2
-        halved = let(middle, lambda mid: let(
-            F.struct(mid.alias("mid"), price(kind, s, k, t, mid, r, q).alias("p")), step))
-        # a bracket that has closed on the answer stays closed
-        return F.when(state["lo"] == state["hi"], state).otherwise(halved)
-
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda st: (st["lo"] + st["hi"]) / 2)
-    return F.when(solvable, solved)
+    """Volatility that reproduces a price, by bisection over whole Arrow batches; null when none can.
+    Each step prices only the contracts whose bracket is still open."""
+
+    @F.pandas_udf("double")
+    def solve(kind: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, market: pd.Series) -> pd.Series:
+        put = (kind == "put").to_numpy()
+        spot, strike, years, paid = (x.to_numpy(float) for x in (s, k, t, market))
+        with np.errstate(all="ignore"):
+            parity = strike * np.exp(-r * years) - spot * np.exp(-q * years)
+            floor = np.maximum(0.0, np.where(put, parity, -parity))
+            top = prices(put, spot, strike, years, np.full(len(put), high), r, q)
+            solvable = (paid > 0) & (years > 0) & (paid >= floor - 1e-6) & (top >= paid)
+            lo, hi = np.full(len(put), low), np.full(len(put), high)
+            at = np.flatnonzero(solvable)
+            for _ in range(steps):
+                if not len(at):
+                    break
+                mid = (lo[at] + hi[at]) / 2
+                value = prices(put[at], spot[at], strike[at], years[at], mid, r, q)
+                hit, above = np.abs(value - paid[at]) < tolerance, value > paid[at]
+                lo[at] = np.where(above & ~hit, lo[at], mid)
+                hi[at] = np.where(above | hit, mid, hi[at])
+                at = at[lo[at] != hi[at]]
+        return pd.Series(np.where(solvable, (lo + hi) / 2, np.nan))
+
+    return solve(kind, *[c.cast("double") for c in (s, k, t, market)])
+
+
+def prices(put: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, sigma: np.ndarray, r: float, q: float) -> np.ndarray:
+    """`price` over arrays, for live contracts."""
+    spread = sigma * np.sqrt(t)
+    a = (np.log(s / k) + (r - q + sigma * sigma / 2) * t) / spread
+    own, owed, sign = s * np.exp(-q * t), k * np.exp(-r * t), np.where(put, -1.0, 1.0)
+    return sign * (own * cdf(sign * a) - owed * cdf(sign * (a - spread)))
+
+
+def cdf(x: np.ndarray) -> np.ndarray:
+    u = 1.0 / (1 + CDF_SCALE * np.abs(x))
+    below = CDF_DENSITY * np.exp(-x * x / 2) * u * np.polyval(CDF_TERMS[::-1], u)
+    return np.where(x >= 0, 1 - below, below)
 
 
 def fairness(iv_to_realized: Column) -> Column:

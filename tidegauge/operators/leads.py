@@ -18,20 +18,27 @@ SEED_PHRASES = [
 
 # ---- phrase sweep ------------------------------------------------------------------------------------
 
-def approved_phrases(phrases: DataFrame, seed: list[str] = SEED_PHRASES) -> Column:
-    """The approved phrases as one array, or the seed list when none is approved yet. The list is
-    reviewed by hand, so it is small whatever the corpus."""
-    approved = phrases.where(F.col("status") == "approved").agg(F.sort_array(F.collect_set("phrase"))).scalar()
-    return F.when(F.size(approved) > 0, approved).otherwise(F.array(*[F.lit(p) for p in seed]))
+def approved_phrases(phrases: DataFrame, seed: list[str] = SEED_PHRASES) -> DataFrame:
+    """The approved phrases (phrase), or the seed list when none is approved yet."""
+    approved = phrases.where(F.col("status") == "approved").select("phrase").distinct()
+    return phrases.sparkSession.createDataFrame([(p,) for p in seed], "phrase string") if approved.isEmpty() else approved
 
 
-def phrase_hits(filings: DataFrame, phrases: Column) -> DataFrame:
-    """(filer, phrase, mentions): filings of each filer that contain each phrase.
+def in_blocks(listed: DataFrame, name: str, size: int = 500) -> DataFrame:
+    """The distinct values of a column in arrays `_p` of about `size`, hashed, so that no row grows with the list."""
+    blocks = max(1, -(-listed.select(name).distinct().count() // size))
+    return listed.groupBy(F.pmod(F.xxhash64(name), F.lit(blocks)).alias("_b")).agg(
+        F.sort_array(F.collect_set(name)).alias("_p")).select("_p")
 
-    Matching is a filter inside the row; only (filer, phrase) pairs are shuffled, already counted per
-    task, so a filer with a third of the corpus sends no more than one row per phrase and task.
+
+def phrase_hits(filings: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(filer, phrase, mentions): filings of each filer that contain each phrase (phrase).
+
+    Each filing meets the phrases block by block, and matching is a filter inside the row; only (filer,
+    phrase) pairs are shuffled, already counted per task, so a filer with a third of the corpus sends no
+    more than one row per phrase and task.
     """
-    low = filings.select("filer", F.lower("text").alias("_low"), phrases.alias("_p"))
+    low = filings.select("filer", F.lower("text").alias("_low")).crossJoin(in_blocks(phrases, "phrase"))
     found = low.select("filer", F.explode(F.filter("_p", lambda p: F.contains(F.col("_low"), p))).alias("phrase"))
     return found.groupBy("filer", "phrase").agg(F.count("*").alias("mentions"))
 
@@ -189,9 +196,8 @@ def interleave(leads: DataFrame, limit: int | None = None) -> DataFrame:
 
 def topic_leads(papers: DataFrame, topics: DataFrame, proxies: DataFrame, min_papers: int = 5) -> DataFrame:
     """Topics (topic) named by enough papers (text) that also have a public proxy (topic, ticker)."""
-    listed = topics.agg(F.sort_array(F.collect_set("topic"))).scalar()
-    low = papers.select(F.lower("text").alias("_low"), listed.alias("_t"))
-    counts = low.select(F.explode(F.filter("_t", lambda p: F.contains(F.col("_low"), F.lower(p)))).alias("topic")).groupBy(
+    low = papers.select(F.lower("text").alias("_low")).crossJoin(in_blocks(topics, "topic"))
+    counts = low.select(F.explode(F.filter("_p", lambda p: F.contains(F.col("_low"), F.lower(p)))).alias("topic")).groupBy(
         "topic").agg(F.count("*").alias("papers"))
     return counts.where(F.col("papers") >= min_papers).join(proxies.select("topic"), "topic", "left_semi")
 

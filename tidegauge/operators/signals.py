@@ -217,12 +217,19 @@ def position_usd(positions: DataFrame, quotes: DataFrame, securities: DataFrame,
     return rows.withColumn("usd", F.col("price") * F.col("shares") * rate)
 
 
-def sleeve_value(valued: DataFrame) -> DataFrame:
+def sleeve_value(valued: DataFrame, cash: DataFrame | None = None) -> DataFrame:
+    """Value per portfolio of its priced positions plus its cash (portfolio_id, cash_usd; one row each);
+    null where no position has a price, with what is missing."""
     held = F.col("shares") > 0
-    return valued.groupBy("portfolio_id").agg(
-        F.when(F.count("usd") > 0, half_up(F.round(F.sum("usd"), 6))).alias("sleeve_usd"), F.count("usd").alias("priced"),
+    sums = valued.groupBy("portfolio_id").agg(
+        F.sum("usd").alias("_usd"), F.count("usd").alias("priced"),
         F.count_if(held & F.col("price").isNull()).alias("missing_price"),
         F.count_if(held & F.col("price").isNotNull() & F.col("usd").isNull()).alias("missing_rate"))
+    paid_in = F.lit(0.0)
+    if cash is not None:
+        sums, paid_in = sums.join(cash.select("portfolio_id", "cash_usd"), "portfolio_id", "left"), F.coalesce("cash_usd", F.lit(0.0))
+    value = F.when(F.col("priced") > 0, half_up(F.round(F.col("_usd") + paid_in, 6)))
+    return sums.select("portfolio_id", value.alias("sleeve_usd"), "priced", "missing_price", "missing_rate")
 
 
 def trim_candidates(positions: DataFrame, quotes: DataFrame, min_gain: float = 2, min_pe: float = 50) -> DataFrame:
@@ -262,14 +269,12 @@ def after_tax_multiples(holdings: DataFrame, years: int = 20) -> DataFrame:
     g = F.when(is_div, 0.04).otherwise(0.09)
     turnover = F.when(tactical, 0.2).otherwise(0.05)
     drag = y * TAX["qualified"] + turnover * 0.08 * TAX["ltcg"]
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("roth", "traditional", "taxable")]))
-    rows = holdings.withColumns({"annual_drag": drag, "_y": y, "_g": g}).withColumn("location", kinds)
-    grown = F.pow(1 + F.col("_g"), years)
-    taxed = 1 + (F.pow(F.greatest(F.lit(0.0), 1 + F.col("_g") - F.col("_y") * TAX["qualified"]), years) - 1) * (1 - TAX["ltcg"])
-    multiple = (F.when(F.col("location") == "roth", grown)
-                .when(F.col("location") == "traditional", grown * (1 - TAX["ordinary"])).otherwise(taxed))
-    best = Window.partitionBy("portfolio_id", "ticker", "account").orderBy(F.desc("multiple"), "location")
-    return rows.withColumn("multiple", multiple).withColumn("place", F.row_number().over(best)).drop("_y", "_g")
+    grown = F.pow(1 + g, years)
+    taxed = 1 + (F.pow(F.greatest(F.lit(0.0), 1 + g - y * TAX["qualified"]), years) - 1) * (1 - TAX["ltcg"])
+    kinds = {"roth": grown, "traditional": grown * (1 - TAX["ordinary"]), "taxable": taxed}
+    ranked = F.array_sort(F.array(*[F.struct((-m).alias("less"), F.lit(k).alias("location")) for k, m in kinds.items()]))
+    rows = holdings.withColumn("annual_drag", drag).select("*", F.posexplode(ranked).alias("place", "_best"))
+    return rows.withColumns({"location": F.col("_best.location"), "multiple": -F.col("_best.less"), "place": F.col("place") + 1}).drop("_best")
 
 
 # ---- valuation ---------------------------------------------------------------------------------------

@@ -65,12 +65,15 @@ def ladder_state(latest_signals: DataFrame) -> DataFrame:
 
 def term_inversion(pairs: DataFrame, key: str = "ticker", sessions: int = 3) -> DataFrame:
     """Pairs (key, d, near, far) on common dates: has near/far been at or above 1 on each of the last
-    `sessions` dates? Null with too few dates or an unusable far price."""
+    `sessions` dates? Null with too few dates. Counted back from the last date, whichever comes first
+    decides: a ratio below 1 (false) or an unusable price (null)."""
     back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("d")))
     tail = pairs.withColumn("_k", back).where(F.col("_k") <= sessions)
     r = F.when(F.col("far") > 0, F.col("near") / F.col("far"))
+    below, unusable = F.min(F.when(r < 1, F.col("_k"))), F.min(F.when(r.isNull(), F.col("_k")))
+    inverted = F.when(below < F.coalesce(unusable, F.lit(sessions + 1)), False).when(unusable.isNull(), True)
     return tail.groupBy(key).agg(
-        F.when(F.count(r) == sessions, F.min(r) >= 1).alias("term_inverted"),
+        F.when(F.count("*") == sessions, inverted).alias("term_inverted"),
         F.max(F.when(F.col("_k") == 1, r)).alias("term_ratio"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import options
-from tidegauge.functions.scalar import with_group
+from tidegauge.functions.scalar import ratio, with_group
 from tidegauge.operators import diversify, option_screen, signals, sizing
 from tidegauge.operators.universe import sleeve_axis
 from tidegauge.plans.prices import r6
@@ -114,13 +114,16 @@ def live_rebalance(t):
     usd = signals.position_usd(t.positions, t.quotes, t.securities, fx_rates(t)).where(F.col("usd").isNotNull()).select(
         "portfolio_id", "ticker", F.col("usd").alias("current_usd"))
     held = sized_holdings(t).join(usd, ["portfolio_id", "ticker"])
+    # a name held in several accounts: its value is split by what each account wants of it
+    held = with_group(held, ["portfolio_id", "ticker"], _wanted=F.sum("target_usd"))
+    held = held.withColumn("current_usd", ratio(F.col("current_usd") * F.col("target_usd"), F.col("_wanted"))).drop("_wanted")
     out = sizing.target_weights(held, "research", total="current_usd").withColumn("trim_ok", F.lit(False))
     return sizing.rebalance_rows(out).select(
         "portfolio_id", "account", "axis", "ticker", "current_usd", "target_usd", "delta_usd")
 
 
 shared(live_held="""SELECT * EXCLUDE (rf), CASE WHEN vol > 0 AND count(vol) OVER p >= 2 THEN least(1.15e0, greatest(0.85e0, exp(avg(ln(vol)) OVER p) / vol)) ELSE 1e0 END AS signal_factor
-  FROM (SELECT s.*, c.usd AS current_usd, 1 AS rf FROM sized s JOIN usd_positions c ON c.portfolio_id = s.portfolio_id AND c.ticker = s.ticker WHERE c.usd IS NOT NULL) WINDOW p AS (PARTITION BY portfolio_id)""")
+  FROM (SELECT s.*, c.usd * s.target_usd / sum(s.target_usd) OVER (PARTITION BY s.portfolio_id, s.ticker) AS current_usd, 1 AS rf FROM sized s JOIN usd_positions c ON c.portfolio_id = s.portfolio_id AND c.ticker = s.ticker WHERE c.usd IS NOT NULL) WINDOW p AS (PARTITION BY portfolio_id)""")
 
 
 @query("WN24", """SELECT portfolio_id, account, ticker, coalesce(tilt, 'n/a') AS tilt, CASE WHEN account <> 'ira' THEN 0e0

@@ -31,6 +31,8 @@ def cents(x) -> F.Column:
 
 
 _WRITING = threading.RLock()
+#: Order lines behind one bucket of a stored table, and the range of bucket numbers.
+ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 8, 4096
 
 
 class Tables:
@@ -63,7 +65,8 @@ class Tables:
             except AnalysisException:
                 pass
             df = build()
-            parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+            # from the footers' row counts, so that two sessions lay the same table out alike
+            parts = max(LEAST_BUCKETS, min(MOST_BUCKETS, self._lines.count() // ROWS_PER_BUCKET)) if bucket else None
             writer = (df.repartition(parts, bucket) if bucket else df).write.mode("overwrite").format("parquet").option("path", path)
             if bucket:
                 writer = writer.bucketBy(parts, bucket).sortBy(*([bucket, order] if order else [bucket]))
@@ -226,6 +229,12 @@ class Tables:
                     F.when(k % 3 != 0, (k % 90).cast("double")).alias("forward_pe"))
         )
 
+    @cached_property
+    def cash(self) -> DataFrame:
+        """Cash per portfolio; every third one reports none."""
+        return self.read("customer").where(F.col("c_custkey") % 3 > 0).select(
+            F.col("c_custkey").alias("portfolio_id"), F.col("c_acctbal").cast("double").alias("cash_usd"))
+
     @cached_property
     def claims(self) -> DataFrame:
         return self.stored("claims", self._claims)

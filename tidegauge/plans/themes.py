@@ -259,20 +259,21 @@ def company_facts(t):
     k = F.col("l_suppkey")
     ticker = F.concat(F.lit("S"), k).alias("ticker")
     quarter = F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")).cast("date")
-    year = F.date_trunc("year", F.col("l_shipdate").cast("timestamp")).cast("date")
 
-    def fact(rows, concept, start, months, value, fp, form):
-        return rows.groupBy(ticker, concept.alias("concept"), start.alias("start_d")).agg(value.alias("val")).select(
-            "ticker", "concept", "start_d", F.date_sub(F.add_months("start_d", months), 1).alias("end_d"), "val",
-            F.lit(fp).alias("fp"), F.lit(form).alias("form"))
+    def sums(rows, start, *values):
+        return rows.groupBy("l_suppkey", start.alias("start_d")).agg(*[F.sum(v).alias(n) for n, v in zip(("units", "sales", "income"), values)])
 
-    lines, eps = t.read("lineitem"), F.lit("EarningsPerShareDiluted")
-    revenue = F.when(k % 2 == 0, "Revenues").otherwise("SalesRevenueNet")
-    out = fact(lines.where(k % 11 != 0), eps, quarter, 3, F.sum("l_quantity") / 50 - 4, "Q", "10-Q")
-    for concept, value in ((eps, F.sum("l_quantity") / 40 - 20), (revenue, F.sum("l_extendedprice")),
-                           (F.lit("NetIncomeLoss"), F.sum(F.col("l_extendedprice") * F.col("l_discount")))):
-        out = out.unionByName(fact(lines, concept, year, 12, value, "FY", "10-K"))
-    return out
+    def facts(rows, months, fp, form, **values):
+        named = F.array(*[F.struct(concept.alias("concept"), F.expr(v).alias("val")) for concept, v in zip(values["concepts"], values["of"])])
+        end = F.date_sub(F.add_months("start_d", months), 1)
+        return rows.select(ticker, "start_d", end.alias("end_d"), F.lit(fp).alias("fp"), F.lit(form).alias("form"), F.inline(named))
+
+    quarters = t.stored("quarter_sums", lambda: sums(
+        t.read("lineitem"), quarter, F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_extendedprice") * F.col("l_discount")))
+    years = sums(quarters, F.date_trunc("year", F.col("start_d").cast("timestamp")).cast("date"), *map(F.col, ("units", "sales", "income")))
+    eps, revenue = F.lit("EarningsPerShareDiluted"), F.when(k % 2 == 0, "Revenues").otherwise("SalesRevenueNet")
+    return facts(quarters.where(k % 11 != 0), 3, "Q", "10-Q", concepts=[eps], of=["units / 50 - 4"]).unionByName(
+        facts(years, 12, "FY", "10-K", concepts=[eps, revenue, F.lit("NetIncomeLoss")], of=["units / 40 - 20", "sales", "income"]))
 
 
 def valuations(t):
@@ -303,6 +304,7 @@ def valuation_labels(t):
 shared(
     composite="""SELECT portfolio_id, ticker, account FROM (SELECT h.*, type, count(*) FILTER (type = 'etf') OVER (PARTITION BY portfolio_id) AS etfs
       FROM holdings h LEFT JOIN securities USING (ticker)) WHERE type = 'etf' OR etfs < 3""",
+    cash="""SELECT c_custkey AS portfolio_id, CAST(c_acctbal AS DOUBLE) AS cash_usd FROM customer WHERE c_custkey % 3 > 0""",
     usd_positions="""SELECT p.*, price, CASE cur WHEN 'USD' THEN 1e0 WHEN 'EUR' THEN 1.1e0 END * price * shares AS usd FROM (
       SELECT p.*, price, coalesce(currency, CASE WHEN is_foreign THEN 'UNKNOWN' ELSE 'USD' END) AS cur
       FROM positions p LEFT JOIN tech USING (ticker) LEFT JOIN securities USING (ticker)) p""",
@@ -322,18 +324,18 @@ def regime_components(t):
     return signals.regime_components(universe.composite_members(t.holdings, t.securities).select("portfolio_id", "ticker"), t.quotes)
 
 
-@query("PR19", """SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(round(sum(usd), 6) + 0.5e0) AS BIGINT) END AS sleeve_usd, count(usd) AS priced,
- count(*) FILTER (price IS NULL) AS missing_price, count(*) FILTER (price IS NOT NULL AND usd IS NULL) AS missing_rate FROM usd_positions GROUP BY 1""")
+@query("PR19", """SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(round(sum(usd) + coalesce(max(cash_usd), 0), 6) + 0.5e0) AS BIGINT) END AS sleeve_usd, count(usd) AS priced,
+ count(*) FILTER (price IS NULL) AS missing_price, count(*) FILTER (price IS NOT NULL AND usd IS NULL) AS missing_rate FROM usd_positions LEFT JOIN cash USING (portfolio_id) GROUP BY 1""")
 def sleeve_values(t):
-    return signals.sleeve_value(signals.position_usd(t.positions, t.quotes, t.securities, fx_rates(t)))
+    return signals.sleeve_value(signals.position_usd(t.positions, t.quotes, t.securities, fx_rates(t)), t.cash)
 
 
 @query("AG13", """SELECT portfolio_id, s.sleeve_usd, coalesce(h.trim_hits, 0) AS trim_hits,
  (SELECT abs(avg(pct_off_high)) >= 0.2 FROM tech) AS drawdown_met, coalesce(s.sleeve_usd >= 1720000, false) AS sleeve_met, coalesce(h.trim_hits, 0) > 0 AS trim_met
-FROM (SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(round(sum(usd), 6) + 0.5e0) AS BIGINT) END AS sleeve_usd FROM usd_positions GROUP BY 1) s
+FROM (SELECT portfolio_id, CASE WHEN count(usd) > 0 THEN CAST(floor(round(sum(usd) + coalesce(max(cash_usd), 0), 6) + 0.5e0) AS BIGINT) END AS sleeve_usd FROM usd_positions LEFT JOIN cash USING (portfolio_id) GROUP BY 1) s
 LEFT JOIN (SELECT portfolio_id, count(*) AS trim_hits FROM positions JOIN tech USING (ticker) WHERE price / cost_basis >= 2 AND forward_pe > 50 GROUP BY 1) h USING (portfolio_id)""")
 def trigger_conditions(t):
-    sleeves = signals.sleeve_value(signals.position_usd(t.positions, t.quotes, t.securities, fx_rates(t)))
+    sleeves = signals.sleeve_value(signals.position_usd(t.positions, t.quotes, t.securities, fx_rates(t)), t.cash)
     average = t.quotes.agg(F.avg("pct_off_high")).scalar()
     return signals.trigger_conditions(sleeves, signals.trim_candidates(t.positions, t.quotes), average, F.lit(False))
 
