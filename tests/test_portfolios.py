@@ -229,3 +229,12 @@ def test_after_tax_places_follow_the_multiples(spark):
     got = signals.after_tax_multiples(rows).orderBy("place").collect()
     assert [r["place"] for r in got] == [1, 2, 3] and {r["location"] for r in got} == {"roth", "traditional", "taxable"}
     assert [r["multiple"] for r in got] == sorted((r["multiple"] for r in got), reverse=True)
+
+
+def test_claims_stay_open_resolve_or_expire(spark):
+    day = lambda *x: dt.date(*x)
+    claims = spark.createDataFrame([("new", "up", day(2001, 6, 2)), ("due", "up", day(2001, 5, 30)), ("good", "up", day(2001, 5, 30)),
+                                    ("old", "up", day(2000, 1, 1))], "id string, claim string, resolve_on date")
+    graded = spark.createDataFrame([("new", True), ("good", False)], "id string, correct boolean")
+    got = {r["id"]: (r["status"], r["correct"]) for r in ledger.claim_states(claims, graded, F.lit("2001-06-01").cast("date")).collect()}
+    assert got == {"new": ("open", None), "due": ("open", None), "good": ("resolved", False), "old": ("expired", None)}

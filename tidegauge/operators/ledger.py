@@ -148,6 +148,16 @@ def grade_theme_claims(claims: DataFrame, baskets: DataFrame, bars: DataFrame) -
         rel_market.isNull().alias("market_unresolved"))
 
 
+def claim_states(claims: DataFrame, graded: DataFrame, today: Column) -> DataFrame:
+    """Every claim (id, claim, resolve_on) with its state: resolved once due and graded (id, correct),
+    expired if ungraded long after it was due, else open. No claim is lost."""
+    done = (F.col("resolve_on") <= today) & F.col("correct").isNotNull()
+    late = F.col("resolve_on") < F.date_sub(today, GRACE_DAYS)
+    return claims.join(graded.select("id", "correct"), "id", "left").select(
+        "id", "claim", "resolve_on", F.when(done, "resolved").when(late, "expired").otherwise("open").alias("status"),
+        F.when(done, F.col("correct")).alias("correct"))
+
+
 def grade_sizing(weights: DataFrame, prices: DataFrame) -> DataFrame:
     """Did the signal weights beat the research weights? `weights` has id, ticker, signal_weight,
     research_weight; `prices` has ticker, price_at, price_now. Weights are renormalised over the names

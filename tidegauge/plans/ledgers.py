@@ -101,18 +101,21 @@ shared(
 )
 
 
-def graded_themes(t):
+def theme_claims(t):
     dates = F.explode(F.sequence(F.lit("1996-01-01").cast("date"), F.lit("2000-12-31").cast("date"), F.expr("INTERVAL 3 MONTH")))
-    claims = t.themes.withColumn("date", dates).select(
+    return t.themes.withColumn("date", dates).select(
         F.concat_ws(":", "theme", F.col("date").cast("string")).alias("id"), F.col("theme").alias("basket"),
         F.lit("CX").alias("complex"), F.when(F.col("theme") == "N3", "none").otherwise("MK").alias("market"),
         F.when(F.col("priced_in").isin("high", "crowded"), "underperform").otherwise("outperform").alias("claim"),
         "date", F.date_add("date", 42).alias("resolve_on"))
+
+
+def graded_themes(t, until="9999-12-31"):
     etfs = t.securities.where(F.col("type") == "etf").select(F.lit("CX").alias("basket"), "ticker")
     market = t.market_bars.select(F.lit("MK").alias("basket"), "ticker").distinct()
     baskets = t.theme_members.select(F.col("theme").alias("basket"), "ticker").unionByName(etfs).unionByName(market)
     bars = t.bars.unionByName(t.market_bars.select("ticker", "d", "close"))
-    return ledger.grade_theme_claims(claims, baskets, bars)
+    return ledger.grade_theme_claims(theme_claims(t), baskets, bars.where(F.col("d") <= F.lit(until).cast("date")))
 
 
 @query("AG27", f"SELECT id, basket, claim, date, resolve_on, {r6('rel', 'rel_market')}, correct, correct_vs_market, market_unresolved FROM graded_themes")
@@ -120,6 +123,18 @@ def theme_claim_grades(t):
     return graded_themes(t)
 
 
+@query("ST7 AG27", """
+WITH lp AS (SELECT * FROM px WHERE d <= DATE '1999-06-30'),
+lret AS (SELECT basket, date, resolve_on, avg(p1.close / p0.close - 1) AS r FROM (SELECT * FROM wins JOIN bk USING (basket)) w
+ ASOF JOIN lp p0 ON p0.ticker = w.ticker AND p0.d >= w.date ASOF JOIN lp p1 ON p1.ticker = w.ticker AND p1.d >= w.resolve_on GROUP BY ALL),
+st AS (SELECT tc.id, claim, tc.resolve_on, x.r - y.r AS rel FROM tc LEFT JOIN lret x ON x.basket = tc.basket AND x.date = tc.date LEFT JOIN lret y ON y.basket = tc.complex AND y.date = tc.date)
+SELECT id, claim, resolve_on, CASE WHEN resolve_on <= DATE '1999-06-30' AND rel IS NOT NULL THEN 'resolved' WHEN resolve_on < DATE '1999-06-30' - 180 THEN 'expired' ELSE 'open' END AS status,
+ CASE WHEN resolve_on <= DATE '1999-06-30' AND rel IS NOT NULL THEN CASE claim WHEN 'underperform' THEN rel < 0 ELSE rel > 0 END END AS correct FROM st""")
+def theme_claim_states(t):
+    today = "1999-06-30"
+    return ledger.claim_states(theme_claims(t), graded_themes(t, today), F.lit(today).cast("date"))
+
+
 @query("AG14", """
 WITH r AS (SELECT 'tsmom_tilt' AS type, claim, correct, NULL::BOOLEAN AS cm, false AS mu FROM resolved_claims WHERE status = 'resolved'
  UNION ALL SELECT 'scarcity_rel', claim, correct, correct_vs_market, market_unresolved FROM graded_themes)
