@@ -83,9 +83,10 @@ def specificity(tally: DataFrame) -> DataFrame:
 
 def exposure(scored: DataFrame) -> DataFrame:
     """Per ticker: how many chokepoints it touches and how specifically. The edges themselves stay in
-    the scored table."""
+    the scored table. Scores have three decimals; their thousandths are summed, so no order shows."""
+    thousandths = F.round(F.col("score") * 1000).cast("long")
     return scored.groupBy("ticker").agg(
-        F.count("*").alias("degree"), fixed(F.avg("score"), 3).alias("avg_specificity")).withColumns({
+        F.count("*").alias("degree"), (fixed(F.avg(thousandths), 0) / 1000).alias("avg_specificity")).withColumns({
             "pure_play": F.col("degree") == 1, "hub": F.col("degree") >= 3})
 
 
