@@ -50,7 +50,16 @@ def fingerprint(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(fps):
+def shingles(text, n=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i:i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else set())
+
+
+def similarity(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def components(fps, linked=lambda a, b: (a ^ b).bit_count() <= 2):
     """fps: list of (doc_id, fingerprint); the smallest id of each one's component."""
     root = list(range(len(fps)))
 
@@ -61,7 +70,7 @@ def components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i][1] ^ fps[j][1]).bit_count() <= 2:
+            if linked(fps[i][1], fps[j][1]):
                 root[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(fps):

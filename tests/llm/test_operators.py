@@ -185,6 +185,31 @@ def test_links_keep_components(spark, most):
     assert all(got.get(f, f) == want[f] for f in signed)
 
 
+@pytest.mark.parametrize("most", [1, 16])
+def test_similar_copies(spark, most):
+    """Copies with a few words changed are one component, also by way of long posting lists; others stay."""
+    rng, texts = np.random.default_rng(5), []
+    for _ in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        for _ in range(8):
+            words = list(base)
+            for at in rng.integers(0, 400, 4):  # at most 20 of 396 shingles
+                words[at] = f"v{rng.integers(0, 5000)}"
+            texts.append(" ".join(words))
+    df = spark.createDataFrame([*enumerate(texts), (99, None), (100, ""), (101, "two words")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in simhash.cluster(df, words=5, most=most, similarity=0.8).collect()}
+    assert got == {i: i // 8 * 8 for i in range(48)} | {99: 99, 100: 99, 101: 101}
+
+
+def test_signature_estimates_similarity():
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 9000)]  # several pieces
+    texts = [" ".join(base), " ".join(base[:8000] + base[:1000])]
+    a, b = (np.frombuffer(simhash.signature(t, 5), np.uint8) for t in texts)
+    assert len(a) == simhash.POSITIONS and abs((a == b).mean() - brute.similarity(*map(brute.shingles, texts))) < 0.1
+    assert simhash.signature(None) is None and simhash.signature(" \n") is None
+
+
 def test_representatives_keep_unlinked_documents(spark):
     a, b = "one two three four five six seven", "entirely different words are standing here today"
     df = spark.createDataFrame([(None, a), (None, b), (2, a), (2, a), (3, b), (3, "yet another text of seven plain words")], "doc_id bigint, text string")

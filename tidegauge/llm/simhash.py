@@ -11,43 +11,71 @@ A posting list of more than `MOST` fingerprints is not expanded into pairs. Its
 so each sends its 32 one-flip variants of the others and itself: two of them are at most two flips
 apart exactly if they share such a variant, and a link to the smallest owner of a shared variant
 keeps them connected. This is exact, and linear in the members.
+
+Texts at a shingle similarity of 0.8 differ in about ten of the 64 bits, where no byte need be shared, so
+for a wanted similarity `cluster` adds links from a longer fingerprint: POSITIONS bytes, each of the least
+of all shingle hashes under one of as many hash functions, of which two texts share their similarity's
+part. Its index entries hold BAND positions, the shared positional bytes of each candidate pair are tallied,
+and the pair is kept if their share, corrected for chance, reaches the similarity.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import annotate, fresh
+from tidegauge.llm.common import annotate, fresh, mixed
 from tidegauge.session import cut
 
 RADIUS, MOST, WORDS, SEED = 2, 16, 3, 42
 LEAST_BYTES = 8 - RADIUS
 PAIRS = list(itertools.combinations(range(4), 2))
+#: Bytes of the longer fingerprint, positions in an index entry and entries of a fingerprint: at a similarity
+#: of 0.8 one entry is shared with probability 0.33, none of the 24 with 0.00007.
+POSITIONS, BAND, BANDS = 256, 5, 24
+_ODD, _SHIFT = np.random.default_rng(SEED).integers(0, 2**64, (2, POSITIONS, 1), np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, words: int = WORDS, piece: int = 1 << 16) -> int:
-    """The majority of each bit of the shingles' XXH64 as a signed 64-bit number; zero without a word."""
+def shingles(text: str | None, words: int = WORDS, piece: int = 1 << 16) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, in pieces; nothing without a word."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = list(itertools.accumulate(len(t) + 1 for t in tokens))
     starts = [0, *ends[:-1]]
     ends = ends[words - 1:] or ends[-1:]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(ends), piece):  # long texts in pieces: bits take 64 bytes a shingle
+    for at in range(0, len(ends), piece):
         own = ends[at:at + piece]
-        hashes = np.array([xxhash.xxh64_intdigest(joined[s:e - 1], SEED) for s, e in zip(starts[at:], own)], np.uint64)
+        yield np.array([xxhash.xxh64_intdigest(joined[s:e - 1], SEED) for s, e in zip(starts[at:], own)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int = WORDS, piece: int = 1 << 16) -> int:
+    """The majority of each bit of the shingles' XXH64 as a signed 64-bit number; zero without a word."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingles(text, words, piece):  # long texts in pieces: bits take 64 bytes a shingle
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
+        n += len(hashes)
         for some in range(0, len(bits), 255):
             ones += bits[some:some + 255].sum(0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * ones > len(ends), bitorder="little").tobytes(), "little", signed=True)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
+
+
+def signature(text: str | None, words: int = WORDS) -> bytes | None:
+    """The longer fingerprint: a byte of the least shingle hash under each function; null without a word."""
+    least = None
+    for hashes in shingles(text, words, 1 << 12):
+        own = (hashes * _ODD + _SHIFT).min(1)
+        least = own if least is None else np.minimum(least, own)
+    return None if least is None else (mixed(least, 5) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: int = WORDS) -> DataFrame:
@@ -97,6 +125,39 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def similar_links(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
+    """(a, b) links between fingerprints whose longer fingerprints `sig` share enough bytes. All pairs of
+    short posting lists are candidates; the members of a list above `most` meet its smallest member and,
+    as lists of unlike texts can grow, the smallest of its part that shares two and that shares five more
+    positions. Linear in the members; members of a long list that resemble neither leader nor each
+    other's leader in any of their lists can lose a link."""
+    entry = lambda at, n: F.conv(F.hex(F.substring("sig", at + 1, n)), 16, 10).cast("long")
+    following = lambda k, n: entry(BAND * ((k + 1) % BANDS), n)
+    entries = [F.struct(F.lit(k).alias("slot"), entry(BAND * k, BAND).alias("bytes"),
+                        following(k, 2).alias("two"), following(k, 5).alias("five")) for k in range(BANDS)]
+    posted = cut(fps.where("sig is not null").select("fp", F.inline(F.array(*entries)).alias("slot", "bytes", "two", "five")))
+    lists = posted.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    met = cut(posted.join(lists, ["slot", "bytes"]))
+
+    short = met.where(F.col("n") <= most)
+    a, b = short.select("slot", "bytes", F.col("fp").alias("a")), short.select("slot", "bytes", F.col("fp").alias("b"))
+    wanted = [a.join(b, ["slot", "bytes"]).where(F.col("a") < F.col("b")).select("a", "b")]
+    long_ = met.where(F.col("n") > most)
+    for key in (["slot", "bytes"], ["slot", "bytes", "two"], ["slot", "bytes", "five"]):
+        leaders = long_.groupBy(*key).agg(F.min("fp").alias("a"))
+        wanted.append(long_.join(leaders, key).where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b")))
+    pairs = cut(functools.reduce(DataFrame.union, wanted).distinct())
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
+            equal = (left == right).mean(1)
+            yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= similarity))
+
+    sig = lambda of: fps.select(F.col("fp").alias(of), F.col("sig").alias(f"sig_{of}"))
+    return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(verified, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node it reaches. Alternates the
     two star rewritings, which keep connectivity and end in stars; each round is a written table."""
@@ -125,20 +186,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MOST,
-            keep: list[str] | None = None) -> DataFrame:
+            keep: list[str] | None = None, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: the columns `keep` (the id by default), `fp` (long), `component`, the
     smallest doc_id among all documents reachable over links of at most two differing bits, itself
-    included, and `root`, the component's smallest fingerprint. Null and empty texts have fingerprint zero and link like any other; a null doc_id never is
-    a component's id unless the component has no other. Repeated rows and copies share a fingerprint and
+    included, and `root`, the component's smallest fingerprint. With a `similarity`, documents whose shingle
+    sets reach it (estimated from POSITIONS bytes, so within about 0.025) are linked too. Null and empty
+    texts have fingerprint zero and link by it like any other; a null doc_id never is a component's id unless the component has no other. Repeated rows and copies share a fingerprint and
     are indexed once; an empty table gives an empty result. Texts and extra columns are left behind
     after the fingerprint, so clashing names do not matter and no text is shuffled."""
     keep = keep or [doc_id]
     columns = [docs[c] for c in dict.fromkeys([*keep, doc_id, text])]
     plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     of = dict(zip(dict.fromkeys([*keep, doc_id, text]), plain.columns))
-    marked = cut(fingerprints(plain, of[text], "fp", words).select("fp", *dict.fromkeys([of[doc_id], *[of[c] for c in keep]])))
-    ids = cut(marked.groupBy("fp").agg(F.min(of[doc_id]).alias("low")))
-    roots = components(links(ids.select("fp"), most))
+    printed = fingerprints(plain, of[text], "fp", words)
+    if similarity is not None:
+        printed = annotate(printed, of[text], "sig", T.BinaryType(), lambda texts: [signature(t, words) for t in texts])
+    sigs = ["sig"] if similarity is not None else []
+    marked = cut(printed.select("fp", *sigs, *dict.fromkeys([of[doc_id], *[of[c] for c in keep]])))
+    ids = cut(marked.groupBy("fp").agg(F.min(of[doc_id]).alias("low"), *[F.min(c).alias(c) for c in sigs]))
+    edges = links(ids.select("fp"), most)
+    if similarity is not None:
+        edges = edges.union(similar_links(ids.select("fp", "sig"), similarity, most)).distinct()
+    roots = components(edges)
     rooted = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
@@ -150,14 +219,15 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
+                    similarity: float | None = None) -> DataFrame:
     """One document of each component with the columns of docs as they were: the smallest doc_id, ids
     before null, then the smallest hash of the row; equal rows stay once. A document is known by a
     128-bit hash of all its columns, so null or repeated ids lose no document of another component."""
     row = [F.col(c) for c in docs.columns]
     r1, r2 = fresh(docs, "row1"), fresh(docs, "row2")
     marked = docs.withColumns({r1: F.xxhash64(F.lit(1), *row), r2: F.xxhash64(F.lit(2), *row)})
-    near = cluster(marked, doc_id, text, words, keep=[doc_id, r1, r2])
+    near = cluster(marked, doc_id, text, words, keep=[doc_id, r1, r2], similarity=similarity)
     first = F.min(F.struct(F.col(doc_id).isNull(), doc_id, r1, r2)).alias("first")
     kept = near.groupBy("root").agg(first) \
         .select(F.col(f"first.{r1}").alias(r1), F.col(f"first.{r2}").alias(r2))
