@@ -207,7 +207,7 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     edges = links(ids.select("fp"), most)
     if similarity is not None:
         edges = edges.union(similar_links(ids.select("fp", "sig"), similarity, most)).distinct()
-    roots = components(edges)
+    roots = components(cut(edges))
     rooted = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
