@@ -210,6 +210,20 @@ def test_signature_estimates_similarity():
     assert simhash.signature(None) is None and simhash.signature(" \n") is None
 
 
+def test_similarity_is_exact_at_the_limit(spark):
+    """Pairs just at and just under 0.8, where an estimate goes either way: 20 of each, all decided right."""
+    rng, texts = np.random.default_rng(8), []
+    for k in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 94)]  # 90 shingles of five words
+        tail = [f"v{x}" for x in rng.integers(0, 10**6, 10 + k % 2)]
+        texts += [" ".join(base), " ".join(base[:94 - len(tail)] + tail)]
+    sims = [brute.similarity(*map(brute.shingles, texts[i:i + 2])) for i in range(0, 80, 2)]
+    assert set(sims) == {0.8, 79 / 101}
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in simhash.cluster(df, words=5, similarity=0.8).collect()}
+    assert [got[i + 1] == i for i in range(0, 80, 2)] == [s >= 0.8 for s in sims]
+
+
 def test_representatives_keep_unlinked_documents(spark):
     a, b = "one two three four five six seven", "entirely different words are standing here today"
     df = spark.createDataFrame([(None, a), (None, b), (2, a), (2, a), (3, b), (3, "yet another text of seven plain words")], "doc_id bigint, text string")

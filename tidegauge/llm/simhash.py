@@ -15,14 +15,16 @@ keeps them connected. This is exact, and linear in the members.
 Texts at a shingle similarity of 0.8 differ in about ten of the 64 bits, where no byte need be shared, so
 for a wanted similarity `cluster` adds links from a longer fingerprint: POSITIONS bytes, each of the least
 of all shingle hashes under one of as many hash functions, of which two texts share their similarity's
-part. Its index entries hold BAND positions, the shared positional bytes of each candidate pair are tallied,
-and the pair is kept if their share, corrected for chance, reaches the similarity.
+part. Its index entries hold BAND positions, and the shared positional bytes of each candidate pair are tallied.
+The tally is a filter with a margin; of the pairs it passes the shared shingles are counted, and those at the
+similarity or more are kept.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import annotate, fresh, mixed
+from tidegauge.llm.common import annotate, fresh, mixed, with_held
 from tidegauge.session import cut
 
 RADIUS, MOST, WORDS, SEED = 2, 16, 3, 42
@@ -41,6 +43,8 @@ PAIRS = list(itertools.combinations(range(4), 2))
 #: Bytes of the longer fingerprint, positions in an index entry and entries of a fingerprint: at a similarity
 #: of 0.8 one entry is shared with probability 0.33, none of the 24 with 0.00007.
 POSITIONS, BAND, BANDS = 256, 5, 24
+#: Standard deviations that the tally of bytes may stay below the similarity: one pair in three million is lost.
+MARGIN = 5
 _ODD, _SHIFT = np.random.default_rng(SEED).integers(0, 2**64, (2, POSITIONS, 1), np.uint64) | np.uint64(1)
 
 
@@ -78,6 +82,11 @@ def signature(text: str | None, words: int = WORDS) -> bytes | None:
     return None if least is None else (mixed(least, 5) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def distinct_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The XXH64 of the different shingles, as signed numbers in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(text, words)])).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: int = WORDS) -> DataFrame:
     """docs with the fingerprint as a long column; null and empty texts give zero."""
     return annotate(docs, text, out, T.LongType(), lambda texts: [fingerprint(t, words) for t in texts])
@@ -125,9 +134,9 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def similar_links(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
-    """(a, b) links between fingerprints whose longer fingerprints `sig` share enough bytes. All pairs of
-    short posting lists are candidates; the members of a list above `most` meet its smallest member and,
+def similar_pairs(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
+    """(a, b) pairs of fingerprints whose longer fingerprints `sig` share so many bytes that their texts may
+    reach the similarity. All pairs of short posting lists are candidates; the members of a list above `most` meet its smallest member and,
     as lists of unlike texts can grow, the smallest of its part that shares two and that shares five more
     positions. Linear in the members; members of a long list that resemble neither leader nor each
     other's leader in any of their lists can lose a link."""
@@ -148,14 +157,31 @@ def similar_links(fps: DataFrame, similarity: float, most: int = MOST) -> DataFr
         wanted.append(long_.join(leaders, key).where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b")))
     pairs = cut(functools.reduce(DataFrame.union, wanted).distinct())
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / POSITIONS)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
             equal = (left == right).mean(1)
-            yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= similarity))
+            yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= least))
 
     sig = lambda of: fps.select(F.col("fp").alias(of), F.col("sig").alias(f"sig_{of}"))
-    return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(verified, "a long, b long")
+    return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(likely, "a long, b long")
+
+
+def reaching(pairs: DataFrame, fps: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) whose texts' different shingles reach the similarity, by counting the shared ones. A
+    fingerprint's text is the one of texts (text, t1, t2) with its hashes in fps (fp, t1, t2); only texts of
+    pairs are read into shingles, equal texts once."""
+    pairs = cut(pairs)
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = cut(fps.select("fp", "t1", "t2").join(nodes, "fp", "left_semi"))
+    once = texts.join(wanted, ["t1", "t2"]).groupBy("fp").agg(F.first("text").alias("text"))
+    hashes = lambda some: [distinct_shingles(t, words) for t in some]
+    sets = cut(annotate(once, "text", "hashes", T.ArrayType(T.LongType()), hashes).select("fp", "hashes"))
+    of = lambda side: sets.select(F.col("fp").alias(side), F.col("hashes").alias(f"of_{side}"))
+    met = with_held(pairs.join(of("b"), "b").join(of("a"), "a"), {"shared": F.size(F.array_intersect("of_a", "of_b"))})
+    return met.where(F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= similarity).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,10 +216,11 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """One row per row of docs: the columns `keep` (the id by default), `fp` (long), `component`, the
     smallest doc_id among all documents reachable over links of at most two differing bits, itself
     included, and `root`, the component's smallest fingerprint. With a `similarity`, documents whose shingle
-    sets reach it (estimated from POSITIONS bytes, so within about 0.025) are linked too. Null and empty
+    sets reach it are linked too. Null and empty
     texts have fingerprint zero and link by it like any other; a null doc_id never is a component's id unless the component has no other. Repeated rows and copies share a fingerprint and
     are indexed once; an empty table gives an empty result. Texts and extra columns are left behind
-    after the fingerprint, so clashing names do not matter and no text is shuffled."""
+    after the fingerprint, so clashing names do not matter; texts are read again only to count the shared
+    shingles of likely pairs."""
     keep = keep or [doc_id]
     columns = [docs[c] for c in dict.fromkeys([*keep, doc_id, text])]
     plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
@@ -201,12 +228,16 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     printed = fingerprints(plain, of[text], "fp", words)
     if similarity is not None:
         printed = annotate(printed, of[text], "sig", T.BinaryType(), lambda texts: [signature(t, words) for t in texts])
-    sigs = ["sig"] if similarity is not None else []
+        printed = printed.withColumns({f"t{i}": F.xxhash64(F.lit(i), of[text]) for i in (1, 2)})
+    sigs = ["sig", "t1", "t2"] if similarity is not None else []
     marked = cut(printed.select("fp", *sigs, *dict.fromkeys([of[doc_id], *[of[c] for c in keep]])))
-    ids = cut(marked.groupBy("fp").agg(F.min(of[doc_id]).alias("low"), *[F.min(c).alias(c) for c in sigs]))
+    one = [F.min(F.struct(*sigs)).alias("one")] if sigs else []
+    ids = cut(marked.groupBy("fp").agg(F.min(of[doc_id]).alias("low"), *one).select("fp", "low", *[f"one.{c}" for c in sigs]))
     edges = links(ids.select("fp"), most)
     if similarity is not None:
-        edges = edges.union(similar_links(ids.select("fp", "sig"), similarity, most)).distinct()
+        texts = plain.select(F.col(of[text]).alias("text"), *[F.xxhash64(F.lit(i), of[text]).alias(f"t{i}") for i in (1, 2)])
+        likely = similar_pairs(ids.select("fp", "sig"), similarity, most)
+        edges = edges.union(reaching(likely, ids, texts, similarity, words)).distinct()
     roots = components(cut(edges))
     rooted = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
