@@ -329,3 +329,36 @@ def test_salvage(spark, zipped):
     gaps = [(s, e) for s, e, why, _ in steps if why]
     assert gaps == [(len(parts[0]) + len(parts[1]), sum(map(len, parts[:3]))), (sum(map(len, parts[:5])), len(cut_off))]
     assert list(warc.salvage(b"")) == [] and [why is not None for _, _, why, _ in warc.salvage(b"junk")] == [True]
+
+
+def test_salvage_inside_members():
+    """A bad record, a wrong checksum or a missing tail costs a member of many records only what it hits."""
+    def record(i):
+        import hashlib
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + hashlib.sha512(bytes([i])).hexdigest().encode() * 500
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nPage-ID: {i}\r\nWARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    raw = [record(i) for i in range(6)]
+    bad = raw[2].replace(b"200 OK", b"200 KO")
+    ids = lambda data: [r["fields"]["page-id"] for _, _, _, rs in warc.salvage(data) for r in rs]
+    gaps = lambda data: [(s, e, why) for s, e, why, _ in warc.salvage(data) if why]
+    first = gzip.compress(raw[0])
+    many = gzip.compress(b"".join([raw[1], bad, raw[3], raw[4]]))
+    whole = first + many + gzip.compress(raw[5])
+    assert ids(whole) == list("01345")
+    (start, end, why), = gaps(whole)
+    assert (start, end) == (len(first), len(first) + len(many)) and f"bytes {len(raw[1])} to {len(raw[1]) + len(bad)} of" in why
+
+    sound = gzip.compress(b"".join(raw[1:5]))
+    checksum = sound[:-8] + bytes([sound[-8] ^ 1]) + sound[-7:]
+    assert ids(first + checksum + gzip.compress(raw[5])) == list("012345")
+    (start, end, why), = gaps(first + checksum + gzip.compress(raw[5]))
+    assert len(first) < start <= end == len(first) + len(sound) and f"the member at {len(first)}" in why
+
+    stored = gzip.compress(b"".join(raw[1:5]), 0)
+    assert ids(first + stored[:-len(raw[4]) // 2]) == list("0123")
+    half = bytearray(gzip.compress(b"".join(raw), 6))
+    half[-200:-190] = b"\xff" * 10
+    assert ids(bytes(half) + first)[:4] == list("0123") and ids(bytes(half) + first)[-1] == "0"
+    assert ids(gzip.compress(b"".join(raw))[:-6]) == list("012345")

@@ -4,8 +4,11 @@ The writer gives each page one record. Of pages with equal payloads of at least
 with the largest id carries the payload, the others are revisits that refer to it.
 
 The reader walks plain archives and archives of gzip members. A record that fails a check (header,
-length, end mark, member checksum, block digest) is left, the next valid member or version line is
-searched behind it, reading goes on there, and the bytes between are logged as a gap.
+length, end mark, block digest) is left, the next valid record is searched behind it, reading goes on
+there, and the bytes between are logged as a gap. A member's content is walked in the same way. Of a
+member that is cut off or damaged, what was inflated before the error is walked; the rest is a gap up to
+the next member or version line with a valid record. Where a member is one record, the member's check
+is the record's.
 """
 
 from __future__ import annotations
@@ -124,59 +127,92 @@ def digest_agrees(named: str | None, data: bytes) -> bool:
     return value.lower() == own.hexdigest() or value.upper() == base64.b32encode(own.digest()).decode()
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The content of the gzip member that begins at `at` and its end, or what is wrong with it."""
-    opened, parts = zlib.decompressobj(31), []
-    try:
-        for start in range(at, len(data), 1 << 20):
-            parts.append(opened.decompress(data[start:start + (1 << 20)]))
-            if opened.eof:
-                return b"".join(parts), min(start + (1 << 20), len(data)) - len(opened.unused_data)
-    except zlib.error as e:
-        return str(e)
-    return "cut off"
-
-
-def step(data: bytes, at: int) -> tuple[list[dict], int] | str:
-    """The record or the member's records at `at` and the end, or the check that fails."""
+def member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member that begins at `at`, its end, and None or what is wrong with it; then
+    the content is all that was inflated before the error."""
+    opened, parts, size = zlib.decompressobj(31), [], 1 << 20
+    while at < len(data):
+        before = opened.copy()
+        try:
+            parts.append(opened.decompress(data[at:at + size]))
+        except zlib.error as e:  # that call's output is lost: again in smaller pieces, at last byte by byte out
+            opened = before
+            if size > 1:
+                size >>= 5
+                continue
+            try:
+                given = data[at:at + 1]
+                while out := opened.decompress(given, 1):
+                    parts.append(out)
+                    given = opened.unconsumed_tail
+            except zlib.error:
+                pass
+            return b"".join(parts), at, str(e)
+        at = min(at + size, len(data))
+        if opened.eof:
+            return b"".join(parts), at - len(opened.unused_data), None
+    return b"".join(parts), at, "cut off"
+
+
+def inside(content: bytes, why: str | None) -> Iterator[tuple[int, int, str | None, list[dict]]]:
+    """The content of a member walked; where a member is one record, a failed check of the member fails it."""
+    for start, stop, bad, records in salvage(content, False):
+        sole = bad is None and why is not None and (start, stop) == (0, len(content))
+        yield (start, stop, why, []) if sole else (start, stop, bad, records)
+
+
+def valid(data: bytes, at: int) -> bool:
+    """Whether a valid record, a member with one, or an empty member begins at `at`."""
     if data[at:at + 3] != MEMBER:
-        got = parsed(data, at)
-        return got if isinstance(got, str) else ([got[0]], got[1])
-    got = member(data, at)
-    if isinstance(got, str):
-        return got
-    content, records, inner = got[0], [], 0
-    while inner < len(content):
-        one = parsed(content, inner)
-        if isinstance(one, str):
-            return one
-        records.append(one[0])
-        inner = one[1]
-    return records, got[1]
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, list[dict]]]:
-    """(start, end, failed check or None, records) over a whole archive, in order and without holes."""
+        return not isinstance(parsed(data, at), str)
+    content, _, why = member(data, at)
+    return any(bad is None for _, _, bad, _ in inside(content, why)) if content else why is None
+
+
+def following(data: bytes, here: int, members: bool) -> int:
+    """The next place from `here` that begins a member or a version line and is valid, or the end."""
+    while True:
+        line, zipped = VERSION.search(data, here), data.find(MEMBER, here) if members else -1
+        found = ([line.start()] if line else []) + ([zipped] if zipped >= 0 else [])
+        if not found:
+            return len(data)
+        if valid(data, here := min(found)):
+            return here
+        here += 1
+
+
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, str | None, list[dict]]]:
+    """(start, end, failed check or None, records) over a whole archive, in order. A member gives one such
+    row for each record in it, with the member's bounds; a gap inside it has these too, and its own bounds
+    in the content are part of the text. Without `members` data is the content of one."""
     at = 0
     while at < len(data):
-        got = step(data, at)
-        if not isinstance(got, str):
-            yield at, got[1], None, got[0]
-            at = got[1]
+        if not members or data[at:at + 3] != MEMBER:
+            got = parsed(data, at)
+            end = following(data, at + 1, members) if isinstance(got, str) else got[1]
+            yield (at, end, got, []) if isinstance(got, str) else (at, end, None, [got[0]])
+            at = end
             continue
-        first, here = got, at + 1
-        while True:  # the next place that begins a member or a version line and passes all checks
-            line, zipped = VERSION.search(data, here), data.find(MEMBER, here)
-            found = ([line.start()] if line else []) + ([zipped] if zipped >= 0 else [])
-            if not found:
-                here = len(data)
-                break
-            here = min(found)
-            if not isinstance(step(data, here), str):
-                break
-            here += 1
-        yield at, here, first, []
-        at = here
+        content, end, why = member(data, at)
+        done, held = 0, []
+        for start, stop, bad, records in inside(content, why):
+            if bad is not None:
+                held.append((at, end, f"{bad}, bytes {start} to {stop} of the member's content", []))
+                continue
+            yield from held
+            yield at, end, None, records
+            done, held = stop, []
+        if why is None:
+            yield from held
+        else:  # the rest of the content is part of the gap, which begins behind the last record's bytes
+            start = at
+            if done:
+                again = zlib.decompressobj(31)
+                again.decompress(read := data[at:end + 1], done - 1)  # the last byte's call would fail as well
+                start = at + len(read) - len(again.unconsumed_tail)
+            end = following(data, max(start, at + 1), True)
+            yield start, end, f"{why}, from byte {done} of the content of the member at {at}", []
+        at = end
 
 
 def rows_of(archive: str, data: bytes, payloads: bool) -> Iterator[dict]:
@@ -193,7 +229,9 @@ def rows_of(archive: str, data: bytes, payloads: bool) -> Iterator[dict]:
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records and gaps of the archives under `path`: a record has a type, a gap has the failed check
-    in `gap` and its bytes from `offset` to `end`. Records carry payload, its length and SHA-1 in lower-case
+    in `gap` and its bytes from `offset` to `end`; in a gzip member these are the member's, and a gap inside
+    names its bytes in the content. A record without digests is taken by its header, length and end mark,
+    also from a member of several records whose checksum fails. Records carry payload, its length and SHA-1 in lower-case
     hexadecimal; those of revisits are empty. Without `payloads` the payload column is null. No file, or
     empty files, give an empty result."""
     kind = pa_type(RECORD)
