@@ -254,6 +254,26 @@ def test_fit_is_best():
         assert best - int((take * np.array(lengths)).sum()) <= min(lengths)
 
 
+def test_fit_above_the_first_program():
+    from itertools import product
+
+    def best(lengths, n, budget):
+        return max(s for c in product(*[range(x + 1) for x in n]) if (s := sum(a * b for a, b in zip(c, lengths))) <= budget)
+
+    rng = np.random.default_rng(4)
+    cases = [([100_003, 90_001, 60_002], [1, 1, 1], 150_003), ([100_000, 90_000, 60_000], [1, 1, 1], 150_000)]
+    cases += [(np.unique(rng.integers(1, 90_000, 6)).tolist(), [1, 2, 1, 3, 1, 2], int(rng.integers(9000, 300_000))) for _ in range(30)]
+    for lengths, n, budget in cases:
+        take = mixing.fit(np.array(lengths), np.array(n[:len(lengths)]), budget)
+        assert all(0 <= t <= x for t, x in zip(take, n)) and int((take * np.array(lengths)).sum()) == best(lengths, n[:len(lengths)], budget)
+
+
+def test_fit_takes_all_lengths_alike():
+    lengths = np.arange(100, 20_100)  # each once: half the words are not the longest 30 percent
+    take = mixing.fit(lengths, np.ones(20_000, np.int64), int(lengths.sum()) // 2)
+    assert int((take * lengths).sum()) == int(lengths.sum()) // 2 and 0.45 < take[:10_000].mean() < 0.55
+
+
 def test_rollup(spark, odd, empty):
     store = f"{shared_dir(spark)}/rollup-test-{np.random.default_rng().integers(1 << 60)}"
     versions = ("words", "byte_bpe_50k")

@@ -3,11 +3,15 @@
 Sources share a budget by weight, none above a multiple of its own size. Within a source, documents are
 counted by exact length. Whole passes over the source come first; of the remaining budget each length
 gives its proportional number of documents, the rest is fitted by a bounded-knapsack dynamic program
-over the length counts, and the documents of a length are chosen in seeded order.
+over the length counts, and the documents of a length are chosen in seeded order. While the budget is
+not met exactly, documents are put back and the program runs over more words, at last over the whole
+budget, so no choice of documents comes nearer.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +21,7 @@ from tidegauge.llm.common import SPACE
 from tidegauge.session import cut
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
-#: Words that the dynamic program covers at most, and hash buckets of a length.
+#: Words that the dynamic program covers at first, and hash buckets of a length.
 FIT, BUCKETS = 1 << 14, 256
 
 
@@ -49,37 +53,80 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
     return ranked.select("source", "source_size", F.least(F.lit(float(most)) * size, weight * level).alias("target"))
 
 
+def extended(reach: int, parts: list[tuple[int, int]], limit: int) -> int:
+    """Sums up to the limit as bits: those of `reach` with or without each part's words."""
+    full = (1 << limit + 1) - 1
+    reach &= full
+    for _, words_ in parts:
+        reach |= reach << words_ & full
+    return reach
+
+
+def chosen(parts: list[tuple[int, int]], before: int, at: int) -> list[int]:
+    """Places of the parts that lead from a sum in `before` to the sum `at`. Halves are run again instead of
+    keeping the sums of each step: as many bit sets are held as the parts can be halved."""
+    found, open_ = [], [(0, len(parts), before)]
+    while open_:
+        low, high, before = open_.pop()
+        if before >> at & 1:
+            continue
+        if high - low == 1:
+            found.append(low)
+            at -= parts[low][1]
+            continue
+        half = (low + high) // 2
+        open_ += [(low, half, before), (half, high, extended(before, parts[low:half], at))]
+    return found
+
+
+def nearest(lengths: np.ndarray, available: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take so that no other choice comes nearer to the budget from below."""
+    take, parts, counts, reach = np.zeros(len(lengths), np.int64), [], [], 1
+    for i in np.argsort(lengths)[::-1]:
+        size = int(lengths[i])
+        n, part = min(int(available[i]), budget // size), 1
+        while n > 0 and not reach >> budget & 1:
+            part = min(part, n)
+            parts.append((i, part * size))
+            counts.append(part)
+            reach = extended(reach, parts[-1:], budget)
+            n, part = n - part, part * 2
+    for k in chosen(parts, 1, reach.bit_length() - 1):
+        take[parts[k][0]] += counts[k]
+    return take
+
+
 def fit(lengths: np.ndarray, available: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that the sum comes nearest below the budget: proportional
-    counts, then the longest that fit, until the dynamic program can cover the rest."""
+    counts, rounded over the lengths in order, and the longest that fit; then the dynamic program over the
+    rest and documents put back, four times as many words each time, until the budget is met or all are
+    put back. Lengths count in units of their greatest common divisor."""
+    unit = math.gcd(*map(int, lengths))
+    lengths, budget = lengths // unit, budget // unit
     total = int((lengths * available).sum())
     if budget >= total:
         return available.copy()
-    take = np.array([int(n) * budget // total for n in available], np.int64)
+    order, take, seen = np.argsort(-lengths), np.zeros(len(lengths), np.int64), 0
+    for i in order:  # from the longest on, so that the rounded counts stay below the budget
+        take[i] = (seen + int(available[i])) * budget // total - seen * budget // total
+        seen += int(available[i])
     left = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths):
+    for i in order:
         if left <= FIT:
             break
         more = min(int(available[i] - take[i]), left // int(lengths[i]))
         take[i] += more
         left -= more * int(lengths[i])
-    left_fit = min(left, FIT)
-    steps, reach = [], 1  # bit b of `reach`: a sum of b words can be made
-    full = (1 << left_fit + 1) - 1
-    for i in np.argsort(lengths)[::-1]:
-        n, size = int(available[i] - take[i]), int(lengths[i])
-        n, part = min(n, left_fit // size), 1
-        while n > 0 and not reach >> left_fit & 1:
-            part = min(part, n)
-            steps.append((i, part, reach))
-            reach |= reach << part * size & full
-            n, part = n - part, part * 2
-    at = reach.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= part * int(lengths[i])
-    return take
+    window = FIT
+    while True:
+        for i in order:
+            back = min(int(take[i]), max(0, -((left - window) // int(lengths[i]))))
+            take[i] -= back
+            left += back * int(lengths[i])
+        more = nearest(lengths, available - take, left)
+        if int((lengths * more).sum()) == left or not take.any():
+            return take + more
+        window = 4 * max(window, left)
 
 
 def plan(sized: DataFrame, wanted: DataFrame, source: str, size: str) -> DataFrame:
