@@ -224,6 +224,17 @@ def test_similarity_is_exact_at_the_limit(spark):
     assert [got[i + 1] == i for i in range(0, 80, 2)] == [s >= 0.8 for s in sims]
 
 
+def test_unlike_texts_of_one_fingerprint(spark):
+    """A repeated line outvotes the rest: one fingerprint, but only texts at the similarity are linked."""
+    rng, line = np.random.default_rng(9), "the same five words now\n" * 300
+    tails = [[f"w{x}" for x in rng.integers(0, 10**6, 100)] for _ in range(3)]
+    texts = [line + " ".join(t) for t in tails] + [line + " ".join([*t[:-3], "x", "y", "z"]) for t in tails[1:]]
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in simhash.cluster(df, words=5, similarity=0.8).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 2}
+
+
 def test_representatives_keep_unlinked_documents(spark):
     a, b = "one two three four five six seven", "entirely different words are standing here today"
     df = spark.createDataFrame([(None, a), (None, b), (2, a), (2, a), (3, b), (3, "yet another text of seven plain words")], "doc_id bigint, text string")

@@ -73,18 +73,24 @@ def fingerprint(text: str | None, words: int = WORDS, piece: int = 1 << 16) -> i
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
 
 
+def distinct_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The XXH64 of the different shingles, as signed numbers in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(text, words)])).view(np.int64)
+
+
 def signature(text: str | None, words: int = WORDS) -> bytes | None:
     """The longer fingerprint: a byte of the least shingle hash under each function; null without a word."""
-    least = None
-    for hashes in shingles(text, words, 1 << 12):
-        own = (hashes * _ODD + _SHIFT).min(1)
-        least = own if least is None else np.minimum(least, own)
-    return None if least is None else (mixed(least, 5) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return sketch(text, words)["sig"]
 
 
-def distinct_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The XXH64 of the different shingles, as signed numbers in order."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(text, words)])).view(np.int64)
+def sketch(text: str | None, words: int = WORDS) -> dict:
+    """The longer fingerprint `sig` and `node`, a 64-bit hash of the set of different shingles."""
+    hashes, least = distinct_shingles(text, words), None
+    for at in range(0, len(hashes), 1 << 12):
+        own = (hashes[at:at + (1 << 12)].view(np.uint64) * _ODD + _SHIFT).min(1)
+        least = own if least is None else np.minimum(least, own)
+    sig = None if least is None else (mixed(least, 5) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return {"sig": sig, "node": int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))}
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: int = WORDS) -> DataFrame:
@@ -134,28 +140,38 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def similar_pairs(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
-    """(a, b) pairs of fingerprints whose longer fingerprints `sig` share so many bytes that their texts may
-    reach the similarity. All pairs of short posting lists are candidates; the members of a list above `most` meet its smallest member and,
-    as lists of unlike texts can grow, the smallest of its part that shares two and that shares five more
+def simhash_pairs(prints: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b) candidates from (node, fp): each node with the smallest of its fingerprint, and the smallest of
+    linked fingerprints. Linear in the nodes."""
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("a")))
+    of = lambda side, out: first.select(F.col("fp").alias(side), F.col("a").alias(out))
+    linked = links(first.select("fp"), most).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    near = linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return near.union(prints.join(first, "fp").select("a", F.col("node").alias("b"))).where("a < b")
+
+
+def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
+    """(a, b) pairs of nodes (node, sig), among the pairs `also` too, whose longer fingerprints `sig` share so
+    many bytes that their texts may reach the similarity. All pairs of short posting lists are candidates;
+    the members of a list above `most` meet its smallest member and, as lists of unlike texts can grow, the smallest of its part that shares two and that shares five more
     positions. Linear in the members; members of a long list that resemble neither leader nor each
     other's leader in any of their lists can lose a link."""
     entry = lambda at, n: F.conv(F.hex(F.substring("sig", at + 1, n)), 16, 10).cast("long")
     following = lambda k, n: entry(BAND * ((k + 1) % BANDS), n)
     entries = [F.struct(F.lit(k).alias("slot"), entry(BAND * k, BAND).alias("bytes"),
                         following(k, 2).alias("two"), following(k, 5).alias("five")) for k in range(BANDS)]
-    posted = cut(fps.where("sig is not null").select("fp", F.inline(F.array(*entries)).alias("slot", "bytes", "two", "five")))
+    posted = cut(nodes.where("sig is not null").select("node", F.inline(F.array(*entries)).alias("slot", "bytes", "two", "five")))
     lists = posted.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     met = cut(posted.join(lists, ["slot", "bytes"]))
 
     short = met.where(F.col("n") <= most)
-    a, b = short.select("slot", "bytes", F.col("fp").alias("a")), short.select("slot", "bytes", F.col("fp").alias("b"))
+    a, b = short.select("slot", "bytes", F.col("node").alias("a")), short.select("slot", "bytes", F.col("node").alias("b"))
     wanted = [a.join(b, ["slot", "bytes"]).where(F.col("a") < F.col("b")).select("a", "b")]
     long_ = met.where(F.col("n") > most)
     for key in (["slot", "bytes"], ["slot", "bytes", "two"], ["slot", "bytes", "five"]):
-        leaders = long_.groupBy(*key).agg(F.min("fp").alias("a"))
-        wanted.append(long_.join(leaders, key).where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b")))
-    pairs = cut(functools.reduce(DataFrame.union, wanted).distinct())
+        leaders = long_.groupBy(*key).agg(F.min("node").alias("a"))
+        wanted.append(long_.join(leaders, key).where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b")))
+    pairs = cut(functools.reduce(DataFrame.union, wanted, also).distinct())
 
     least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / POSITIONS)
 
@@ -165,21 +181,21 @@ def similar_pairs(fps: DataFrame, similarity: float, most: int = MOST) -> DataFr
             equal = (left == right).mean(1)
             yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= least))
 
-    sig = lambda of: fps.select(F.col("fp").alias(of), F.col("sig").alias(f"sig_{of}"))
+    sig = lambda of: nodes.where("sig is not null").select(F.col("node").alias(of), F.col("sig").alias(f"sig_{of}"))
     return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(likely, "a long, b long")
 
 
-def reaching(pairs: DataFrame, fps: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+def reaching(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose texts' different shingles reach the similarity, by counting the shared ones. A
-    fingerprint's text is the one of texts (text, t1, t2) with its hashes in fps (fp, t1, t2); only texts of
+    node's text is the one of texts (text, t1, t2) with its hashes in nodes (node, t1, t2); only texts of
     pairs are read into shingles, equal texts once."""
     pairs = cut(pairs)
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = cut(fps.select("fp", "t1", "t2").join(nodes, "fp", "left_semi"))
-    once = texts.join(wanted, ["t1", "t2"]).groupBy("fp").agg(F.first("text").alias("text"))
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.select("node", "t1", "t2").join(met, "node", "left_semi"))
+    once = texts.join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
     hashes = lambda some: [distinct_shingles(t, words) for t in some]
-    sets = cut(annotate(once, "text", "hashes", T.ArrayType(T.LongType()), hashes).select("fp", "hashes"))
-    of = lambda side: sets.select(F.col("fp").alias(side), F.col("hashes").alias(f"of_{side}"))
+    sets = cut(annotate(once, "text", "hashes", T.ArrayType(T.LongType()), hashes).select("node", "hashes"))
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"of_{side}"))
     met = with_held(pairs.join(of("b"), "b").join(of("a"), "a"), {"shared": F.size(F.array_intersect("of_a", "of_b"))})
     return met.where(F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= similarity).select("a", "b")
 
@@ -215,9 +231,10 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
             keep: list[str] | None = None, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: the columns `keep` (the id by default), `fp` (long), `component`, the
     smallest doc_id among all documents reachable over links of at most two differing bits, itself
-    included, and `root`, the component's smallest fingerprint. With a `similarity`, documents whose shingle
-    sets reach it are linked too. Null and empty
-    texts have fingerprint zero and link by it like any other; a null doc_id never is a component's id unless the component has no other. Repeated rows and copies share a fingerprint and
+    included, and `root`, the component's smallest fingerprint. With a `similarity`, the links are those of
+    documents whose shingle sets reach it and no others, fingerprints only name candidates, equal sets are
+    one, and `root` is the component's smallest set hash. Null and empty
+    texts have fingerprint zero and link by it like any other (with a `similarity`: by their empty set); a null doc_id never is a component's id unless the component has no other. Repeated rows and copies share a fingerprint and
     are indexed once; an empty table gives an empty result. Texts and extra columns are left behind
     after the fingerprint, so clashing names do not matter; texts are read again only to count the shared
     shingles of likely pairs."""
@@ -226,24 +243,27 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     of = dict(zip(dict.fromkeys([*keep, doc_id, text]), plain.columns))
     printed = fingerprints(plain, of[text], "fp", words)
+    key, sigs = "fp", []
     if similarity is not None:
-        printed = annotate(printed, of[text], "sig", T.BinaryType(), lambda texts: [signature(t, words) for t in texts])
-        printed = printed.withColumns({f"t{i}": F.xxhash64(F.lit(i), of[text]) for i in (1, 2)})
-    sigs = ["sig", "t1", "t2"] if similarity is not None else []
-    marked = cut(printed.select("fp", *sigs, *dict.fromkeys([of[doc_id], *[of[c] for c in keep]])))
+        key, sigs = "node", ["sig", "t1", "t2"]
+        kind = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("node", T.LongType())])
+        printed = annotate(printed, of[text], "sketch", kind, lambda texts: [sketch(t, words) for t in texts])
+        printed = printed.withColumns({f"t{i}": F.xxhash64(F.lit(i), of[text]) for i in (1, 2)} | {c: F.col(f"sketch.{c}") for c in ("sig", "node")})
+    marked = cut(printed.select(*dict.fromkeys(["fp", key]), *sigs, *dict.fromkeys([of[doc_id], *[of[c] for c in keep]])))
     one = [F.min(F.struct(*sigs)).alias("one")] if sigs else []
-    ids = cut(marked.groupBy("fp").agg(F.min(of[doc_id]).alias("low"), *one).select("fp", "low", *[f"one.{c}" for c in sigs]))
-    edges = links(ids.select("fp"), most)
-    if similarity is not None:
+    ids = cut(marked.groupBy(key).agg(F.min(of[doc_id]).alias("low"), *one).select(key, "low", *[f"one.{c}" for c in sigs]))
+    if similarity is None:
+        edges = links(ids.select("fp"), most)
+    else:
         texts = plain.select(F.col(of[text]).alias("text"), *[F.xxhash64(F.lit(i), of[text]).alias(f"t{i}") for i in (1, 2)])
-        likely = similar_pairs(ids.select("fp", "sig"), similarity, most)
-        edges = edges.union(reaching(likely, ids, texts, similarity, words)).distinct()
+        also = simhash_pairs(cut(marked.select("node", "fp").distinct()), most)
+        edges = reaching(similar_pairs(ids.select("node", "sig"), also, similarity, most), ids, texts, similarity, words)
     roots = components(cut(edges))
-    rooted = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = ids.join(roots.withColumnRenamed("node", key), key, "left") \
+        .select(key, "low", F.coalesce("root", key).alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.select("fp", "root").join(lows, "root").select("fp", "component", "root")
-    return marked.join(named, "fp").select(*[F.col(of[c]).alias(c) for c in keep], "fp", "component", "root")
+    named = rooted.select(key, "root").join(lows, "root").select(key, "component", "root")
+    return marked.join(named, key).select(*[F.col(of[c]).alias(c) for c in keep], "fp", "component", "root")
 
 
 def hex16(fp: Column) -> Column:
