@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, langid, lm, mixing, pii, quality, secret_scan, simhash, token_rollup, warc
+from tidegauge.llm import (ann, decontaminate, langid, lm, mixing, pii, prefix_trie, quality, secret_scan, simhash,
+                           token_rollup, variants, warc)
+from tidegauge.llm.check_sql import SQL  # noqa: F401
 from tidegauge.session import shared_dir
 
 
@@ -99,8 +101,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_language, op3_decontamination, op4_cross_entropy, op5_secrets, op6_simhash, op7_mixing, op8_token_counts,
-    op9_quality, op10_warc)}
-
-SQL: dict[str, str] = {}
+    op9_quality, op10_warc, op11_prefix_trie, op12_variants, op13_nearest)}
