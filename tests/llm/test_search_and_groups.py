@@ -23,8 +23,9 @@ def plain_trie(rows):
     own = defaultdict(list)
     for conv, turn, role, text in rows:
         if conv is not None:
-            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
-    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+            role, text = role or "", text or ""
+            own[conv].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest(), role, text))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
     whole = {}
     for c, ts in own.items():
         h = zlib.crc32(str(c).encode()) % 9

@@ -16,16 +16,16 @@ def crc32(text: str) -> str:
 
 TRIE = f"""
 WITH {CRC},
-turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
-        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank
-    FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, turn, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY said NULLS FIRST, turn) AS rank
+    FROM (SELECT conv_id, turn AS said, octet_length(encode(coalesce(text, ''))) AS bytes,
+            sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn
+        FROM conversations WHERE conv_id IS NOT NULL)),
 ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32("conv_id::VARCHAR")} % 9 AS h
     FROM (SELECT DISTINCT conv_id FROM turns), crc),
 kept AS (
-    SELECT i.conv_id, 0 AS own, t.rank, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.base AND t.rank <= i.h
-    UNION ALL SELECT i.conv_id, 1, t.rank, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.rank > i.h),
-named AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, rank) AS depth, octet_length(encode(text)) AS bytes,
-        sha256(strlen(role) || ':' || role || text) AS turn FROM kept),
+    SELECT i.conv_id, 0 AS own, t.rank, t.turn, t.bytes FROM ids i JOIN turns t ON t.conv_id = i.base AND t.rank <= i.h
+    UNION ALL SELECT i.conv_id, 1, t.rank, t.turn, t.bytes FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.rank > i.h),
+named AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, rank) AS depth, turn, bytes FROM kept),
 members AS (
     SELECT conv_id, 0 AS depth, '' AS name, 0 AS bytes FROM ids
     UNION ALL SELECT conv_id, depth, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth), bytes FROM named),

@@ -45,8 +45,8 @@ ROOT = hashed()
 # ---- turns in order ----------------------------------------------------------------------------------------
 
 def ranked(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with `rank` from 1 within the conversation: by turn, null first, then role,
-    then text. Turn numbers are ranked in blocks and the blocks' sizes added up, so the rows of a
+    """turns (conv_id, turn, name, bytes) with `rank` from 1 within the conversation: by turn, null first, then by
+    name. Turn numbers are ranked in blocks and the blocks' sizes added up, so the rows of a
     conversation do not meet in one task, but for those that have one block of turn numbers."""
     block = F.floor(F.col("turn") / BLOCK)
     blocked = turns.withColumn("block", block)
@@ -54,44 +54,45 @@ def ranked(turns: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0)))
     later = sizes.where("skip > 0").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "skip")
-    within = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    within = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "name")
     own = blocked.withColumn("place", F.row_number().over(within))
     return own.join(later, (F.col("conv_id") == F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left").select(
-        "conv_id", "role", "text", (F.col("place") + F.coalesce("skip", F.lit(0))).alias("rank"))
+        "conv_id", "name", "bytes", (F.col("place") + F.coalesce("skip", F.lit(0))).alias("rank"))
 
 
 def rebuilt(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
             every: int = 5, most: int = 8) -> DataFrame:
-    """(conv_id, place, role, text): conversation c starts with the first h turns of conversation c - c % every, and
+    """(conv_id, place, name, bytes): conversation c starts with the first h turns of conversation c - c % every, and
     goes on with its own turns after its first h, h being the unsigned CRC-32 of c's decimals modulo most + 1.
-    Turnless conversations have one row with a null place."""
+    Turnless conversations have one row with a null place. Only the names of turns (equal for equal role and
+    text) and the bytes of their texts go on from here."""
     plain = turns.where(F.col(conv_id).isNotNull()).select(
         F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"),
         *[F.coalesce(F.col(c), F.lit("")).alias(out) for c, out in ((role, "role"), (text, "text"))])
+    head = F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"))
+    plain = plain.select("conv_id", "turn", name_of(F.encode(head, "utf-8"), F.encode("text", "utf-8")).alias("name"),
+                         F.octet_length("text").cast("long").alias("bytes"))
     h = (F.crc32(F.col("conv_id").cast("string")) % (most + 1)).alias("h")
     base = (F.col("conv_id") - F.col("conv_id") % every).alias("base")
     order = cut(ranked(plain))
     ids = order.select("conv_id").distinct().select("conv_id", h, base)
-    given = order.where(F.col("rank") <= most).select(F.col("conv_id").alias("base"), "rank", "role", "text")
-    firsts = ids.join(given, "base").where(F.col("rank") <= F.col("h")).select("conv_id", F.col("rank").alias("place"), "role", "text")
+    given = order.where(F.col("rank") <= most).select(F.col("conv_id").alias("base"), "rank", "name", "bytes")
+    firsts = ids.join(given, "base").where(F.col("rank") <= F.col("h")).select("conv_id", F.col("rank").alias("place"), "name", "bytes")
     # a base that is absent or shorter than h moves the conversation's own turns forward
     long_ = given.groupBy("base").agg(F.max("rank").alias("has"))
     shift = ids.join(long_, "base", "left").select("conv_id", "h", F.least("h", F.coalesce("has", F.lit(0))).alias("taken"))
     rest = order.join(shift, "conv_id").where(F.col("rank") > F.col("h")).select(
-        "conv_id", (F.col("rank") - F.col("h") + F.col("taken")).alias("place"), "role", "text")
+        "conv_id", (F.col("rank") - F.col("h") + F.col("taken")).alias("place"), "name", "bytes")
     whole = firsts.unionByName(rest)
     bare = ids.join(whole.select("conv_id").distinct(), "conv_id", "left_anti").select(
-        "conv_id", F.lit(None).cast("long").alias("place"), F.lit("").alias("role"), F.lit("").alias("text"))
+        "conv_id", *[F.lit(None).cast(kind).alias(c) for c, kind in (("place", "long"), ("name", "binary"), ("bytes", "long"))])
     return whole.unionByName(bare)
 
 
 def segments(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv_id, part, start, last, turns) from (conv_id, place, role, text): runs of at most `segment` turns, the name
-    of the node that each starts from, whether it ends the conversation, and its turns in order as
-    (name, bytes). Equal roles and texts have equal names. Texts stay behind here."""
-    turn = name_of(F.encode(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role"), "utf-8"), F.encode("text", "utf-8"))
-    named = turns.select("conv_id", F.coalesce(F.floor((F.col("place") - 1) / segment), F.lit(0)).alias("part"), "place",
-                         turn.alias("name"), F.octet_length("text").cast("long").alias("bytes"))
+    """(conv_id, part, start, last, turns) from (conv_id, place, name, bytes): runs of at most `segment` turns, the name
+    of the node that each starts from, whether it ends the conversation, and its turns in order as (name, bytes)."""
+    named = turns.withColumn("part", F.coalesce(F.floor((F.col("place") - 1) / segment), F.lit(0)))
     entry = F.when(F.col("place").isNotNull(), F.struct("place", "name", "bytes"))
     parts = named.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(entry)).alias("turns"))
     own = F.aggregate("turns", F.lit(b""), lambda done, t: name_of(done, t["name"]))
@@ -228,8 +229,8 @@ def trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
          segment: int = SEGMENT, at_once: int = SEGMENTS, turns_at_once: int = TURNS) -> DataFrame:
     """One row per distinct sequence of first turns of the rebuilt conversations, the textless root included:
     (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256). Null roles and texts
-    are empty, null turns come first, equal turns of a conversation are ordered by role and text and repeated
-    rows count each; rows with a null conv_id belong to no conversation; texts of any length are hashed
+    are empty, null turns come first, equal turns of a conversation are ordered by a hash of role and text and
+    repeated rows count each; rows with a null conv_id belong to no conversation; texts of any length are hashed
     whole; other columns are not read; an empty table gives an empty result."""
     parts = segments(rebuilt(turns, conv_id, turn, role, text), segment)
     local = cut(local_nodes(parts, segment, at_once, turns_at_once))
