@@ -43,6 +43,11 @@ def filing_key(ticker: Column, form: Column, d: Column) -> Column:
     return F.concat_ws(":", ticker, form, d.cast("string"))
 
 
+def form_key(ticker: Column, form: Column) -> Column:
+    """Key of a filer's kind of filing, whatever its day."""
+    return F.concat_ws(":", F.lit("f"), ticker, form)
+
+
 def title_key(title: Column) -> Column:
     """Stable key of a headline, whatever its case."""
     return F.xxhash64(F.lower(title))

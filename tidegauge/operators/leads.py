@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from tidegauge.functions import text as T
 from tidegauge.functions.scalar import fixed
+from tidegauge.session import cut
 
 # Seed phrases used until reviewed ones exist.
 SEED_PHRASES = [
@@ -24,22 +29,67 @@ def approved_phrases(phrases: DataFrame, seed: list[str] = SEED_PHRASES) -> Data
     return phrases.sparkSession.createDataFrame([(p,) for p in seed], "phrase string") if approved.isEmpty() else approved
 
 
-def in_blocks(listed: DataFrame, name: str, size: int = 500) -> DataFrame:
-    """The distinct values of a column in arrays `_p` of about `size`, hashed, so that no row grows with the list."""
-    blocks = max(1, -(-listed.select(name).distinct().count() // size))
-    return listed.groupBy(F.pmod(F.xxhash64(name), F.lit(blocks)).alias("_b")).agg(
-        F.sort_array(F.collect_set(name)).alias("_p")).select("_p")
+#: Characters of phrases sent to the tasks at once, and texts searched at once in a task.
+BLOCK, ROWS = 1 << 22, 256
+
+
+def phrase_blocks(phrases: DataFrame, chars: int = BLOCK) -> Iterator[list[str]]:
+    """The different phrases in lists of at most about `chars` characters; one list is on the driver at a time."""
+    block, size = [], 0
+    for (phrase,) in phrases.select("phrase").where("phrase is not null").distinct().toLocalIterator():
+        if block and size + len(phrase) > chars:
+            yield block
+            block, size = [], 0
+        block.append(phrase)
+        size += len(phrase)
+    if block:
+        yield block
+
+
+def holding(texts: DataFrame, text: str, phrases: DataFrame, chars: int = BLOCK) -> DataFrame:
+    """texts without their text but with `phrase`: one row per text and different phrase (phrase) that its
+    lower-case form contains; a null text contains none.
+
+    The phrases are indexed as one automaton, so a text is read once for all phrases of a block, and the work is that
+    of the text and its hits however many phrases there are. Texts do not leave their task. A block's size is
+    bounded; a longer list takes one pass a block."""
+    spark, kept = texts.sparkSession, [c for c in texts.columns if c != text]
+    low = texts.select(*kept, F.lower(text).alias("_low")).where(F.col("_low").isNotNull())
+    fields = ST.StructType([*[texts.schema[c] for c in kept], ST.StructField("phrase", ST.StringType())])
+    found = spark.createDataFrame([], fields)
+
+    for block in phrase_blocks(phrases, chars):
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            everywhere = [p for p in held.value if not p]
+            index = ahocorasick.Automaton()
+            for phrase in held.value:
+                if phrase:
+                    index.add_word(phrase, phrase)
+            index.make_automaton()
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(start, ROWS)
+                    rows, hits = [], []
+                    for i, body in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                        own = {phrase for _, phrase in index.iter(body)} if len(index) else set()
+                        own.update(everywhere)
+                        rows += [i] * len(own)
+                        hits += sorted(own)
+                    taken = batch.select(kept).take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(hits, pa.string())], names=[*kept, "phrase"])
+
+        found = found.unionByName(low.mapInArrow(run, fields))
+    return found
 
 
 def phrase_hits(filings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(filer, phrase, mentions): filings of each filer that contain each phrase (phrase).
-
-    Each filing meets the phrases block by block, and matching is a filter inside the row; only (filer,
-    phrase) pairs are shuffled, already counted per task, so a filer with a third of the corpus sends no
-    more than one row per phrase and task.
-    """
-    low = filings.select("filer", F.lower("text").alias("_low")).crossJoin(in_blocks(phrases, "phrase"))
-    found = low.select("filer", F.explode(F.filter("_p", lambda p: F.contains(F.col("_low"), p))).alias("phrase"))
+    """(filer, phrase, mentions): filings of each filer that contain each phrase (phrase). Hits are counted in each task
+    before they are shuffled, so a filer with a third of the corpus sends one row per phrase and task."""
+    found = holding(filings.select("filer", "text"), "text", phrases)
     return found.groupBy("filer", "phrase").agg(F.count("*").alias("mentions"))
 
 
@@ -105,24 +155,32 @@ def novel_proxies(leads: DataFrame, known: DataFrame) -> DataFrame:
 
 # ---- news --------------------------------------------------------------------------------------------
 
+def by_rarity(rows: DataFrame, keys: list[str], counts: DataFrame, shared: int) -> DataFrame:
+    """rows (keys, word) gathered as `words`, rarest first, for keys with at least `shared` of the counted words."""
+    listed = rows.join(counts, "word").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))
+    return listed.where(F.size("words") >= shared).withColumn("words", F.col("words.word"))
+
+
 def match_news(news: DataFrame, queries: DataFrame, as_of: Column, max_age: int = 45, shared: int = 2) -> DataFrame:
     """Headlines (news_id, title, date) that share at least `shared` significant words with a query
     (trigger, query): distinct (trigger, news_id, date).
 
-    A pair that shares two words still shares one after a query's most frequent word is left out of
-    the index, so that word, the one that would pair everything with everything, is never a join key.
+    A prefix-filtered join: words are ranked by rarity, the same on both sides, and of each side's words all but
+    the `shared` - 1 most frequent ones are join keys, so a common word pairs nothing by itself. Of the words
+    a pair shares, the rarest is a key on both sides; the pair is counted there and nowhere else.
     """
-    fresh = news.where(F.col("date").isNull() | (F.col("date") >= F.date_sub(as_of, max_age))).select(
-        "news_id", "date", T.significant_tokens(F.col("title")).alias("_h"))
-    asked = queries.select("trigger", "query", T.significant_tokens(F.col("query")).alias("_q")).where(F.size("_q") >= shared)
-    words = asked.select(F.explode("_q").alias("w")).distinct()
-    seen = fresh.select(F.explode("_h").alias("w"))
-    common = seen.groupBy("w").agg(F.count("*").alias("n")).join(words, "w")
-    keyed = asked.withColumn("w", F.explode("_q")).join(common, "w", "left")
-    hottest = keyed.groupBy("trigger", "query").agg(F.max_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("_skip"))
-    index = keyed.join(hottest, ["trigger", "query"]).where(F.col("w") != F.col("_skip")).select("trigger", "_q", "w")
-    pairs = fresh.withColumn("w", F.explode("_h")).join(index, "w")
-    return pairs.where(F.size(F.array_intersect("_h", "_q")) >= shared).select("trigger", "news_id", "date").distinct()
+    fresh = news.where(F.col("date").isNull() | (F.col("date") >= F.date_sub(as_of, max_age)))
+    titles = fresh.select("news_id", F.coalesce(F.col("date"), F.lit("9999-12-31").cast("date")).alias("date"), F.explode(T.significant_tokens(F.col("title"))).alias("word"))
+    asked = queries.select("trigger", "query").distinct().select("trigger", "query", F.explode(T.significant_tokens(F.col("query"))).alias("word"))
+    counts = cut(titles.groupBy("word").agg(F.count("*").alias("n")).join(asked.select("word").distinct(), "word"))
+    heads = by_rarity(titles, ["news_id", "date"], counts, shared)
+    wants = by_rarity(asked, ["trigger", "query"], counts, shared)
+    key = F.explode(F.slice("words", F.lit(1), F.size("words") - (shared - 1))).alias("w")
+    pairs = heads.select("news_id", "date", F.col("words").alias("_h"), key).join(wants.select("trigger", F.col("words").alias("_q"), key), "w")
+    both = F.array_intersect("_h", "_q")
+    hits = pairs.where((F.size(both) >= shared) & (F.get(both, F.lit(0)) == F.col("w")))
+    date = F.when(F.col("date") != F.lit("9999-12-31").cast("date"), F.col("date")).alias("date")
+    return hits.select("trigger", "news_id", date).distinct()
 
 
 def watchable(triggers: DataFrame) -> DataFrame:
@@ -197,9 +255,9 @@ def interleave(leads: DataFrame, limit: int | None = None) -> DataFrame:
 
 def topic_leads(papers: DataFrame, topics: DataFrame, proxies: DataFrame, min_papers: int = 5) -> DataFrame:
     """Topics (topic) named by enough papers (text) that also have a public proxy (topic, ticker)."""
-    low = papers.select(F.lower("text").alias("_low")).crossJoin(in_blocks(topics, "topic"))
-    counts = low.select(F.explode(F.filter("_p", lambda p: F.contains(F.col("_low"), F.lower(p)))).alias("topic")).groupBy(
-        "topic").agg(F.count("*").alias("papers"))
+    named = topics.where("topic is not null").select("topic", F.lower("topic").alias("phrase")).distinct()
+    counts = holding(papers.select(F.lit(1).alias("one"), "text"), "text", named).groupBy("phrase").agg(F.count("*").alias("papers")) \
+        .join(named, "phrase").select("topic", "papers")
     return counts.where(F.col("papers") >= min_papers).join(proxies.select("topic"), "topic", "left_semi")
 
 

@@ -16,16 +16,16 @@ OPPORTUNITY_THRESHOLD = 60
 def price_on_or_after(wanted: DataFrame, bars: DataFrame, until: Column | None = None) -> DataFrame:
     """First close on or after each wanted (ticker, on): adds `price`, null when there is none yet.
 
-    The wanted keys are reduced to distinct (ticker, day) pairs first, so the window that looks ahead
-    holds at most two rows per ticker and day however many claims ask for the same price. No range
-    join is involved.
+    The wanted keys are reduced to distinct (ticker, day) pairs first, so the window holds at most two rows
+    per ticker and day however many claims ask for the same price. It runs from the last day back and
+    keeps the latest close it has met, which is one pass. No range join is involved.
     """
     asked = wanted.select("ticker", "on").distinct()
     known = bars if until is None else bars.where(F.col("d") <= until)
     both = known.select("ticker", "d", "close", F.lit(1).alias("_bar")).unionByName(
         asked.select("ticker", F.col("on").alias("d"), F.lit(None).cast("double").alias("close"), F.lit(0).alias("_bar")))
-    ahead = Window.partitionBy("ticker").orderBy("d", "_bar").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("price", F.first("close", ignorenulls=True).over(ahead)).where(F.col("_bar") == 0)
+    back = Window.partitionBy("ticker").orderBy(F.desc("d"), F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("price", F.last("close", ignorenulls=True).over(back)).where(F.col("_bar") == 0)
     return wanted.join(found.select("ticker", F.col("d").alias("on"), "price"), ["ticker", "on"], "left")
 
 

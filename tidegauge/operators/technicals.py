@@ -7,8 +7,6 @@ uses the same partitioning and order: one shuffle and one sort feed all of them.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,26 +151,37 @@ def rsi(bars: DataFrame, *periods: int) -> DataFrame:
         wilder(p, F.col("_x"), F.col("_i"), F.col("_n")).alias(f"rsi_{p}") for p in periods])
 
 
-def rsi_series(bars: DataFrame, period: int = 14) -> DataFrame:
-    """Wilder's index on every bar. A ticker's bars fit in one Arrow group (one row per day)."""
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d", ignore_index=True)
-        x = pdf["close"].diff()
-        out = pd.Series([float("nan")] * len(pdf))
-        if len(pdf) > period and np.isfinite(pdf["close"].astype(float)).all():
-            sides = []
-            for side in (x.clip(lower=0), (-x).clip(lower=0)):
-                seeded = side.iloc[period:].copy()
-                seeded.iloc[0] = side.iloc[1:period + 1].mean()
-                sides.append(seeded.ewm(alpha=1 / period, adjust=False).mean())
-            gain, loss = sides
-            out.iloc[period:] = (100 - 100 / (1 + gain / loss.where(loss > 0))).where(loss > 0, 100.0)
-        return pd.DataFrame({"ticker": pdf["ticker"], "d": pdf["d"], "rsi": out})
-
-    result = bars.select("ticker", "d", "close").groupBy("ticker").applyInPandas(
-        smooth, "ticker string, d date, rsi double")
-    return result.withColumn("rsi", F.when(~F.isnan("rsi"), F.col("rsi")))
+def rsi_series(bars: DataFrame, period: int = 14, block: int = 512) -> DataFrame:
+    """Wilder's index on every bar; null until warm, and for a ticker with a close that is not finite.
+
+    Each average is the one before times (period - 1) / period plus a share of the new move: a linear
+    recurrence, solved as a scan in blocks. Within a block the weighted moves are summed by a window; the
+    factor that a block's weights span stays far inside a double, and as no move is negative nothing cancels.
+    What a block hands on is one row, the rows of a ticker are folded in order, and each block gets the
+    carry it starts from by a join."""
+    w, keep = by_ticker(), (period - 1) / period
+    move = F.col("close") - F.lag("close").over(w)
+    sides = {"gain": F.greatest(move, F.lit(0.0)), "loss": F.greatest(-move, F.lit(0.0))}
+    finite = F.col("close").isNotNull() & ~F.isnan("close") & (F.abs("close") < float("inf"))
+    whole = Window.partitionBy("ticker")
+    rows = bars.select("ticker", "d", "close").withColumns({
+        "i": F.row_number().over(w) - 1, "ok": F.min(finite).over(whole), **sides}).withColumn("place", F.col("i") - period)
+    seed = w.rowsBetween(-(period - 1), 0)
+    rows = rows.withColumns({c: F.when(F.col("place") == 0, F.sum(c).over(seed) / period).otherwise(F.col(c) / period) for c in sides})
+    rows = rows.withColumns({"block": F.floor(F.col("place") / block), "k": F.pmod(F.col("place"), F.lit(block))})
+    inside = Window.partitionBy("ticker", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    power = F.pow(F.lit(keep), F.col("k"))
+    warm = rows.where("ok and place >= 0").withColumns({c: power * F.sum(F.col(c) / power).over(inside) for c in sides})
+    handed = warm.where(F.col("k") == block - 1).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("block", *sides))).alias("ends"))
+    none = F.struct(F.lit(-1).cast("long").alias("block"), *[F.lit(0.0).alias(c) for c in sides])
+    step = lambda done, e: F.array_append(done, F.struct(
+        e["block"].alias("block"), *[(e[c] + F.element_at(done, -1)[c] * keep ** block).alias(c) for c in sides]))
+    carried = handed.select("ticker", F.inline(F.aggregate("ends", F.array(none), step)).alias("block", *[f"{c}_in" for c in sides])) \
+        .withColumn("block", F.col("block") + 1)
+    average = {c: F.col(c) + power * keep * F.coalesce(f"{c}_in", F.lit(0.0)) for c in sides}
+    known = warm.join(carried, ["ticker", "block"], "left").withColumns(average).select(
+        "ticker", "d", F.when(F.col("loss") > 0, 100 - 100 / (1 + F.col("gain") / F.col("loss"))).otherwise(100.0).alias("rsi"))
+    return rows.where("not ok or place < 0").select("ticker", "d", F.lit(None).cast("double").alias("rsi")).unionByName(known)
 
 
 def append_today(history: DataFrame, today: DataFrame, min_bars: int = 60) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prices", "evaluation", "themes", "portfolios", "ledgers", "decisions", "corpus", "feeds"]
+MODULES = ["prices", "evaluation", "themes", "portfolios", "ledgers", "decisions", "corpus", "feeds", "streams"]
 
 
 def load() -> None:

@@ -73,7 +73,7 @@ def proxy_specificity(t):
     return leads.specificity(tally(t))
 
 
-@query("AG19", "SELECT ticker, count(*) AS degree, floor(avg(score) * 1000 + 0.5e0) / 1000 AS avg_specificity, count(*) = 1 AS pure_play, count(*) >= 3 AS hub FROM specific GROUP BY 1")
+@query("AG19", "SELECT ticker, count(*) AS degree, floor(avg(CAST(round(score * 1000) AS BIGINT)) + 0.5e0) / 1000 AS avg_specificity, count(*) = 1 AS pure_play, count(*) >= 3 AS hub FROM specific GROUP BY 1")
 def exposure_graph(t):
     return leads.exposure(leads.specificity(tally(t)))
 
@@ -99,15 +99,15 @@ def novel_proxies(t):
 STOP = ", ".join(f"'{w}'" for w in T.QUERY_STOP)
 shared(
     title_tokens=f"""SELECT news_id, title, date, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 3 AND w NOT IN ({STOP}))) AS toks FROM news""",
-    matched="""SELECT DISTINCT q.news_id % 50 AS trigger, h.news_id, h.date FROM title_tokens q JOIN title_tokens h ON len(list_intersect(q.toks, h.toks)) >= 2
-      WHERE q.news_id % 10 = 3 AND h.date >= DATE '2001-11-05' - 120""",
+    watched=f"""SELECT item_id AS trigger, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3 AND w NOT IN ({STOP}))) AS toks FROM benchmark""",
+    matched="""SELECT DISTINCT q.trigger, h.news_id, h.date FROM watched q JOIN title_tokens h ON len(list_intersect(q.toks, h.toks)) >= 2
+      WHERE h.date >= DATE '2001-11-05' - 120""",
 )
 
 
 def triggers(t):
-    """Manual triggers watch for headlines like the ones of some pages."""
-    return t.news.where(F.col("news_id") % 10 == 3).groupBy((F.col("news_id") % 50).alias("trigger")).agg(
-        F.sort_array(F.collect_set("title")).alias("queries")).withColumn("type", F.lit("manual"))
+    """Manual triggers watch for headlines like the benchmark items, a table that does not grow with the pages."""
+    return t.read("benchmark").select(F.col("item_id").alias("trigger"), F.array("text").alias("queries"), F.lit("manual").alias("type"))
 
 
 @query("JN8 SF3", "SELECT * FROM matched")
