@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import ratio, upper_middle, with_group
@@ -56,11 +58,10 @@ def has_bad_data(flags: Column) -> Column:
     return F.exists(flags, lambda f: f.rlike(BAD_DATA))
 
 
-def quality_gate(quotes: DataFrame) -> DataFrame:
-    """One row: is this scan good enough to fire triggers? Needs error, flags, ok and n."""
+def gate_counts() -> list[Column]:
     is_ok = F.col("error").isNull()
     checked = is_ok & F.col("n").isNotNull()
-    counts = quotes.agg(
+    return [
         F.count("*").alias("total"),
         F.count_if(is_ok).alias("ok_quotes"),
         F.count_if(~is_ok).alias("errored"),
@@ -68,7 +69,27 @@ def quality_gate(quotes: DataFrame) -> DataFrame:
         F.count_if(is_ok & has_bad_data(F.col("flags"))).alias("bad_data"),
         F.count_if(checked & F.col("ok").isNull()).alias("uncorroborated"),
         F.count_if(checked & F.coalesce("ok", F.lit(False))).alias("corroborated"),
-        F.count_if(checked).alias("corroborated_of"))
+        F.count_if(checked).alias("corroborated_of")]
+
+
+def observed(quotes: DataFrame) -> tuple[DataFrame, Observation]:
+    """The quotes, and what the gate needs to know of them, counted by whichever action writes them."""
+    seen = Observation(f"gate-{uuid.uuid4().hex}")
+    return quotes.observe(seen, *gate_counts()), seen
+
+
+def gate_of(spark: SparkSession, seen: Observation) -> DataFrame:
+    """The gate after the observed quotes were written; no second scan."""
+    counts = seen.get
+    return judged(spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts)))
+
+
+def quality_gate(quotes: DataFrame) -> DataFrame:
+    """One row: is this scan good enough to fire triggers? Needs error, flags, ok and n."""
+    return judged(quotes.agg(*gate_counts()))
+
+
+def judged(counts: DataFrame) -> DataFrame:
     error_rate = F.coalesce(ratio("errored", "total"), F.lit(1.0))
     bad_rate = F.coalesce(ratio("bad_data", "ok_quotes"), F.lit(0.0))
     cover = F.coalesce(ratio("corroborated", "corroborated_of"), F.lit(0.0))

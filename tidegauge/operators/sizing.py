@@ -44,27 +44,55 @@ def regime_factor(tilt: Column, posture: Column, cap: float = 0.15) -> Column:
             .when(tilt == "underweight", 1 - cap).otherwise(1.0))
 
 
-def largest_remainder(rows: DataFrame, keys: list[str], exact: str, total: str, tie: str) -> DataFrame:
+def largest_remainder(rows: DataFrame, keys: list[str], exact: str, total: str, tie: str, ranked: int = 100_000) -> DataFrame:
     """Whole amounts that sum to the group's total exactly: floor, then one more for the rows with the
     largest fractions (ties by `tie`).
 
-    Ranking a whole group in one task is avoided: fractions fall into fixed buckets, the bucket counts
-    (at most FRACTION_BUCKETS per group) tell which buckets are paid in full and which one is cut, and
-    only rows of the same bucket are ordered among themselves.
+    No group is ranked in one task. Fractions fall into buckets, and the buckets' counts tell which are paid in
+    full, which not at all, and which single one per group is cut. A cut bucket of at most `ranked` rows is
+    ordered; a larger one is cut again by a finer digit of the fraction, and where fractions are equal by
+    the letters of `tie`, one after another.
     """
-    floors = rows.withColumn("_floor", F.floor(exact).cast("bigint"))
-    floors = floors.withColumn("_frac", F.col(exact) - F.col("_floor")).withColumn(
-        "_bucket", F.least(F.floor(F.col("_frac") * FRACTION_BUCKETS), F.lit(FRACTION_BUCKETS - 1)).cast("int"))
-    per_bucket = floors.groupBy(*keys, "_bucket").agg(
-        F.count("*").alias("_n"), F.sum("_floor").alias("_s"), F.max(total).alias("_total"))
-    group = Window.partitionBy(*keys)
-    above = F.sum("_n").over(group.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    left = F.col("_total") - F.sum("_s").over(group)
-    quota = per_bucket.select(*keys, "_bucket", F.greatest(left - above, F.lit(0)).alias("_quota"))
-    order = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_frac"), tie)
-    paid = floors.join(quota, [*keys, "_bucket"]).withColumn("_k", F.row_number().over(order))
-    return paid.withColumn("whole", F.col("_floor") + (F.col("_k") <= F.col("_quota")).cast("int")).drop(
-        "_floor", "_frac", "_bucket", "_quota", "_k")
+    fraction = F.col("_frac")
+    floors = rows.withColumn("_floor", F.floor(exact).cast("bigint")).withColumn("_frac", F.col(exact) - F.col("_floor"))
+    floors = cut(floors.withColumn("_id", F.monotonically_increasing_id()))
+    sums = floors.groupBy(*keys).agg(F.sum("_floor").alias("_s"), F.max(total).alias("_total"))
+    quota = F.greatest(F.col("_total") - F.col("_s"), F.lit(0)).alias("_quota")
+    todo = cut(floors.join(sums, keys).select(*keys, tie, "_frac", "_id", quota))
+    paid, digits = [], _digits(fraction, F.col(tie))
+    while True:
+        counted = todo.groupBy(*keys).agg(F.count("*").alias("_n"))
+        if counted.where(F.col("_n") > ranked).isEmpty():
+            break
+        digit, descending = next(digits, (None, None))
+        if digit is None:  # equal in fraction and tie: whichever
+            break
+        large = todo.join(counted.where(F.col("_n") > ranked).select(*keys), keys, "left_semi").withColumn("_digit", digit)
+        per = large.groupBy(*keys, "_digit").agg(F.count("*").alias("_n"), F.max("_quota").alias("_whole"))
+        order = Window.partitionBy(*keys).orderBy(F.desc("_digit") if descending else F.asc("_digit"))
+        before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+        per = per.select(*keys, "_digit", "_n", F.greatest(F.col("_whole") - before, F.lit(0)).alias("_left"))
+        split = cut(large.drop("_quota").join(per, [*keys, "_digit"]))
+        paid.append(split.where(F.col("_left") >= F.col("_n")).select("_id"))
+        cut_one = split.where((F.col("_left") > 0) & (F.col("_left") < F.col("_n"))).select(*keys, tie, "_frac", "_id", F.col("_left").alias("_quota"))
+        small = todo.join(counted.where(F.col("_n") <= ranked).select(*keys), keys, "left_semi")
+        todo = cut(small.unionByName(cut_one))
+    order = Window.partitionBy(*keys).orderBy(F.desc("_frac"), tie, "_id")
+    chosen = todo.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("_quota")).select("_id")
+    for part in paid:
+        chosen = chosen.unionByName(part)
+    more = F.coalesce(F.col("_more"), F.lit(0))
+    return floors.join(chosen.withColumn("_more", F.lit(1)), "_id", "left").withColumn("whole", F.col("_floor") + more).drop(
+        "_id", "_floor", "_frac", "_more")
+
+
+def _digits(fraction: Column, tie: Column):
+    """Ever finer parts of the order (fraction descending, tie ascending): (digit, whether larger ones come first)."""
+    for level in range(1, 6):
+        yield F.floor(fraction * float(FRACTION_BUCKETS) ** level), True
+    yield fraction, True
+    for at in range(1, 256):
+        yield F.ascii(F.substring(tie, at, 1)), False
 
 
 def target_weights(holdings: DataFrame, mode: str, posture: Column | None = None, total: str | None = None,
@@ -86,7 +114,7 @@ def target_weights(holdings: DataFrame, mode: str, posture: Column | None = None
     cells = with_group(rows, CELL, _sum=F.sum("_raw"), _usd=half_up(F.round(F.sum(total or "target_usd"), 6)))
     cells = cells.withColumn("weight_in_cell", ratio("_raw", "_sum")).withColumn(
         "_exact", F.col("_usd") * F.col("weight_in_cell"))
-    out = largest_remainder(cut(cells), CELL, "_exact", "_usd", "ticker")
+    out = largest_remainder(cells, CELL, "_exact", "_usd", "ticker")
     return out.withColumnRenamed("target_usd", "base_usd").withColumnRenamed("whole", "target_usd").drop(
         "_raw", "_sum", "_usd", "_exact")
 

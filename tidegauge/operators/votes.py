@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import clamp, fixed, ordinal
@@ -114,6 +114,15 @@ def evidence_counts(themes: DataFrame, news: DataFrame, filings: DataFrame) -> D
     return out.na.fill(0, ["news", "news_with_excerpt", "filings", "filing_passages"])
 
 
+def evidence_rows(news: DataFrame, filings: DataFrame, limit: int = 12) -> DataFrame:
+    """The evidence a reviewer reads: at most `limit` rows a theme and lane, the latest first, of news (theme, id, date, body)
+    and filings (theme, id, date, body). The rank limit holds before the shuffle too."""
+    lanes = news.select("theme", F.lit("news").alias("lane"), "id", "date", "body").unionByName(
+        filings.select("theme", F.lit("filing").alias("lane"), "id", "date", "body")).where(F.length("body") > 0)
+    order = Window.partitionBy("theme", "lane").orderBy(F.desc_nulls_last("date"), "id")
+    return lanes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
 def member_tape(members: DataFrame, quotes: DataFrame) -> DataFrame:
     """Per theme: quoted members, their mean month and distance to the long average (a missing value
     counts as zero), and whether any of them is extended."""

@@ -125,6 +125,19 @@ def evidence(t):
     return votes.evidence_counts(t.themes, news, filings)
 
 
+@query("AG24", """
+WITH r AS (SELECT theme, 'news' AS lane, news_id AS id, date, title AS body FROM news
+ UNION ALL SELECT 'N' || (doc_id % 23), 'filing', doc_id, NULL, left(trim(text), 240) FROM documents)
+SELECT theme, lane, id, date, body, row_number() OVER (PARTITION BY theme, lane ORDER BY date DESC NULLS LAST, id) AS place FROM r WHERE length(body) > 0
+QUALIFY place <= 12""")
+def evidence_rows(t):
+    """The latest headlines of each theme and the openings of its filings."""
+    news = t.news.select("theme", F.col("news_id").alias("id"), "date", F.col("title").alias("body"))
+    filings = t.read("documents").select(F.concat(F.lit("N"), F.col("doc_id") % 23).alias("theme"), F.col("doc_id").alias("id"),
+                                         F.lit(None).cast("date").alias("date"), F.substring(F.trim("text"), 1, 240).alias("body"))
+    return votes.evidence_rows(news, filings).withColumn("place", F.col("place").cast("bigint"))
+
+
 @query("AG24", "SELECT * FROM evidence")
 def evidence_counts(t):
     return evidence(t)
@@ -251,6 +264,14 @@ def merged_phrases(t):
     return votes.merge_phrases(existing, generated, t.scan_date).select("phrase", "status")
 
 
+@query("JN11", """WITH e AS (SELECT DISTINCT p_type AS phrase, CASE WHEN length(p_type) % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status FROM part),
+g AS (SELECT DISTINCT lower(x) AS phrase FROM (SELECT p_type AS x FROM part UNION ALL SELECT p_name FROM part))
+SELECT phrase, status FROM e UNION ALL SELECT phrase, 'approved' FROM g WHERE phrase NOT IN (SELECT lower(phrase) FROM e)""")
+def approved_pending(t):
+    """The phrase list after a reviewer has approved what was pending; rejected phrases stay rejected."""
+    return votes.approve_pending(merged_phrases(t))
+
+
 # ---- validation ------------------------------------------------------------------------------------------
 
 @query("VL1", """SELECT portfolio_id, ticker, error FROM (SELECT portfolio_id, ticker, unnest(list_filter([CASE WHEN account = 'taxable' AND k % 9 = 0 THEN 'account' END,

@@ -122,6 +122,47 @@ def registry_ids(t):
     return files.parse_ticker_map(t.read("customer").select(body.alias("body")), "body")
 
 
+@query("SC1", "SELECT ticker, d, round(close, 6) AS close FROM bars WHERE day(d) % 5 > 0")
+def landed_csv_history(t):
+    """Files as a provider leaves them, a folder a ticker; some lines have no price."""
+    path = scratch(t, "csv")
+    price = F.when(F.dayofmonth("d") % 5 == 0, F.lit("N/D")).otherwise(text_of("close"))
+    t.bars.select("ticker", text_of("d").alias("Date"), F.lit("1").alias("Open"), F.lit("2").alias("High"), F.lit("0").alias("Low"),
+                  price.alias("Close"), F.lit("100").alias("Volume")).write.partitionBy("ticker").option("header", True).csv(path)
+    return files.read_history_csv(t.spark, path)
+
+
+@query("SC3", "SELECT ticker, d, round(CASE WHEN day(d) % 2 = 0 THEN close / 2 ELSE close END, 6) AS close FROM bars")
+def landed_json_history(t):
+    path = scratch(t, "json")
+    t.bars.select("ticker", F.concat(text_of("d"), F.lit("T00:00:00.000Z")).alias("date"), "close",
+                  F.when(F.dayofmonth("d") % 2 == 0, F.col("close") / 2).alias("adjClose")).write.partitionBy("ticker").json(path)
+    return files.read_history_json(t.spark, path)
+
+
+@query("SC6", """SELECT role || ' & ' || turn AS title, 'http://x/' || conv_id AS link, DATE '2001-01-01' + CAST(turn AS INTEGER) AS date FROM conversations""")
+def landed_rss(t):
+    path = scratch(t, "rss")
+    d = F.date_add(F.lit("2001-01-01").cast("date"), F.col("turn").cast("int"))
+    t.read("conversations").select(
+        F.concat("role", F.lit(" &amp; "), text_of("turn")).alias("title"), F.concat(F.lit("http://x/"), text_of("conv_id")).alias("link"),
+        F.concat(F.lit("Mon, "), F.date_format(d, "dd MMM yyyy"), F.lit(" 10:00:00 GMT")).alias("pubDate")) \
+        .write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return files.read_rss(t.spark, path)
+
+
+@query("SC6", """SELECT role || ' ' || turn AS title, 'about ' || conv_id AS summary, '2001-01-0' || (turn % 9 + 1) || 'T00:00:00Z' AS published FROM conversations WHERE turn % 4 > 0""")
+def landed_atom(t):
+    """Entries without a title are left out; tags in a summary go."""
+    path = scratch(t, "atom")
+    t.read("conversations").select(
+        F.when(F.col("turn") % 4 > 0, F.concat("role", F.lit("  "), text_of("turn"))).otherwise("").alias("title"),
+        F.concat(F.lit("<p>about "), text_of("conv_id"), F.lit("</p>")).alias("summary"),
+        F.concat(F.lit(" 2001-01-0"), (F.col("turn") % 9 + 1).cast("string"), F.lit("T00:00:00Z ")).alias("published")) \
+        .write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    return files.read_atom(t.spark, path)
+
+
 def scratch(t, name):
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -174,16 +174,17 @@ def book(t):
 
 
 def wanted(t, most_new=3):
-    """Names that a portfolio may want: the best of its theme. Of a theme's ranking no portfolio looks further
-    than the names it wants beside those it may hold already, so the input grows with the portfolios only."""
+    """Names that a portfolio may want: the best of its theme. A portfolio looks no further down the theme's ranking than
+    the names it wants beside those of the theme it holds already, so the pairs grow with the holdings."""
     level = F.round(0.3 + (F.expr("substr(ticker, 2)").cast("bigint") % 7) / 10.0, 6)
     customers = t.read("customer").select(
         F.col("c_custkey").alias("portfolio_id"), F.concat(F.lit("N"), "c_nationkey").alias("theme"))
-    held = book(t).groupBy("portfolio_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).collect()[0][0]
+    held = t.holdings.select("portfolio_id", "ticker").distinct().join(t.theme_members, "ticker").groupBy("portfolio_id", "theme").agg(F.count("*").alias("n"))
+    ranks = F.sequence(F.lit(1), (most_new + F.coalesce("n", F.lit(0))).cast("int"))
+    seen = customers.join(held, ["portfolio_id", "theme"], "left").select("portfolio_id", "theme", F.explode(ranks).alias("_rank"))
     order = Window.partitionBy("theme").orderBy(F.desc("_level"), "ticker")
-    best = t.theme_members.withColumn("_level", level).withColumn("_rank", F.row_number().over(order)) \
-        .where(F.col("_rank") <= most_new + held).drop("_level", "_rank")
-    return customers.join(best, "theme").join(
+    best = t.theme_members.withColumn("_level", level).withColumn("_rank", F.row_number().over(order)).drop("_level")
+    return seen.join(best, ["theme", "_rank"]).join(
         t.quotes.select("ticker", F.col("vol_1y").alias("vol")), "ticker", "left").select(
         "portfolio_id", "ticker", level.alias("conviction"), "vol")
 
@@ -308,6 +309,26 @@ def option_screen_rows(t):
         "contract", "underlying", "kind", "implied_vol", "iv_to_realized", "fair_value", "edge", "verdict")
 
 
+N1, N2 = (CDF.format(x=f"d{n}", n=n) for n in "12")
+DENSITY = "0.3989422804014327e0 * exp(-d1 * d1 / 2)"
+
+
+@query("SF9", f"""
+WITH s AS (SELECT *, 1 / (1 + 0.2316419e0 * abs(d1)) AS k1, 1 / (1 + 0.2316419e0 * abs(d2)) AS k2 FROM (SELECT *, d1 - v * sqrt(yrs) AS d2 FROM (
+ SELECT *, (ln(spot / strike) + (0.04e0 + v * v / 2) * yrs) / (v * sqrt(yrs)) AS d1 FROM (SELECT *, true_vol AS v FROM contracts))))
+SELECT contract, round(CASE kind WHEN 'call' THEN {N1} ELSE {N1} - 1 END, 6) AS delta, round({DENSITY} / (spot * v * sqrt(yrs)), 6) AS gamma, round(spot * {DENSITY} * sqrt(yrs) / 100, 6) AS vega,
+ round((-spot * {DENSITY} * v / (2 * sqrt(yrs)) + CASE kind WHEN 'call' THEN -0.04e0 * strike * exp(-0.04e0 * yrs) * {N2} ELSE 0.04e0 * strike * exp(-0.04e0 * yrs) * (1 - {N2}) END) / 365, 6) AS theta,
+ CASE WHEN vix > 0 THEN CASE WHEN vix >= 22 THEN 'rich' WHEN vix <= 14 THEN 'cheap' ELSE 'normal' END END AS band FROM (SELECT *, contract % 40 AS vix FROM s)""")
+def option_greeks(t):
+    """Greeks at the quoted volatility, and the band of the market's volatility index on the day."""
+    from tidegauge.functions.options import greeks, volatility_band
+
+    rows = option_chain(t)
+    return rows.select("contract", *[c.alias(n) for n, c in greeks(
+        F.col("kind"), F.col("spot"), F.col("strike"), F.col("days") / 365.0, F.col("true_vol")).items()],
+        volatility_band(F.col("contract") % 40).alias("band"))
+
+
 @query("SF9", SOLVE + """
 r AS (SELECT c.underlying, iv, iv / c.ref_vol AS q FROM chain c LEFT JOIN solved USING (contract))
 SELECT underlying, count(*) AS contracts, count(iv) AS solved, round(avg(iv), 6) AS mean_iv, round(avg(q), 6) AS mean_ratio, count(*) FILTER (q < 0.95) AS cheap,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.scalar import positive
 from tidegauge.operators import align, quality, reconcile, technicals, universe
 from tidegauge.plans.registry import query, shared
+from tidegauge.session import cut
 from tidegauge.sources import store
 
 shared(
@@ -319,8 +320,11 @@ c AS (SELECT count(*) AS total, count(*) FILTER (ticker NOT LIKE '%3') AS ok_quo
  count(*) FILTER (ticker NOT LIKE '%3' AND ok) AS corroborated, count(*) FILTER (ticker NOT LIKE '%3') AS corroborated_of FROM flagged)
 SELECT *, errored / total > 0.3 OR bad_data / ok_quotes > 0.25 OR (corroborated_of >= 3 AND corroborated / corroborated_of < 0.5) AS degraded FROM c""")
 def quality_gate(t):
+    """The gate of the quotes' own write: counted while they are stored, read without another scan."""
     failed = F.when(F.col("ticker").endswith("3"), "no quote")
-    return quality.quality_gate(checked_quotes(t).withColumn("error", failed))
+    quotes, seen = quality.observed(checked_quotes(t).withColumn("error", failed))
+    cut(quotes)
+    return quality.gate_of(t.spark, seen)
 
 
 @query("DQ5", """SELECT ticker, count(*) AS bars, list_sort(list(gap) FILTER (gap IS NOT NULL))[(count(gap) // 2) + 1] AS middle_gap,

@@ -20,7 +20,6 @@ CHART_JSON = (
     "chart struct<result: array<struct<timestamp: array<bigint>, meta: struct<currency: string>, indicators: struct<"
     "quote: array<struct<close: array<double>>>, adjclose: array<struct<adjclose: array<double>>>>>>>")
 FACT = "struct<start: string, `end`: string, val: double, fp: string, form: string>"
-FACTS_JSON = f"cik string, facts struct<`us-gaap`: map<string, struct<units: map<string, array<{FACT}>>>>>"
 HITS_JSON = ("hits struct<hits: array<struct<_id: string, _source: struct<display_names: array<string>, form: string, "
              "file_date: string, cik: string>>>>")
 RECENT_JSON = ("accessionNumber array<string>, form array<string>, filingDate array<string>, items array<string>, "
@@ -49,10 +48,16 @@ def _bars(df: DataFrame, d: Column, close: Column, *keep: str) -> DataFrame:
 # ---- price history -------------------------------------------------------------------------------------
 
 def read_history_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily files named after their ticker; malformed lines are dropped row by row."""
+    """Daily files named after their ticker, or in folders ticker=...; malformed lines are dropped row by row."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(HISTORY_CSV).csv(path)
-    named = raw.withColumn("ticker", F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(?:\.csv.*)?$", 1)))
-    return _bars(named, F.col("Date"), F.col("Close"), "ticker")
+    return _bars(_named(raw, "csv"), F.col("Date"), F.col("Close"), "ticker")
+
+
+def _named(raw: DataFrame, ending: str) -> DataFrame:
+    """The ticker of a file's folder, or else of its name."""
+    if "ticker" in raw.columns:
+        return raw.withColumn("ticker", F.upper(F.col("ticker").cast("string")))
+    return raw.withColumn("ticker", F.upper(F.regexp_extract(F.col("_metadata.file_name"), rf"^(.+?)(?:\.{ending}.*)?$", 1)))
 
 
 def parse_history_lines(df: DataFrame, line: str, *keep: str) -> DataFrame:
@@ -70,8 +75,7 @@ def parse_quote_lines(df: DataFrame, line: str, *keep: str) -> DataFrame:
 
 def read_history_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(HISTORY_JSON).json(path)
-    named = raw.withColumn("ticker", F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(?:\.json.*)?$", 1)))
-    return _bars(named, F.substring("date", 1, 10), F.coalesce("adjClose", "close"), "ticker")
+    return _bars(_named(raw, "json"), F.substring("date", 1, 10), F.coalesce("adjClose", "close"), "ticker")
 
 
 def parse_history_json(df: DataFrame, payload: str, *keep: str) -> DataFrame:
@@ -94,14 +98,26 @@ def parse_chart(df: DataFrame, payload: str, *keep: str) -> DataFrame:
 
 # ---- company facts ---------------------------------------------------------------------------------------
 
-def parse_company_facts(df: DataFrame, payload: str, *keep: str) -> DataFrame:
-    """One row per reported value: concept, unit, period, value, fiscal period and form."""
-    body = df.select(*keep, F.from_json(F.col(payload), FACTS_JSON).alias("_f"))
-    concepts = body.select(*keep, F.col("_f.cik").alias("cik"), F.explode(F.col("_f.facts.us-gaap")).alias("concept", "_c"))
-    units = concepts.select(*keep, "cik", "concept", F.explode(F.col("_c.units")).alias("unit", "_v"))
-    values = units.select(*keep, "cik", "concept", "unit", F.inline("_v"))
-    return values.select(*keep, "cik", "concept", "unit", iso_day(F.col("start")).alias("start_d"),
-                         iso_day(F.col("end")).alias("end_d"), "val", "fp", "form")
+def parse_company_facts(df: DataFrame, payload: str, *keep: str, concepts: list[str] | None = None) -> DataFrame:
+    """One row per reported value: concept, unit, period, value, fiscal period and form.
+
+    The payload becomes a VARIANT once, and only the concepts asked for (all by default) are taken out of it, value by
+    value: a payload that is no JSON, a concept of another shape or a value of another type costs itself, nothing else."""
+    tvf = df.sparkSession.tvf
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    body = df.select(*keep, F.try_parse_json(payload).alias("_v"))
+    listed = body.select(*keep, F.coalesce(get(F.col("_v"), "$.cik", "string"), F.lit(None)).alias("cik"), get(F.col("_v"), "$.facts['us-gaap']", "variant").alias("_g"))
+    if concepts is None:
+        named = listed.lateralJoin(tvf.variant_explode(F.col("_g").outer())).select(*keep, "cik", F.col("key").alias("concept"), get(F.col("value"), "$.units", "variant").alias("_u"))
+    else:
+        one = lambda c: F.struct(F.lit(c).alias("concept"), get(F.col("_g"), f"$['{c}'].units", "variant").alias("_u"))
+        named = listed.select(*keep, "cik", F.inline(F.array(*[one(c) for c in concepts])))
+    units = named.where("_u is not null").lateralJoin(tvf.variant_explode(F.col("_u").outer())).select(*keep, "cik", "concept", F.col("key").alias("unit"), F.col("value").alias("_w"))
+    values = units.lateralJoin(tvf.variant_explode(F.col("_w").outer())).select(*keep, "cik", "concept", "unit", F.col("value").alias("_x"))
+    text = lambda name: get(F.col("_x"), f"$.{name}", "string")
+    rows = values.select(*keep, "cik", "concept", "unit", iso_day(text("start")).alias("start_d"), iso_day(text("end")).alias("end_d"),
+                         get(F.col("_x"), "$.val", "double").alias("val"), text("fp").alias("fp"), text("form").alias("form"))
+    return rows.where("val is not null")
 
 
 # ---- feeds -----------------------------------------------------------------------------------------------

@@ -28,6 +28,11 @@ def read_series(spark: SparkSession, path: str, tickers: list[str] | None = None
     return rows.where(F.col("close") > 0).select("ticker", "d", "close")
 
 
+#: Row groups of the store are kept small, sorted by ticker, and carry a Bloom filter on it, so that a read of a few
+#: tickers skips the others even where a row group's range covers them.
+LAYOUT = {"parquet.block.size": str(8 << 20), "parquet.bloom.filter.enabled#ticker": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def reject_reason() -> Column:
     """Why a row may not be stored; null when it may."""
     close = F.col("close")
@@ -86,8 +91,8 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> None:
                             fresh.drop("year")).withColumn("year", F.year("d"))
     staging = f"{path.rstrip('/')}_staging"
     layout = merged.select("ticker", "d", "close", "source", "year").repartition("year", "ticker").sortWithinPartitions("year", "ticker", "d")
-    layout.write.mode("overwrite").partitionBy("year").parquet(staging)
-    (spark.read.schema(STORE).parquet(staging).write.mode("overwrite")
+    layout.write.mode("overwrite").options(**LAYOUT).partitionBy("year").parquet(staging)
+    (spark.read.schema(STORE).parquet(staging).write.mode("overwrite").options(**LAYOUT)
      .option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
 
