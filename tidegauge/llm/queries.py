@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm import (ann, decontaminate, langid, lm, mixing, pii, prefix_trie, quality, secret_scan, simhash,
                            token_rollup, variants, warc)
 from tidegauge.llm.check_sql import SQL  # noqa: F401
-from tidegauge.session import shared_dir
+from tidegauge.session import cut, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +47,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target corpus is the documents labelled as good; ids are unique, so the labels' ids are joined in."""
+    """The target corpus is the documents labelled as good; ids are unique, so the labels' ids are joined in. The texts
+    are shuffled once for it, at any size, and written: the counts and the scores both read the marked table."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    scored = lm.score(docs, F.col("good"), out="lm")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
+    scored = lm.score(cut(docs), F.col("good"), out="lm")
     return scored.select("doc_id", F.col("lm.tokens").alias("n_tokens"), *[
         F.round(f"lm.{c}", 6).alias(c) for c in ("target", "background", "diff")])
 
