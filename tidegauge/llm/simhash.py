@@ -155,22 +155,27 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
     many bytes that their texts may reach the similarity. All pairs of short posting lists are candidates;
     the members of a list above `most` meet its smallest member and, as lists of unlike texts can grow, the smallest of its part that shares two and that shares five more
     positions. Linear in the members; members of a long list that resemble neither leader nor each
-    other's leader in any of their lists can lose a link."""
-    entry = lambda at, n: F.conv(F.hex(F.substring("sig", at + 1, n)), 16, 10).cast("long")
-    following = lambda k, n: entry(BAND * ((k + 1) % BANDS), n)
-    entries = [F.struct(F.lit(k).alias("slot"), entry(BAND * k, BAND).alias("bytes"),
-                        following(k, 2).alias("two"), following(k, 5).alias("five")) for k in range(BANDS)]
-    posted = cut(nodes.where("sig is not null").select("node", F.inline(F.array(*entries)).alias("slot", "bytes", "two", "five")))
-    lists = posted.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = cut(posted.join(lists, ["slot", "bytes"]))
+    other's leader in any of their lists can lose a link.
+
+    An index entry is written as a hash of its slot and bytes, and only if another node has it: two nodes
+    whose hashes agree by chance are one more candidate pair."""
+    named = nodes.where("sig is not null")
+    key = lambda k, *more: F.xxhash64(F.lit(k), F.substring("sig", BAND * k + 1, BAND), *more)
+    posted = named.select("node", F.explode(F.array(*[key(k) for k in range(BANDS)])).alias("key"))
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    met = cut(posted.join(lists.hint("merge"), "key"))
 
     short = met.where(F.col("n") <= most)
-    a, b = short.select("slot", "bytes", F.col("node").alias("a")), short.select("slot", "bytes", F.col("node").alias("b"))
-    wanted = [a.join(b, ["slot", "bytes"]).where(F.col("a") < F.col("b")).select("a", "b")]
-    long_ = met.where(F.col("n") > most)
-    for key in (["slot", "bytes"], ["slot", "bytes", "two"], ["slot", "bytes", "five"]):
-        leaders = long_.groupBy(*key).agg(F.min("node").alias("a"))
-        wanted.append(long_.join(leaders, key).where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b")))
+    wanted = [short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")).hint("merge"), "key")
+              .where(F.col("a") < F.col("b")).select("a", "b")]
+    # the entries of long lists again, with the two finer keys of the parts that share two and five more positions
+    long_keys = met.where(F.col("n") > most).select("key").distinct()
+    following = lambda k, n: F.substring("sig", BAND * ((k + 1) % BANDS) + 1, n)
+    entries = [F.struct(key(k).alias("key"), key(k, following(k, 2)).alias("two"), key(k, following(k, 5)).alias("five")) for k in range(BANDS)]
+    long_ = cut(named.select("node", F.inline(F.array(*entries)).alias("key", "two", "five")).join(long_keys, "key", "left_semi"))
+    for part in ("key", "two", "five"):
+        leaders = long_.groupBy(part).agg(F.min("node").alias("a"))
+        wanted.append(long_.select(part, "node").join(leaders, part).where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b")))
     pairs = cut(functools.reduce(DataFrame.union, wanted, also).distinct())
 
     least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / POSITIONS)
@@ -182,7 +187,8 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
             yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= least))
 
     sig = lambda of: nodes.where("sig is not null").select(F.col("node").alias(of), F.col("sig").alias(f"sig_{of}"))
-    return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(likely, "a long, b long")
+    both = pairs.join(sig("b").hint("merge"), "b").join(sig("a").hint("merge"), "a")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(likely, "a long, b long")
 
 
 def reaching(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
@@ -192,11 +198,12 @@ def reaching(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     pairs = cut(pairs)
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = cut(nodes.select("node", "t1", "t2").join(met, "node", "left_semi"))
-    once = texts.join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    # a shuffle of the texts at any size: a broadcast of the wanted nodes would hold only while they are few
+    once = texts.join(wanted.hint("merge"), ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
     hashes = lambda some: [distinct_shingles(t, words) for t in some]
     sets = cut(annotate(once, "text", "hashes", T.ArrayType(T.LongType()), hashes).select("node", "hashes"))
     of = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"of_{side}"))
-    met = with_held(pairs.join(of("b"), "b").join(of("a"), "a"), {"shared": F.size(F.array_intersect("of_a", "of_b"))})
+    met = with_held(pairs.join(of("b").hint("merge"), "b").join(of("a").hint("merge"), "a"), {"shared": F.size(F.array_intersect("of_a", "of_b"))})
     return met.where(F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= similarity).select("a", "b")
 
 
