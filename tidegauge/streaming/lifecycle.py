@@ -7,6 +7,7 @@ emitted is rewritten.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -227,6 +228,7 @@ def replay(table: DataFrame, path: str, by: str, slices: int = 3) -> DataFrame:
 
 
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+_STARTING = threading.Lock()
 
 
 def collected(stream: DataFrame, path: str, checkpoint: str, idle: bool = True) -> DataFrame:
@@ -236,13 +238,14 @@ def collected(stream: DataFrame, path: str, checkpoint: str, idle: bool = True)
 
     spark = stream.sparkSession
     enable_state(spark)
-    before = spark.conf.get(IDLE)
-    spark.conf.set(IDLE, str(idle).lower())
-    try:  # the query keeps the setting it starts with
-        run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint) \
-            .outputMode("append").trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(IDLE, before)
+    with _STARTING:  # the query keeps the setting it starts with; the session's comes back at once
+        before = spark.conf.get(IDLE)
+        spark.conf.set(IDLE, str(idle).lower())
+        try:
+            run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint) \
+                .outputMode("append").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(IDLE, before)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
