@@ -83,6 +83,26 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+#: What ends the header lines: the blank line, or the next record's version line where it is lost.
+HEADER_END = re.compile(rb"\r\n(?:\r\n|(?=WARC/1\.[01]\r\n))")
+
+
+class Places:
+    """The places in data that begin a member or a version line, in order; the next of either kind is
+    remembered, so that a walk over many damaged records looks at each byte once."""
+
+    def __init__(self, data: bytes, members: bool):
+        self.data, self.line, self.zipped = data, -1, -1 if members else len(data)
+
+    def after(self, here: int) -> int:
+        """The first place at `here` or behind it, or the end."""
+        if self.line < here:
+            line = VERSION.search(self.data, here)
+            self.line = line.start() if line else len(self.data)
+        if self.zipped < here:
+            zipped = self.data.find(MEMBER, here)
+            self.zipped = zipped if zipped >= 0 else len(self.data)
+        return min(self.line, self.zipped)
 
 
 def parsed(data: bytes, at: int) -> tuple[dict, int] | str:
@@ -90,9 +110,10 @@ def parsed(data: bytes, at: int) -> tuple[dict, int] | str:
     start = VERSION.match(data, at)
     if not start:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if stop < 0:
+    found = HEADER_END.search(data, start.end() - 2)
+    if not found or found.end() == found.start() + 2:
         return "endless header"
+    stop = found.start()
     fields = {}
     for raw in data[start.end():stop].split(b"\r\n"):
         name, colon, value = raw.partition(b":")
@@ -169,27 +190,22 @@ def valid(data: bytes, at: int) -> bool:
     return any(bad is None for _, _, bad, _ in inside(content, why)) if content else why is None
 
 
-def following(data: bytes, here: int, members: bool) -> int:
+def following(data: bytes, here: int, places: Places) -> int:
     """The next place from `here` that begins a member or a version line and is valid, or the end."""
-    while True:
-        line, zipped = VERSION.search(data, here), data.find(MEMBER, here) if members else -1
-        found = ([line.start()] if line else []) + ([zipped] if zipped >= 0 else [])
-        if not found:
-            return len(data)
-        if valid(data, here := min(found)):
-            return here
+    while (here := places.after(here)) < len(data) and not valid(data, here):
         here += 1
+    return here
 
 
 def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, str | None, list[dict]]]:
     """(start, end, failed check or None, records) over a whole archive, in order. A member gives one such
     row for each record in it, with the member's bounds; a gap inside it has these too, and its own bounds
     in the content are part of the text. Without `members` data is the content of one."""
-    at = 0
+    at, places = 0, Places(data, members)
     while at < len(data):
         if not members or data[at:at + 3] != MEMBER:
             got = parsed(data, at)
-            end = following(data, at + 1, members) if isinstance(got, str) else got[1]
+            end = following(data, at + 1, places) if isinstance(got, str) else got[1]
             yield (at, end, got, []) if isinstance(got, str) else (at, end, None, [got[0]])
             at = end
             continue
@@ -210,7 +226,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, str |
                 again = zlib.decompressobj(31)
                 again.decompress(read := data[at:end + 1], done - 1)  # the last byte's call would fail as well
                 start = at + len(read) - len(again.unconsumed_tail)
-            end = following(data, max(start, at + 1), True)
+            end = following(data, max(start, at + 1), places)
             yield start, end, f"{why}, from byte {done} of the content of the member at {at}", []
         at = end
 
