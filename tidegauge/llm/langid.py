@@ -1,8 +1,8 @@
 """Language identification by n-gram filters that hold a bitmask of languages.
 
 Training counts letter trigrams by language over all learning documents. A trigram enters the filter
-of each language in which it is usual. The filters are bit-sliced: slot j of one table of 64-bit words
-has bit l set if language l's Bloom filter has its bit j set, so that one look-up and AND of a few
+of each language in which it is usual. The filters are bit-sliced: slot j of a table of 64-bit words, one
+table for every 64 languages, has bit l set if language l's Bloom filter has its bit j set, so that one look-up and AND of a few
 words answers for all languages at once. The filters have a fixed size, whatever the corpus.
 
 Prediction looks up every trigram of a text, takes one popcount a language, corrects it for that
@@ -12,6 +12,7 @@ filter's false positives, and the highest share wins.
 from __future__ import annotations
 
 import functools
+import itertools
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import CHARS, annotate, mixed, packed
 from tidegauge.session import cut
 
-#: Slots of the table (512 KiB of 64-bit words), hash functions, and most languages (bits of a word).
-SLOTS_BITS, HASHES, MOST_LANGS = 16, 3, 64
+#: Slots of a table (512 KiB of 64-bit words), hash functions, and languages of a table (bits of a word).
+SLOTS_BITS, HASHES, BITS = 16, 3, 64
 #: A trigram is usual in a language at this share of its trigrams, and at this part of the highest
 #: share that any language gives it.
 MIN_SHARE, MIN_PART = 3e-5, 0.25
@@ -36,7 +37,7 @@ RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("sco
 
 @dataclass(frozen=True)
 class Model:
-    """Languages with their false-positive rates; `table` is the bit-sliced filter."""
+    """Languages with their false-positive rates; `table` is the bit-sliced filter, a row for every 64 languages."""
 
     langs: list[str]
     table: np.ndarray
@@ -110,35 +111,40 @@ def counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """Learn from all rows with a language and a text; None if there is no trigram at all. More than
-    64 languages are refused, since a word of the table has 64 bits."""
+    """Learn from all rows with a language and a text; None if there is no trigram at all. Every
+    64 languages share one table of words."""
     grams = cut(counted(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), text, lang))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
-    known = totals.orderBy("lang").limit(MOST_LANGS + 1).collect()
+    known = totals.orderBy("lang").collect()
     if not known:
         return None
-    if len(known) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     index = F.create_map(*[F.lit(x) for i, r in enumerate(known) for x in (r["lang"], i)])
     total = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], float(r["total"]))])
     shares = grams.select("gram", index[F.col("lang")].alias("bit"), (F.col("n") / total[F.col("lang")]).alias("share"))
     usual = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("bit", "share")).alias("of")) \
         .where(F.col("top") >= MIN_SHARE) \
-        .select("gram", F.aggregate(
-            F.filter("of", lambda x: (x["share"] >= MIN_SHARE) & (x["share"] >= MIN_PART * F.col("top"))),
-            F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"]))).alias("mask"))
+        .select("gram", F.filter("of", lambda x: (x["share"] >= MIN_SHARE) & (x["share"] >= MIN_PART * F.col("top"))).alias("of"))
+    words = -(-len(known) // BITS)
+    mask = lambda w: F.aggregate(
+        F.filter("of", lambda x: F.floor(x["bit"] / BITS) == w), F.lit(0).cast("long"),
+        lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"] % BITS)))
 
     # At most 1 / MIN_SHARE trigrams a language pass, so this fits the driver at any corpus size.
-    rows = usual.toPandas()
-    grams_, masks = rows["gram"].to_numpy(np.int64).astype(np.uint64), rows["mask"].to_numpy(np.int64).astype(np.uint64)
-    table = np.zeros(1 << SLOTS_BITS, np.uint64)
-    for slot in slots(grams_):
-        np.bitwise_or.at(table, slot, masks)
-    fill = np.array([np.count_nonzero(table >> np.uint64(i) & np.uint64(1)) / len(table) for i in range(len(known))])
+    rows = usual.select("gram", *[mask(w).alias(f"mask{w}") for w in range(words)]).toPandas()
+    grams_ = rows["gram"].to_numpy(np.int64).astype(np.uint64)
+    table = np.zeros((words, 1 << SLOTS_BITS), np.uint64)
+    for w, slot in itertools.product(range(words), slots(grams_)):
+        np.bitwise_or.at(table[w], slot, rows[f"mask{w}"].to_numpy(np.int64).astype(np.uint64))
+    fill = np.array([bit_of(table[i // BITS], i).mean() for i in range(len(known))])
     most = max(range(len(known)), key=lambda i: (known[i]["total"], -i))
     return Model([r["lang"] for r in known], table, fill**HASHES, most)
 
 
+def bit_of(words: np.ndarray, lang: int) -> np.ndarray:
+    """The bit of a language in words of its table."""
+    return words >> np.uint64(lang % BITS) & np.uint64(1)
+
+
 def slots(keys: np.ndarray) -> list[np.ndarray]:
     """The places of each key under the hash functions."""
     shift = np.uint64(64 - SLOTS_BITS)
@@ -153,11 +159,11 @@ def predict(model: Model | None, texts: list) -> list[dict]:
     hits, total = np.zeros((len(texts), n_langs)), np.zeros(len(texts), np.int64)
     for rows, starts, codes in packed([f" {t} " if t else t for t in texts], 2) if model else ():
         keys, piece = trigrams(codes, starts)
-        masks = functools.reduce(np.bitwise_and, (model.table[s] for s in slots(keys)))
+        masks = functools.reduce(np.bitwise_and, (model.table[:, s] for s in slots(keys)))
         row = rows[piece]
         total += np.bincount(row, minlength=len(texts))
         for i in range(n_langs):
-            hits[:, i] += np.bincount(row, masks >> np.uint64(i) & np.uint64(1), len(texts))
+            hits[:, i] += np.bincount(row, bit_of(masks[i // BITS], i), len(texts))
     out = []
     for i, n in enumerate(total):
         if not n:
@@ -174,5 +180,5 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str
     """docs with a struct column `out` (lang, score, ngrams). Every row and column stays; nulls, empty
     and very long texts (taken in overlapping pieces), repeated rows and empty tables are covered by
     `predict`."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 512 KiB of table at any size
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 512 KiB of table for every 64 languages, at any size
     return annotate(docs, text, out, RESULT, lambda texts: predict(held.value, texts))
