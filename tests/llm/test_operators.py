@@ -75,10 +75,47 @@ def test_language(spark, docs, odd, empty):
 def test_language_filters_hold_every_gram(spark):
     model = langid.train(spark.createDataFrame([("abc abd", "x"), ("xyz", "y")], "text string, lang string"))
     keys, _ = langid.trigrams(np.frombuffer(" abc ".encode("utf-32-le"), np.uint32), np.array([0]))
-    masks = np.bitwise_and.reduce([model.table[s] for s in langid.slots(keys)])
+    masks = np.bitwise_and.reduce([model.table[0][s] for s in langid.slots(keys)])
     assert (masks & np.uint64(1)).all()
 
 
+def test_more_languages_than_bits(spark):
+    """A language by its own letters, 70 of them: each is known again, also those of the second table."""
+    rng, rows = np.random.default_rng(3), []
+    for lang in range(70):
+        own = [chr(0x4E00 + 40 * lang + i) for i in range(40)]
+        rows += [(f"l{lang:02}", "".join(rng.choice(own, 300))) for _ in range(3)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.train(df)
+    assert model.table.shape == (2, 1 << langid.SLOTS_BITS) and len(model.langs) == 70
+    assert langid.identify(df, model, out="named").where("named.lang != lang").count() == 0
+
+
+def test_language_against_exact_sets(spark, docs):
+    """The filters against plain sets of usual trigrams: the same share of each language within their error."""
+    from collections import Counter
+
+    model, rows = langid.train(docs), [(r["text"], r["lang"]) for r in docs.collect()]
+    grams = lambda t: langid.trigrams(np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32), np.array([0]))[0].tolist()
+    counts = {x: Counter() for x in model.langs}
+    for text, lang in rows:
+        if text and lang:
+            counts[lang].update(grams(text))
+    share = {x: {g: n / c.total() for g, n in c.items()} for x, c in counts.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for c in counts.values() for g in c}
+    usual = {x: {g for g, v in s.items() if v >= langid.MIN_SHARE and v >= langid.MIN_PART * top[g]} for x, s in share.items()}
+    texts = [t for t, _ in rows if t][:300]
+    agree = 0
+    for text, got in zip(texts, langid.predict(model, texts)):
+        own = grams(text)
+        if not own:
+            assert got["lang"] == "und"
+        want = {x: sum(g in usual[x] for g in own) / len(own) for x in model.langs} if own else {}
+        agree += not own or want[got["lang"]] >= max(want.values()) - 0.02
+        assert got["ngrams"] == len(own)
+    assert agree == len(texts)
+
+
 def test_long_text_pieces_count_each_gram_once():
     from tidegauge.llm.common import packed
 
@@ -362,6 +399,27 @@ def test_salvage(spark, zipped):
     assert list(warc.salvage(b"")) == [] and [why is not None for _, _, why, _ in warc.salvage(b"junk")] == [True]
 
 
+def test_long_headers(spark):
+    """A url beyond a megabyte is read back; a header without an end costs one record."""
+    rows = [(1, "u" * (1 << 20), "a"), (2, "http://b", "b")]
+    got = warc.archived(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in got) == ["1", "2"]
+    sound = b"WARC/1.1\r\nWARC-Type: response\r\nPage-ID: 7\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    steps = list(warc.salvage(b"WARC/1.1\r\nWARC-Type: response\r\n" + sound))
+    assert [why for _, _, why, _ in steps] == ["endless header", None] and steps[1][3][0]["fields"]["page-id"] == "7"
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\n%09d\r\n__" % i for i in range(n)),
+    lambda n: b"WARC/1.1\r\n" * n + b"\r\n"])
+def test_salvage_is_linear(make):
+    import time
+
+    began = time.perf_counter()
+    steps = list(warc.salvage(make(100_000)))
+    assert [why is None for _, _, why, _ in steps] == [False] and time.perf_counter() - began < 10
+
+
 def test_salvage_inside_members():
     """A bad record, a wrong checksum or a missing tail costs a member of many records only what it hits."""
     def record(i):
