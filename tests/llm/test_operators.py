@@ -145,6 +145,47 @@ def test_decontamination_against_alignment(spark, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    """Items below the least length are found between word borders without an edit, wherever they stand."""
+    items = ["Paris is the capital of France", "a b c", "Paris is the capital", "two words", "...", ""]
+    texts = ["Who knows? PARIS is -- the capital of France!", "a b cd, xa b c", "so: A. b, c", "paris is the capital of franc", "two words", None, "x " * 10_000 + "a b c"]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, leaks int, found int")
+    bench = spark.createDataFrame([(f"i{i}", t, 0) for i, t in enumerate(items)], "item_id string, text string, item int")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(df, bench).collect()}
+    assert set(got) == {(0, "i0"), (0, "i2"), (2, "i1"), (3, "i2"), (6, "i1")} and all(r["edits"] == 0 for r in got.values())
+    assert texts[0][got[0, "i0"]["start"]:got[0, "i0"]["end"]] == "PARIS is -- the capital of France" and got[6, "i1"]["start"] == 20_000
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 5} and decontaminate.unsearched(bench) == 3
+
+
+def test_short_items_against_plain_search():
+    import re
+
+    rng = np.random.default_rng(2)
+    phrase = lambda n: " ".join(rng.choice(["a", "b", "ab", "ba", "abc"], n))
+    items = sorted({phrase(int(rng.integers(3, 7))) for _ in range(300)})
+    block = decontaminate.block_of(items)
+    for _ in range(50):
+        text = phrase(60)
+        got = {(x["item"], x["start"], x["end"]) for x in decontaminate.search(block, text)}
+        found = [(i, re.search(f"(?<![^ ]){t}(?![^ ])", text)) for i, t in enumerate(items)]
+        assert got == {(i, m.start(), m.end()) for i, m in found if m}
+
+
+def test_templated_items():
+    """Thousands of items of one template against a text that repeats it: the bands are aligned where they can win."""
+    import time
+
+    items = [f"Write a short story about topic number {i} that ends with a question mark and a smile" for i in range(2000)]
+    block, began = decontaminate.block_of(items), time.perf_counter()
+    got = decontaminate.search(block, " ".join([items[1234]] * 20))
+    assert time.perf_counter() - began < 30
+    text = decontaminate.folded(items[1234])[0].tolist()
+    for x in got[::100]:
+        assert x["edits"] == brute.edit_distance_inside(decontaminate.folded(items[x["item"]])[0].tolist(), text * 3)
+    assert {"item": 1234, "edits": 0, "start": 0, "end": len(items[1234])} in got
+
+
 def test_cross_entropy_against_counts(spark, odd, empty):
     texts = ["abcabc", "abcabd", None, "", "\U0001f600zz", "abcabc"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
