@@ -221,6 +221,8 @@ def long_items(block: Block, codes: np.ndarray) -> dict[int, tuple[int, int, int
     follows = np.append(band[1:] == band[:-1] + 1, False)
     both = counts + np.where(follows, np.append(counts[1:], 0), 0)
     reach = np.flatnonzero(both >= block.least[band >> 40])
+    if not len(reach):
+        return {}
     # By the lemma a band has at least as many edits as its missing q-grams need: the least bound first, and
     # a band that cannot beat the item's best so far, nor equal it further left, is not aligned. Bands of
     # one item over equal stretches of text are aligned once. Rounds take one band of each item, two, four.
