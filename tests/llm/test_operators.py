@@ -383,6 +383,41 @@ def test_rollup(spark, odd, empty):
     assert token_rollup.totals(spark, store + "-none").count() == 0
 
 
+def test_rollup_of_string_ids_by_source(spark):
+    """Ids of a type of their own, groups against plain sums, very long texts, ids of a second type in a later batch."""
+    from collections import Counter
+
+    store = f"{shared_dir(spark)}/rollup-test-{np.random.default_rng().integers(1 << 60)}"
+    rows = [(f"d{i}", f"s{i % 3}" if i % 4 else None, "en" if i % 2 else None, "w " * (i % 7)) for i in range(40)] + [("long", "s0", "en", "w " * 500_000)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, lang string, text string")
+    token_rollup.commit(spark, store, 1, token_rollup.counted(df, ("words",)))
+    token_rollup.commit(spark, store, 2, None, df.where("doc_id = 'd5'"))
+    token_rollup.commit(spark, store, 3, token_rollup.counted(spark.createDataFrame([(6, "s9", "en", "one")], "doc_id int, source string, lang string, text string"), ("words",)))
+    want = Counter()
+    for i, s, lang, t in rows:
+        if i != "d5":
+            want[s, lang] += len(t.split())
+    want["s9", "en"] += 1
+    assert {(r["source"], r["lang"]): r["tokens"] for r in token_rollup.totals(spark, store).collect()} == want
+    assert token_rollup.current(spark, store).schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_rollup_lost_half_way(spark, odd, monkeypatch):
+    """Entries without the commit mark do not count: neither for totals nor for a later batch."""
+    store = f"{shared_dir(spark)}/rollup-test-{np.random.default_rng().integers(1 << 60)}"
+    counted = token_rollup.counted(odd, ("words",))
+    token_rollup.commit(spark, store, 1, counted)
+    before = sorted(map(str, token_rollup.totals(spark, store).collect()))
+    revised = counted.withColumn("tokens", F.lit(1000).cast("long"))
+    for what in ("entries", "sums"):
+        revised.select(*(["doc_id"] if what == "entries" else []), *token_rollup.KEY, F.lit(1).cast("long").alias("docs"), "tokens") \
+            .write.mode("overwrite").parquet(f"{store}/{what}/batch=2/attempt=1")
+        assert sorted(map(str, token_rollup.totals(spark, store).collect())) == before
+    token_rollup.commit(spark, store, 3, None, odd)
+    known = [r for r in counted.collect() if r["doc_id"] is None]
+    assert sum(r["docs"] for r in token_rollup.totals(spark, store).collect()) == len(known)
+
+
 def test_quality(spark, odd, docs, empty):
     for df in (odd, docs):
         for r in quality.judge(df, out="verdict").select("text", "verdict").collect():
