@@ -430,6 +430,13 @@ def test_quality(spark, odd, docs, empty):
     assert sorted(order) == sorted(r.name for r in quality.RULES) and one.exceptAll(quality.judge(docs, out="v").select("doc_id", "v.kept")).count() == 0
 
 
+def test_quality_windows_of_one_hash(spark):
+    """Unlike windows of one hash between two equal ones hide neither of them."""
+    text = "a b c x y z a b c q r s q"
+    df = spark.createDataFrame([(text.split(), [(0, 3), (3, 6)])], "words array<string>, pairs array<struct<a:int,b:int>>")
+    assert df.select(quality.repeated_words(F.col("words"), F.col("pairs"))).collect()[0][0] == brute.quality(text)["n_repeat_words"] == 6
+
+
 def test_quality_long_path(spark):
     text = "a b c d a b c e f g a b c"
     df = spark.createDataFrame([(text.split(),)], "words array<string>")
