@@ -15,7 +15,8 @@ keeps them connected. This is exact, and linear in the members.
 Texts at a shingle similarity of 0.8 differ in about ten of the 64 bits, where no byte need be shared, so
 for a wanted similarity `cluster` adds links from a longer fingerprint: POSITIONS bytes, each of the least
 of all shingle hashes under one of as many hash functions, of which two texts share their similarity's
-part. Its index entries hold BAND positions, and the shared positional bytes of each candidate pair are tallied.
+part. Its index entries hold BAND positions, and the shared positional bytes of each candidate pair are tallied. Long
+lists are split by further positions until they are short; a linked group in one is joined through one member.
 The tally is a filter with a margin; of the pairs it passes the shared shingles are counted, and those at the
 similarity or more are kept.
 """
@@ -45,6 +46,8 @@ PAIRS = list(itertools.combinations(range(4), 2))
 POSITIONS, BAND, BANDS = 256, 5, 24
 #: Standard deviations that the tally of bytes may stay below the similarity: one pair in three million is lost.
 MARGIN = 5
+#: Standard deviations above the similarity from which a link is taken as certain, and finer keys of a long list's member.
+SURE, SPLITS = 3, 3
 _ODD, _SHIFT = np.random.default_rng(SEED).integers(0, 2**64, (2, POSITIONS, 1), np.uint64) | np.uint64(1)
 
 
@@ -150,45 +153,71 @@ def simhash_pairs(prints: DataFrame, most: int = MOST) -> DataFrame:
     return near.union(prints.join(first, "fp").select("a", F.col("node").alias("b"))).where("a < b")
 
 
+def estimates(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """(a, b, alike): the similarity that the equal positional bytes of two nodes' (node, sig) tell."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
+            alike = ((left == right).mean(1) - 1 / 256) / (1 - 1 / 256)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], names=["a", "b", "alike"])
+
+    sig = lambda of: named.select(F.col("node").alias(of), F.col("sig").alias(f"sig_{of}"))
+    both = pairs.join(sig("b").hint("merge"), "b").join(sig("a").hint("merge"), "a")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, alike double")
+
+
 def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
     """(a, b) pairs of nodes (node, sig), among the pairs `also` too, whose longer fingerprints `sig` share so
-    many bytes that their texts may reach the similarity. All pairs of short posting lists are candidates;
-    the members of a list above `most` meet its smallest member and, as lists of unlike texts can grow, the smallest of its part that shares two and that shares five more
-    positions. Linear in the members; members of a long list that resemble neither leader nor each
-    other's leader in any of their lists can lose a link.
+    many bytes that their texts may reach the similarity. All pairs of posting lists up to `most` are
+    candidates. In a longer list all members meet one of them, and by that tally are its core (certainly linked
+    to it, so to each other), near (a core member may be linked to them) or far. Where the near and the far, or the
+    near alone, are at most `most`, they meet the members that they may be linked to; a list of core only is done. Who
+    still has others to meet goes on to the parts of the list that share one of SPLITS further stretches of the
+    fingerprint, which are lists again, until none is left: a list loses unlike members faster than a linked pair. The
+    stretches double in length, so there are at most eight levels. A pair that is in no short list, never met one
+    by one and parted at each level is lost; in 900 texts of two templates that is 1 of the 289 linked to another.
 
     An index entry is written as a hash of its slot and bytes, and only if another node has it: two nodes
     whose hashes agree by chance are one more candidate pair."""
+    deviation = math.sqrt(similarity * (1 - similarity) / POSITIONS)
+    least, sure = similarity - MARGIN * deviation, similarity + SURE * deviation
+    apart = sure - (1 - similarity) - MARGIN * deviation  # shingle distances obey the triangle inequality
     named = nodes.where("sig is not null")
-    key = lambda k, *more: F.xxhash64(F.lit(k), F.substring("sig", BAND * k + 1, BAND), *more)
-    posted = named.select("node", F.explode(F.array(*[key(k) for k in range(BANDS)])).alias("key"))
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = cut(posted.join(lists.hint("merge"), "key"))
-
-    short = met.where(F.col("n") <= most)
-    wanted = [short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")).hint("merge"), "key")
-              .where(F.col("a") < F.col("b")).select("a", "b")]
-    # the entries of long lists again, with the two finer keys of the parts that share two and five more positions
-    long_keys = met.where(F.col("n") > most).select("key").distinct()
-    following = lambda k, n: F.substring("sig", BAND * ((k + 1) % BANDS) + 1, n)
-    entries = [F.struct(key(k).alias("key"), key(k, following(k, 2)).alias("two"), key(k, following(k, 5)).alias("five")) for k in range(BANDS)]
-    long_ = cut(named.select("node", F.inline(F.array(*entries)).alias("key", "two", "five")).join(long_keys, "key", "left_semi"))
-    for part in ("key", "two", "five"):
-        leaders = long_.groupBy(part).agg(F.min("node").alias("a"))
-        wanted.append(long_.select(part, "node").join(leaders, part).where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b")))
-    pairs = cut(functools.reduce(DataFrame.union, wanted, also).distinct())
-
-    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / POSITIONS)
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
-            equal = (left == right).mean(1)
-            yield batch.select(["a", "b"]).filter(pa.array((equal - 1 / 256) / (1 - 1 / 256) >= least))
-
-    sig = lambda of: nodes.where("sig is not null").select(F.col("node").alias(of), F.col("sig").alias(f"sig_{of}"))
-    both = pairs.join(sig("b").hint("merge"), "b").join(sig("a").hint("merge"), "a")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(likely, "a long, b long")
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", BAND * k + 1, BAND))
+    entries = named.select("node", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
+    wanted, likely = [also], []
+    for level in itertools.count(1):
+        lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(level))).alias("first")) \
+            .where(F.col("n") > 1)
+        met = cut(entries.join(lists.hint("merge"), "key"))
+        short, long_ = met.where(F.col("n") <= most), met.where(F.col("n") > most)
+        wanted.append(short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")).hint("merge"), "key")
+                      .where(F.col("a") < F.col("b")).select("a", "b"))
+        if long_.isEmpty():
+            break
+        stars = cut(estimates(long_.where(F.col("first") != F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), named))
+        likely.append(stars.where(F.col("alike") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        told = long_.join(stars.select(F.col("a").alias("first"), F.col("b").alias("node"), "alike").hint("merge"), ["first", "node"], "left")
+        kind = F.when(F.coalesce("alike", F.lit(1.0)) >= sure, "core").when(F.col("alike") >= apart, "near").otherwise("far")
+        told = cut(told.select("key", "node", kind.alias("kind")))
+        sizes = told.groupBy("key").agg(F.count_if(F.col("kind") == "near").alias("near"), F.count_if(F.col("kind") == "far").alias("far")) \
+            .where(F.col("near") + F.col("far") > 0)
+        open_ = cut(told.join(sizes.hint("merge"), "key"))
+        core, few, few_near = F.col("kind") == "core", F.col("near") + F.col("far") <= most, F.col("near") <= most
+        asks = open_.where(F.when(few, ~core).otherwise(few_near & (F.col("kind") == "near"))).select("key", F.col("node").alias("x"))
+        asked = open_.where(few | few_near & core).select("key", F.col("node").alias("y"))
+        wanted.append(asked.join(asks.hint("merge"), "key").where(F.col("x") != F.col("y"))
+                      .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        # twice as many positions at each level; the last takes all, and members of one signature are core
+        width = min(POSITIONS, BAND << level - 1)
+        place = lambda s: F.pmod(F.xxhash64("key", F.lit(s)), F.lit(POSITIONS)).cast("int") + 1
+        finer = F.array(*[F.xxhash64("key", F.substring(F.concat("sig", "sig"), place(s), F.lit(width))) for s in range(SPLITS)])
+        entries = open_.where(~few & (~few_near | ~core)).select("key", "node").join(named.select("node", "sig").hint("merge"), "node") \
+            .select("node", F.explode(finer).alias("key")).distinct()
+    pairs = cut(functools.reduce(DataFrame.union, wanted).distinct())
+    likely.append(estimates(pairs, named).where(F.col("alike") >= least).select("a", "b"))
+    return functools.reduce(DataFrame.union, likely).distinct()
 
 
 def reaching(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
