@@ -302,6 +302,35 @@ def test_similarity_is_exact_at_the_limit(spark):
     assert [got[i + 1] == i for i in range(0, 80, 2)] == [s >= 0.8 for s in sims]
 
 
+def test_links_inside_template_families(spark):
+    """Texts of one template resemble each other below the limit and crowd the lists; pairs and tight groups among
+    them, and texts at a group's fringe, are found all the same, 0.99 of them at least, and nothing else."""
+    rng, texts = np.random.default_rng(11), []
+
+    def altered(words, n):
+        words = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            words[at] = f"v{rng.integers(0, 10**9)}"
+        return words
+
+    for _ in range(2):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        for _ in range(300):
+            one = altered(base, int(rng.integers(6, 12)))  # members share about half to 0.75 of their shingles
+            texts.append(one)
+            if rng.random() < 0.2:
+                texts.append(altered(one, int(rng.integers(1, 6))))
+        texts += [altered(base, int(rng.integers(0, 5))) for _ in range(100)]
+    order = rng.permutation(len(texts))
+    texts = [" ".join(texts[i]) for i in order]
+    low = brute.components([(i, brute.shingles(t)) for i, t in enumerate(texts)], lambda a, b: brute.similarity(a, b) >= 0.8)
+    got = {r["doc_id"]: r["component"] for r in simhash.cluster(
+        spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), words=5, similarity=0.8).collect()}
+    assert all(low[got[i]] == low[i] for i in got)  # no false link
+    linked = len(texts) - len(set(low))
+    assert linked > 250 and sum(got[i] != low[i] for i in got) <= 0.01 * linked
+
+
 def test_unlike_texts_of_one_fingerprint(spark):
     """A repeated line outvotes the rest: one fingerprint, but only texts at the similarity are linked."""
     rng, line = np.random.default_rng(9), "the same five words now\n" * 300
