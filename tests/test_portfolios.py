@@ -238,3 +238,14 @@ def test_claims_stay_open_resolve_or_expire(spark):
     graded = spark.createDataFrame([("new", True), ("good", False)], "id string, correct boolean")
     got = {r["id"]: (r["status"], r["correct"]) for r in ledger.claim_states(claims, graded, F.lit("2001-06-01").cast("date")).collect()}
     assert got == {"new": ("open", None), "due": ("open", None), "good": ("resolved", False), "old": ("expired", None)}
+
+
+def test_position_value_is_rate_times_price_times_shares(spark):
+    rate = 1.1
+    cells = [(p / 100, float(s)) for p in range(201, 260) for s in range(1, 50)]
+    pos = spark.createDataFrame([(f"S{i}", s) for i, (_, s) in enumerate(cells)], "ticker string, shares double")
+    quotes = spark.createDataFrame([(f"S{i}", p) for i, (p, _) in enumerate(cells)], "ticker string, price double")
+    names = pos.select("ticker", F.lit("EUR").alias("currency"), F.lit(True).alias("is_foreign"))
+    rates = spark.createDataFrame([("EUR", rate)], "currency string, rate double")
+    got = {r["ticker"]: r["usd"] for r in signals.position_usd(pos, quotes, names, rates).collect()}
+    assert got == {f"S{i}": rate * p * s for i, (p, s) in enumerate(cells)}

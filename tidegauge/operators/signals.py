@@ -214,7 +214,7 @@ def position_usd(positions: DataFrame, quotes: DataFrame, securities: DataFrame,
     currency = F.coalesce("currency", F.when(F.col("is_foreign"), "UNKNOWN").otherwise("USD"))
     rows = rows.withColumn("currency", currency).join(rates, "currency", "left")
     rate = F.when(F.col("currency") == "USD", 1.0).when(F.col("rate") > 0, F.col("rate"))
-    return rows.withColumn("usd", F.col("price") * F.col("shares") * rate)
+    return rows.withColumn("usd", rate * F.col("price") * F.col("shares"))
 
 
 def sleeve_value(valued: DataFrame, cash: DataFrame | None = None) -> DataFrame:
