@@ -31,8 +31,13 @@ def cents(x) -> F.Column:
 
 
 _WRITING = threading.RLock()
-#: Order lines behind one bucket of a stored table, and the range of bucket numbers.
-ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 8, 4096
+#: Order lines behind one bucket of a stored table, and the range of bucket numbers. A task reads a bucket, so its
+#: memory stays what these lines need however large the tables are.
+ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 200_000, 8, 16_384
+
+
+def bucket_count(lines: int) -> int:
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, lines // ROWS_PER_BUCKET))
 
 
 class Tables:
@@ -66,7 +71,7 @@ class Tables:
                 pass
             df = build()
             # from the footers' row counts, so that two sessions lay the same table out alike
-            parts = max(LEAST_BUCKETS, min(MOST_BUCKETS, self._lines.count() // ROWS_PER_BUCKET)) if bucket else None
+            parts = bucket_count(self._lines.count()) if bucket else None
             writer = (df.repartition(parts, bucket) if bucket else df).write.mode("overwrite").format("parquet").option("path", path)
             if bucket:
                 writer = writer.bucketBy(parts, bucket).sortBy(*([bucket, order] if order else [bucket]))
@@ -128,6 +133,10 @@ class Tables:
 
     @cached_property
     def raw_bars(self) -> DataFrame:
+        """Closes by provider; a ticker's are in one bucket, so that no later step deals them again."""
+        return self.stored("raw_bars", self._raw_bars, "ticker", "d")
+
+    def _raw_bars(self) -> DataFrame:
         provider = (F.when(F.col("l_returnflag") == "A", "yahoo")
                     .when(F.col("l_returnflag") == "N", "stooq").otherwise("tiingo"))
         return self._daily(self._lines, provider.alias("provider"),
