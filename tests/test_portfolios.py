@@ -249,3 +249,31 @@ def test_position_value_is_rate_times_price_times_shares(spark):
     rates = spark.createDataFrame([("EUR", rate)], "currency string, rate double")
     got = {r["ticker"]: r["usd"] for r in signals.position_usd(pos, quotes, names, rates).collect()}
     assert got == {f"S{i}": rate * p * s for i, (p, s) in enumerate(cells)}
+
+
+def test_buckets_follow_the_rows():
+    from tidegauge.plans.tables import bucket_count
+
+    assert bucket_count(6_000) == 8 and bucket_count(36_000_000) == 180 and bucket_count(216_000_000) == 1080
+
+
+def test_modes_side_by_side_equal_single_modes_without_a_shuffle(spark, tmp_path):
+    rows = [(p, f"S{i}", ("taxable", "ira")[i % 2], ("diversifier", "deep-tech")[i % 3 == 0], "core", 1000 + 37 * i * (p + 1), "A",
+             0.1 + i % 5 / 10 if i % 4 else None, "overweight", float(i * 7 % 100)) for p in range(6) for i in range(20)]
+    kind = ("portfolio_id bigint, ticker string, account string, axis string, role string, target_usd bigint, tier string, "
+            "vol double, tilt string, opportunity double")
+    df = spark.createDataFrame(rows, kind)
+    (df.write.mode("overwrite").format("parquet").option("path", str(tmp_path / "held")).bucketBy(4, "portfolio_id")
+     .sortBy("portfolio_id").saveAsTable("held_by_portfolio"))
+    both = sizing.targets_by_mode(spark.table("held_by_portfolio"), ["signal", "research"], F.lit("risk-on"))
+    keys = ["portfolio_id", "account", "axis", "ticker"]
+    for mode in ("signal", "research"):
+        one = sizing.target_weights(df, mode, F.lit("risk-on")).select(*keys, "target_usd")
+        assert sorted(map(tuple, both.select(*keys, f"{mode}_usd").collect())) == sorted(map(tuple, one.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sizing.targets_by_mode(spark.table("held_by_portfolio"), ["signal"], F.lit("risk-on"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql("DROP TABLE held_by_portfolio")
+    assert "Exchange" not in plan

@@ -93,6 +93,16 @@ def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.join(stats, keys, "inner")
 
 
+def with_cells(df: DataFrame, keys: list[str], inner: list[str], **aggs: Column) -> DataFrame:
+    """Attach the aggregates of each (keys, inner) cell to its rows, for keys that have few cells each. The join is on
+    `keys` alone, so rows that lie together by `keys` are not dealt again."""
+    stats = df.groupBy(*keys, *inner).agg(*[c.alias(n) for n, c in aggs.items()])
+    cells = stats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.struct(*inner), F.struct(*aggs)))).alias("_cells"))
+    own = F.element_at("_cells", F.struct(*inner))
+    return df.join(cells, keys, "inner").withColumns({n: own[n] for n in aggs}).drop("_cells")
+
+
 def monotone_bucket(x: Column | str, buckets: int = 4096, scale: float = 8.0) -> Column:
     """A fixed order-preserving bucket number, used to rank without a single-task sort."""
     return F.floor((F.atan(col(x) * scale) / F.lit(3.141592653589793) + 0.5) * buckets).cast("int")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalar import clamp, fixed, half_up, ratio, with_group
+from tidegauge.functions.scalar import clamp, fixed, half_up, ratio, with_cells, with_group
 from tidegauge.operators.universe import sleeve_axis
 from tidegauge.session import cut
 
@@ -44,11 +44,33 @@ def regime_factor(tilt: Column, posture: Column, cap: float = 0.15) -> Column:
             .when(tilt == "underweight", 1 - cap).otherwise(1.0))
 
 
-def largest_remainder(rows: DataFrame, keys: list[str], exact: str, total: str, tie: str, ranked: int = 100_000) -> DataFrame:
+def largest_remainder(rows: DataFrame, keys: list[str], exact: str, total: str, tie: str, ranked: int = 100_000,
+                      sizes: DataFrame | None = None) -> DataFrame:
     """Whole amounts that sum to the group's total exactly: floor, then one more for the rows with the
-    largest fractions (ties by `tie`).
+    largest fractions (ties by `tie`). Groups of at most `ranked` rows are ordered where they lie, larger ones are
+    dealt. `sizes` is a frame to count the groups from, if one is at hand that costs less than `rows`.
+    """
+    counted = (rows if sizes is None else sizes).groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = counted.where(F.col("_n") > ranked).select(*keys)
+    if large.isEmpty():
+        return _ordered(rows, keys, exact, total, tie)
+    large = cut(large)
+    few = _ordered(rows.join(large, keys, "left_anti"), keys, exact, total, tie)
+    return few.unionByName(_dealt(rows.join(large, keys, "left_semi"), keys, exact, total, tie, ranked))
+
+
+def _ordered(rows: DataFrame, keys: list[str], exact: str, total: str, tie: str) -> DataFrame:
+    """One window over each group: its floors' sum, and the place of each fraction."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("_frac"), tie)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    floors = rows.withColumn("_floor", F.floor(exact).cast("bigint")).withColumn("_frac", F.col(exact) - F.col("_floor"))
+    placed = floors.withColumns({"_k": F.row_number().over(order), "_quota": F.max(total).over(whole) - F.sum("_floor").over(whole)})
+    more = F.coalesce((F.col("_k") <= F.col("_quota")).cast("bigint"), F.lit(0))
+    return placed.withColumn("whole", F.col("_floor") + more).drop("_floor", "_frac", "_k", "_quota")
+
 
-    No group is ranked in one task. Fractions fall into buckets, and the buckets' counts tell which are paid in
+def _dealt(rows: DataFrame, keys: list[str], exact: str, total: str, tie: str, ranked: int) -> DataFrame:
+    """No group is ranked in one task. Fractions fall into buckets, and the buckets' counts tell which are paid in
     full, which not at all, and which single one per group is cut. A cut bucket of at most `ranked` rows is
     ordered; a larger one is cut again by a finer digit of the fraction, and where fractions are equal by
     the letters of `tie`, one after another.
@@ -103,20 +125,31 @@ def target_weights(holdings: DataFrame, mode: str, posture: Column | None = None
     signal mode adds the opportunity tilt, and the regime tilt in the tax-free account. Diversifiers
     get the risk tilt in both. `total` names a live value per row to size the cells by.
     """
-    rows = holdings.where(F.col("target_usd") > 0).withColumn("axis", sleeve_axis(F.col("axis"), F.col("role")))
-    rows = risk_factors(rows, risk_cap)
-    factor = F.col("risk_factor")
-    if mode == "signal":
-        regime = F.when(F.col("account") == "ira", regime_factor(F.col("tilt"), posture, regime_cap)).otherwise(1.0)
-        factor = F.when(F.col("axis") == "diversifier", factor).otherwise(
-            factor * opportunity_factor(F.col("opportunity"), opp_cap) * regime)
-    rows = rows.withColumn("factor", factor).withColumn("_raw", F.col("target_usd") * F.col("factor"))
-    cells = with_group(rows, CELL, _sum=F.sum("_raw"), _usd=half_up(F.round(F.sum(total or "target_usd"), 6)))
-    cells = cells.withColumn("weight_in_cell", ratio("_raw", "_sum")).withColumn(
-        "_exact", F.col("_usd") * F.col("weight_in_cell"))
-    out = largest_remainder(cells, CELL, "_exact", "_usd", "ticker")
-    return out.withColumnRenamed("target_usd", "base_usd").withColumnRenamed("whole", "target_usd").drop(
-        "_raw", "_sum", "_usd", "_exact")
+    out = targets_by_mode(holdings, [mode], posture, total, risk_cap, opp_cap, regime_cap)
+    return out.withColumnsRenamed({f"{mode}_factor": "factor", f"{mode}_weight": "weight_in_cell", f"{mode}_usd": "target_usd"})
+
+
+def targets_by_mode(holdings: DataFrame, modes: list[str], posture: Column | None = None, total: str | None = None,
+                    risk_cap: float = 0.15, opp_cap: float = 0.30, regime_cap: float = 0.15) -> DataFrame:
+    """The target weights of several modes side by side, from one pass: `<mode>_factor`, `<mode>_weight` and
+    `<mode>_usd`. Cells are looked up by portfolio, so holdings that lie together by portfolio stay where they are."""
+    held = holdings.where(F.col("target_usd") > 0).withColumn("axis", sleeve_axis(F.col("axis"), F.col("role")))
+    rows = risk_factors(held, risk_cap)
+    for mode in modes:
+        factor = F.col("risk_factor")
+        if mode == "signal":
+            regime = F.when(F.col("account") == "ira", regime_factor(F.col("tilt"), posture, regime_cap)).otherwise(1.0)
+            factor = F.when(F.col("axis") == "diversifier", factor).otherwise(
+                factor * opportunity_factor(F.col("opportunity"), opp_cap) * regime)
+        rows = rows.withColumn(f"{mode}_factor", factor).withColumn(f"_raw_{mode}", F.col("target_usd") * F.col(f"{mode}_factor"))
+    out = with_cells(rows, CELL[:1], CELL[1:], _usd=half_up(F.round(F.sum(total or "target_usd"), 6)),
+                     **{f"_sum_{mode}": F.sum(f"_raw_{mode}") for mode in modes})
+    for mode in modes:
+        out = out.withColumn(f"{mode}_weight", ratio(f"_raw_{mode}", f"_sum_{mode}")).withColumn(
+            "_exact", F.col("_usd") * F.col(f"{mode}_weight"))
+        out = largest_remainder(out, CELL, "_exact", "_usd", "ticker", sizes=held).withColumnRenamed("whole", f"{mode}_usd").drop(
+            "_exact", f"_raw_{mode}", f"_sum_{mode}")
+    return out.withColumnRenamed("target_usd", "base_usd").drop("_usd")
 
 
 def rebalance_rows(targets: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import history, ledger, regression, signals
+from tidegauge.operators import history, ledger, regression, signals, sizing
 from tidegauge.plans.evaluation import factor_levels
-from tidegauge.plans.portfolios import targets
+from tidegauge.plans.portfolios import sized_holdings
 from tidegauge.plans.prices import r6
 from tidegauge.plans.registry import query, shared
 from tidegauge.plans.tables import BIND_LEVELS, PRICED_LEVELS, pick
-from tidegauge.plans.themes import scored, theme_strength
+from tidegauge.plans.themes import market_posture, scored, theme_strength
 
 LEDGER_DAY = "2001-06-01"
 
@@ -157,12 +157,10 @@ SELECT id, round(sum(sw * (b / a - 1)) / sum(sw), 6) AS signal_return, round(sum
  round(sum(sw * (b / a - 1)) / sum(sw) - sum(rw * (b / a - 1)) / sum(rw), 6) AS rel, sum(sw * (b / a - 1)) / sum(sw) - sum(rw * (b / a - 1)) / sum(rw) > 0 AS correct
 FROM n JOIN k USING (ticker) GROUP BY 1""")
 def sizing_grades(t):
-    both = targets(t, "signal").select("portfolio_id", "account", "axis", "ticker", "price", F.col("target_usd").alias("su")).join(
-        targets(t, "research").select("portfolio_id", "account", "axis", "ticker", F.col("target_usd").alias("ru")),
-        ["portfolio_id", "account", "axis", "ticker"])
+    both = sizing.targets_by_mode(sized_holdings(t), ["signal", "research"], market_posture(t))
     prices = t.bars.where(F.col("d") >= LEDGER_DAY).groupBy("ticker").agg(
         F.min_by("close", "d").alias("price_at"), F.max_by("close", "d").alias("price_now"))
-    return ledger.grade_sizing(ledger.normalized_weights(both, "portfolio_id", "su", "ru"), prices)
+    return ledger.grade_sizing(ledger.normalized_weights(both, "portfolio_id", "signal_usd", "research_usd"), prices)
 
 
 @query("ST7 AG10 AG11", """SELECT id, subject, claim, source, resolve_on FROM (
