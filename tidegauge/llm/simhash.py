@@ -48,6 +48,8 @@ POSITIONS, BAND, BANDS = 256, 5, 24
 MARGIN = 5
 #: Standard deviations above the similarity from which a link is taken as certain, and finer keys of a long list's member.
 SURE, SPLITS = 3, 3
+#: Members of a list that all meet each other; in a longer one they meet one member first.
+FEW = 8
 _ODD, _SHIFT = np.random.default_rng(SEED).integers(0, 2**64, (2, POSITIONS, 1), np.uint64) | np.uint64(1)
 
 
@@ -169,9 +171,10 @@ def estimates(pairs: DataFrame, named: DataFrame) -> DataFrame:
 
 def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
     """(a, b) pairs of nodes (node, sig), among the pairs `also` too, whose longer fingerprints `sig` share so
-    many bytes that their texts may reach the similarity. All pairs of posting lists up to `most` are
+    many bytes that their texts may reach the similarity. All pairs of posting lists up to FEW are
     candidates. In a longer list all members meet one of them, and by that tally are its core (certainly linked
-    to it, so to each other), near (a core member may be linked to them) or far. Where the near and the far, or the
+    to it, so to each other; in a list up to `most` by the wider margin), near (a core member may be linked to them)
+    or far, so copies of one text cost their number and not its square. Where the near and the far, or the
     near alone, are at most `most`, they meet the members that they may be linked to; a list of core only is done. Who
     still has others to meet goes on to the parts of the list that share one of SPLITS further stretches of the
     fingerprint, which are lists again, until none is left: a list loses unlike members faster than a linked pair. The
@@ -191,7 +194,7 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
         lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(level))).alias("first")) \
             .where(F.col("n") > 1)
         met = cut(entries.join(lists.hint("merge"), "key"))
-        short, long_ = met.where(F.col("n") <= most), met.where(F.col("n") > most)
+        short, long_ = met.where(F.col("n") <= min(FEW, most)), met.where(F.col("n") > min(FEW, most))
         wanted.append(short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")).hint("merge"), "key")
                       .where(F.col("a") < F.col("b")).select("a", "b"))
         if long_.isEmpty():
@@ -199,7 +202,8 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
         stars = cut(estimates(long_.where(F.col("first") != F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), named))
         likely.append(stars.where(F.col("alike") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         told = long_.join(stars.select(F.col("a").alias("first"), F.col("b").alias("node"), "alike").hint("merge"), ["first", "node"], "left")
-        kind = F.when(F.coalesce("alike", F.lit(1.0)) >= sure, "core").when(F.col("alike") >= apart, "near").otherwise("far")
+        certain = F.when(F.col("n") <= most, similarity + MARGIN * deviation).otherwise(sure)
+        kind = F.when(F.coalesce("alike", F.lit(1.0)) >= certain, "core").when(F.col("alike") >= apart, "near").otherwise("far")
         told = cut(told.select("key", "node", kind.alias("kind")))
         sizes = told.groupBy("key").agg(F.count_if(F.col("kind") == "near").alias("near"), F.count_if(F.col("kind") == "far").alias("far")) \
             .where(F.col("near") + F.col("far") > 0)
