@@ -331,6 +331,23 @@ def test_links_inside_template_families(spark):
     assert linked > 250 and sum(got[i] != low[i] for i in got) <= 0.01 * linked
 
 
+def test_links_of_a_group_follow_its_size(spark, monkeypatch):
+    """Near copies of one text share many lists; few of their pairs are counted on the texts, and all are joined."""
+    rng, texts = np.random.default_rng(12), []
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    for _ in range(120):
+        words = list(base)
+        for at in rng.choice(200, 2, replace=False):  # about 10 of 196 shingles: pairs lie on both sides of 0.8
+            words[at] = f"v{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    counted, plain = [], simhash.reaching
+    monkeypatch.setattr(simhash, "reaching", lambda pairs, *rest: counted.append(pairs.count()) or plain(pairs, *rest))
+    got = {r["doc_id"]: r["component"] for r in simhash.cluster(
+        spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), words=5, similarity=0.8).collect()}
+    want = brute.components([(i, brute.shingles(t)) for i, t in enumerate(texts)], lambda a, b: brute.similarity(a, b) >= 0.8)
+    assert [got[i] for i in range(120)] == list(want) and sum(counted) <= 6 * len(texts)
+
+
 def test_unlike_texts_of_one_fingerprint(spark):
     """A repeated line outvotes the rest: one fingerprint, but only texts at the similarity are linked."""
     rng, line = np.random.default_rng(9), "the same five words now\n" * 300

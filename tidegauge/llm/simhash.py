@@ -169,10 +169,11 @@ def estimates(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, alike double")
 
 
-def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
-    """(a, b) pairs of nodes (node, sig), among the pairs `also` too, whose longer fingerprints `sig` share so
-    many bytes that their texts may reach the similarity. All pairs of posting lists up to FEW are
-    candidates. In a longer list all members meet one of them, and by that tally are its core (certainly linked
+def similar_links(nodes: DataFrame, also: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS, most: int = MOST) -> DataFrame:
+    """(a, b) pairs of nodes (node, sig, t1, t2) whose texts reach the similarity, as many as it takes to join all
+    that such pairs join. Candidates are the pairs `also`, and pairs whose longer fingerprints `sig` meet in a posting
+    list; those go on whose fingerprints share so many bytes that their texts may reach it. All pairs of
+    posting lists up to FEW are candidates. In a longer list all members meet one of them, and by that tally are its core (certainly linked
     to it, so to each other; in a list up to `most` by the wider margin), near (a core member may be linked to them)
     or far, so copies of one text cost their number and not its square. Where the near and the far, or the
     near alone, are at most `most`, they meet the members that they may be linked to; a list of core only is done. Who
@@ -181,6 +182,9 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
     stretches double in length, so there are at most eight levels. A pair that is in no short list, never met one
     by one and parted at each level is lost; in 900 texts of two templates that is 1 of the 289 linked to another.
 
+    The likeliest one or two members that a node met in long lists are counted on the texts first. Pairs inside what these
+    links join are left out then: a group's links follow its size, however many lists its members share.
+
     An index entry is written as a hash of its slot and bytes, and only if another node has it: two nodes
     whose hashes agree by chance are one more candidate pair."""
     deviation = math.sqrt(similarity * (1 - similarity) / POSITIONS)
@@ -189,7 +193,7 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
     named = nodes.where("sig is not null")
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", BAND * k + 1, BAND))
     entries = named.select("node", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
-    wanted, likely = [also], []
+    wanted, likely = [also], [also.limit(0).withColumn("alike", F.lit(0.0))]
     for level in itertools.count(1):
         lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(level))).alias("first")) \
             .where(F.col("n") > 1)
@@ -200,7 +204,7 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
         if long_.isEmpty():
             break
         stars = cut(estimates(long_.where(F.col("first") != F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), named))
-        likely.append(stars.where(F.col("alike") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        likely.append(stars.where(F.col("alike") >= least).select("a", "b", "alike"))
         told = long_.join(stars.select(F.col("a").alias("first"), F.col("b").alias("node"), "alike").hint("merge"), ["first", "node"], "left")
         certain = F.when(F.col("n") <= most, similarity + MARGIN * deviation).otherwise(sure)
         kind = F.when(F.coalesce("alike", F.lit(1.0)) >= certain, "core").when(F.col("alike") >= apart, "near").otherwise("far")
@@ -209,9 +213,10 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
             .where(F.col("near") + F.col("far") > 0)
         open_ = cut(told.join(sizes.hint("merge"), "key"))
         core, few, few_near = F.col("kind") == "core", F.col("near") + F.col("far") <= most, F.col("near") <= most
-        asks = open_.where(F.when(few, ~core).otherwise(few_near & (F.col("kind") == "near"))).select("key", F.col("node").alias("x"))
-        asked = open_.where(few | few_near & core).select("key", F.col("node").alias("y"))
-        wanted.append(asked.join(asks.hint("merge"), "key").where(F.col("x") != F.col("y"))
+        asking = F.when(few, ~core).otherwise(few_near & (F.col("kind") == "near"))
+        asks = open_.where(asking).select("key", F.col("node").alias("x"))
+        asked = open_.where(few | few_near & core).select("key", F.col("node").alias("y"), asking.alias("too"))
+        wanted.append(asked.join(asks.hint("merge"), "key").where((F.col("x") < F.col("y")) | ~F.col("too") & (F.col("x") != F.col("y")))
                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         # twice as many positions at each level; the last takes all, and members of one signature are core
         width = min(POSITIONS, BAND << level - 1)
@@ -219,22 +224,34 @@ def similar_pairs(nodes: DataFrame, also: DataFrame, similarity: float, most: in
         finer = F.array(*[F.xxhash64("key", F.substring(F.concat("sig", "sig"), place(s), F.lit(width))) for s in range(SPLITS)])
         entries = open_.where(~few & (~few_near | ~core)).select("key", "node").join(named.select("node", "sig").hint("merge"), "node") \
             .select("node", F.explode(finer).alias("key")).distinct()
-    pairs = cut(functools.reduce(DataFrame.union, wanted).distinct())
-    likely.append(estimates(pairs, named).where(F.col("alike") >= least).select("a", "b"))
-    return functools.reduce(DataFrame.union, likely).distinct()
-
-
-def reaching(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) whose texts' different shingles reach the similarity, by counting the shared ones. A
-    node's text is the one of texts (text, t1, t2) with its hashes in nodes (node, t1, t2); only texts of
-    pairs are read into shingles, equal texts once."""
-    pairs = cut(pairs)
+    wanted, likely = (cut(functools.reduce(DataFrame.union, some).distinct()) for some in (wanted, likely))
+    sets = shingle_sets(wanted.union(likely.select("a", "b")), nodes, texts, words)
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    common = F.min_by("a", F.when(F.col("alike") >= sure, F.xxhash64("a")))
+    trunk = ordered(likely.groupBy("b").agg(F.array_compact(F.array(F.max_by("a", "alike"), common)).alias("of"))
+                    .select(F.explode("of").alias("a"), "b")).distinct()
+    joined = cut(reaching(trunk, sets, similarity))
+    roots = cut(components(joined))
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")).hint("merge")
+    unjoined = lambda pairs: pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    others = estimates(unjoined(wanted), named).where(F.col("alike") >= least).select("a", "b")
+    return joined.union(reaching(cut(unjoined(ordered(likely)).union(others).distinct()), sets, similarity))
+
+
+def shingle_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, hashes): the different shingles of the nodes of pairs (a, b). A node's text is the one of texts (text,
+    t1, t2) with its hashes in nodes (node, t1, t2); only texts of pairs are read into shingles, equal texts once."""
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = cut(nodes.select("node", "t1", "t2").join(met, "node", "left_semi"))
     # a shuffle of the texts at any size: a broadcast of the wanted nodes would hold only while they are few
     once = texts.join(wanted.hint("merge"), ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
     hashes = lambda some: [distinct_shingles(t, words) for t in some]
-    sets = cut(annotate(once, "text", "hashes", T.ArrayType(T.LongType()), hashes).select("node", "hashes"))
+    return cut(annotate(once, "text", "hashes", T.ArrayType(T.LongType()), hashes).select("node", "hashes"))
+
+
+def reaching(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose nodes' sets (node, hashes) reach the similarity, by counting the shared shingles."""
     of = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"of_{side}"))
     met = with_held(pairs.join(of("b").hint("merge"), "b").join(of("a").hint("merge"), "a"), {"shared": F.size(F.array_intersect("of_a", "of_b"))})
     return met.where(F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= similarity).select("a", "b")
@@ -297,7 +314,7 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     else:
         texts = plain.select(F.col(of[text]).alias("text"), *[F.xxhash64(F.lit(i), of[text]).alias(f"t{i}") for i in (1, 2)])
         also = simhash_pairs(cut(marked.select("node", "fp").distinct()), most)
-        edges = reaching(similar_pairs(ids.select("node", "sig"), also, similarity, most), ids, texts, similarity, words)
+        edges = similar_links(ids, also, texts, similarity, words, most)
     roots = components(cut(edges))
     rooted = ids.join(roots.withColumnRenamed("node", key), key, "left") \
         .select(key, "low", F.coalesce("root", key).alias("root"))
