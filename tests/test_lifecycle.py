@@ -37,6 +37,20 @@ def test_seen_keys_are_flagged_and_renewed(spark, tmp_path):
     assert {r["item"]: r["is_new"] for r in out.collect()} == {"i0": True, "i10": False, "i95": False, "i200": True, "i291": True, "i382": True, "j": True}
 
 
+def test_replay_deals_a_slice_to_many_files(spark, tmp_path, monkeypatch):
+    """A slice is written and read by several tasks, each micro-batch holds one slice, and few rows leave files empty."""
+    monkeypatch.setattr(lifecycle, "ROWS_PER_FILE", 10)
+    rows = [(i, D(2001, 1, 1) + dt.timedelta(days=i // 3)) for i in range(150)] + [(999, D(2001, 3, 31))]  # 1 row in the last slice
+    stream = lifecycle.replay(spark.createDataFrame(rows, "n int, d date"), str(tmp_path / "in"), "d")
+    seen = {}
+    run = stream.writeStream.foreachBatch(lambda batch, k: seen.update({k: batch.select("d", F.spark_partition_id().alias("p")).collect()})) \
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    spans = [(min(r["d"] for r in got), max(r["d"] for r in got), len(got)) for _, got in sorted(seen.items())]
+    assert spans == [(D(2001, 1, 1), D(2001, 1, 30), 90), (D(2001, 1, 31), D(2001, 2, 19), 60), (D(2001, 3, 31), D(2001, 3, 31), 1)]
+    assert len(list((tmp_path / "in").glob("slice=0/*.parquet"))) == len(list((tmp_path / "in").glob("slice=2/*.parquet"))) == 10
+
+
 def test_candidate_memory_survives_a_restart(spark, tmp_path):
     schema = "n bigint, id string, status string, evidence_hash string"
     memory = spark.createDataFrame([("a", "rejected", "1"), ("b", "accepted", "1")], "id string, status string, evidence_hash string")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegauge.operators import ledger
+from tidegauge.session import cut
 
 DAY = dt.timedelta(days=1)
 EPOCH = dt.date(1970, 1, 1)
@@ -214,17 +215,28 @@ def recall_candidates(events: DataFrame, memory: DataFrame, groups: int = 64) ->
 
 # ---- running a stream over a table -------------------------------------------------------------------------------
 
+#: Rows of a slice behind one of its files; a task writes or reads a file.
+ROWS_PER_FILE = 1_000_000
+
+
 def replay(table: DataFrame, path: str, by: str, slices: int = 3) -> DataFrame:
     """A stream of the table's rows in `slices` micro-batches in the order of a date column: one folder write after
-    another, as a feed that lands by day."""
-    spark = table.sparkSession
+    another, as a feed that lands by day. The table is worked out once. All slices have the same number of files, some
+    of them empty where rows are few, so a micro-batch of that many is a slice."""
+    spark, files = table.sparkSession, 1
+    table = cut(table)
     low, high = table.agg(F.min(by), F.max(by)).first()
     if low is not None:
         step = max(1, -(-((high - low).days + 1) // slices))
+        at = F.floor(F.date_diff(F.col(by), F.lit(low)) / step)
+        files += table.groupBy(at.alias("at")).count().agg(F.max("count")).first()[0] // ROWS_PER_FILE
         for i in range(slices):
             part = table.where((F.col(by) >= F.lit(low + i * step * DAY)) & (F.col(by) < F.lit(low + (i + 1) * step * DAY)))
-            part.coalesce(1).write.parquet(f"{path}/slice={i}")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/slice=*")
+            folder = f"{path}/slice={i}"
+            part.repartition(files, *part.columns).write.parquet(folder)
+            for _ in range(files - len(spark.read.schema(table.schema).parquet(folder).inputFiles())):
+                table.limit(0).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/slice=*")
 
 
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
