@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import text as T
 from tidegauge.operators import leads, ledger, sizing, technicals
 from tidegauge.sources import files, store
-from tidegauge.streaming import lifecycle
+from tidegauge.streaming import jobs, lifecycle
 
 D = dt.date
 
@@ -51,6 +51,25 @@ def test_replay_deals_a_slice_to_many_files(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "in").glob("slice=0/*.parquet"))) == len(list((tmp_path / "in").glob("slice=2/*.parquet"))) == 10
 
 
+def test_streams_keep_state_by_groups(spark, tmp_path, monkeypatch):
+    """More subjects than groups: the state store is asked once a group and batch, and each subject has its own outcome."""
+    day = lambda i: D(2001, 1, 1) + dt.timedelta(days=i)
+    subjects = [f"S{i}" for i in range(40)]
+    bars = spark.createDataFrame([(s, day(i + d), 10.0 + i) for i, s in enumerate(subjects) for d in (0, 8)] + [("~", day(90), None)], "ticker string, d date, close double")
+    claims = spark.createDataFrame([(i, s, "up", day(i), day(i + 5), 10.0) for i, s in enumerate(subjects)] + [(99, "~", "up", day(90), day(95), 10.0)],
+                                   "id bigint, subject string, claim string, date date, resolve_on date, price_at double")
+    monkeypatch.setattr(lifecycle, "group", lambda key: jobs.group(key, 3))
+    stream = lifecycle.settled_dates(lifecycle.replay(claims, str(tmp_path / "c"), "date"), lifecycle.replay(bars, str(tmp_path / "b"), "d"), grace=20)
+    out = lifecycle.collected(stream, str(tmp_path / "o"), str(tmp_path / "k")).collect()
+    assert {(r["subject"], r["priced_on"], r["price"]) for r in out} == {(s, day(i + 8), 10.0 + i) for i, s in enumerate(subjects)} and len(out) == 40
+    scans = spark.createDataFrame([(s, day(d), (i + d) % 3 > 0) for i, s in enumerate(subjects) for d in range(9)], "trigger string, d date, met boolean")
+    got = lifecycle.collected(jobs.trigger_stream(lifecycle.replay(scans, str(tmp_path / "s"), "d"), groups=3), str(tmp_path / "so"), str(tmp_path / "sk")).collect()
+    met = lambda i, d: d >= 0 and (i + d) % 3 > 0
+    fired = lambda i, d: met(i, d) and met(i, d - 1)
+    assert {(r["trigger"], r["d"]): (r["met"], r["fired"], r["pending"], r["newly_fired"]) for r in got} == {
+        (s, day(d)): (met(i, d), fired(i, d), met(i, d) and not met(i, d - 1), fired(i, d) and not fired(i, d - 1)) for i, s in enumerate(subjects) for d in range(9)}
+
+
 def test_candidate_memory_survives_a_restart(spark, tmp_path):
     schema = "n bigint, id string, status string, evidence_hash string"
     memory = spark.createDataFrame([("a", "rejected", "1"), ("b", "accepted", "1")], "id string, status string, evidence_hash string")

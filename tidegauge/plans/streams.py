@@ -8,6 +8,7 @@ from tidegauge.operators import history, technicals
 from tidegauge.plans.feeds import scratch
 from tidegauge.plans.ledgers import LEDGER_DAY, anchored, day
 from tidegauge.plans.registry import query
+from tidegauge.session import cut
 from tidegauge.streaming import jobs, lifecycle
 
 
@@ -27,8 +28,8 @@ SELECT id, subject, claim, date, resolve_on, CASE WHEN done THEN 'resolved' WHEN
  CASE WHEN done THEN round(gain, 6) END AS realized_return, CASE WHEN done THEN CASE claim WHEN 'up' THEN gain > 0 ELSE gain < 0 END END AS correct FROM k""")
 def streamed_claims(t):
     """Claims and closes arrive by day; a timer settles what falls due. Some claims are on names never priced again."""
-    claims = anchored(t).where(F.col("date") <= day(t)).withColumn(
-        "subject", F.when(F.col("id") % 40 == 0, "gone").otherwise(F.col("subject")))
+    claims = cut(anchored(t).where(F.col("date") <= day(t)).withColumn(
+        "subject", F.when(F.col("id") % 40 == 0, "gone").otherwise(F.col("subject"))))
     last = t.read("region").limit(1).select(F.lit("~").alias("ticker"), lifecycle.heartbeat(day(t)).alias("d"), F.lit(None).cast("double").alias("close"))
     bars = t.bars.where(F.col("d") <= day(t)).select("ticker", "d", "close").unionByName(last)
     stream = lifecycle.settled_dates(landed(t, "claims", claims, "date"), landed(t, "closes", bars, "d"))

@@ -7,6 +7,7 @@ emitted is rewritten.
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 import threading
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegauge.operators import ledger
 from tidegauge.session import cut
+from tidegauge.streaming.jobs import enable_state, group
 
 DAY = dt.timedelta(days=1)
 EPOCH = dt.date(1970, 1, 1)
@@ -33,68 +35,71 @@ SETTLED = "subject string, resolve_on date, outcome string, priced_on date, pric
 
 
 class DueDates(StatefulProcessor):
-    """Per subject, the dates its open claims fall due, and the closes that may still settle them. One event-time
-    timer per subject rings when the next date is over, or the next close or expiry after it: the claims of a
+    """Per group of subjects, the dates their open claims fall due, and the closes that may still settle them. One event-time
+    timer per group rings when the next date is over, or the next close or expiry after it: the claims of a
     date are settled by the first close on or after it, or expire `grace` days later. A date
-    is held once however many claims have it, so a subject's state is bounded by the calendar."""
+    is held once however many claims of a subject have it, so a subject's state is bounded by the calendar."""
 
     def __init__(self, grace: int = ledger.GRACE_DAYS):
         self.grace = grace
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getListState("due", "d date")
-        self.closes = handle.getListState("closes", "d date, close double")
+        self.held = handle.getValueState("held", "state binary")
         self.alarm = handle.getValueState("alarm", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due, closes = self._state()
         for pdf in rows:
-            due.update(d for d in pdf["resolve_on"] if pd.notna(d))
-            closes.update((d, float(c)) for d, c in zip(pdf["d"], pdf["close"]) if pd.notna(d) and pd.notna(c))
-        yield from self._settle(key[0], due, closes, timerValues.getCurrentWatermarkInMs())
+            asked, known = pdf[pdf["resolve_on"].notna()], pdf[pdf["d"].notna() & pdf["close"].notna()]
+            for s, d in zip(asked["subject"], asked["resolve_on"]):
+                due.setdefault(s, set()).add(d)
+            for s, d, c in zip(known["subject"], known["d"], known["close"].astype("float64").tolist()):
+                closes.setdefault(s, {})[d] = c
+        yield from self._settle(due, closes, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.alarm.clear()
-        yield from self._settle(key[0], *self._state(), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(*self._state(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
-    def _state(self) -> tuple[set, dict]:
-        due = {r[0] for r in self.due.get()} if self.due.exists() else set()
-        return due, {r[0]: r[1] for r in self.closes.get()} if self.closes.exists() else {}
+    def _state(self) -> tuple[dict[str, set], dict[str, dict]]:
+        return pickle.loads(self.held.get()[0]) if self.held.exists() else ({}, {})
 
-    def _settle(self, subject: str, due: set, closes: dict, watermark: int) -> Iterator[pd.DataFrame]:
-        days, done, rings = sorted(closes), [], []
+    def _settle(self, due: dict[str, set], closes: dict[str, dict], watermark: int) -> Iterator[pd.DataFrame]:
         over = EPOCH + dt.timedelta(days=watermark // 86_400_000) - DAY  # the last day that is complete
-        at = 0
-        for on in sorted(due):
-            while at < len(days) and days[at] < on:
-                at += 1
-            first = days[at] if at < len(days) and days[at] <= on + (self.grace + 1) * DAY else None
-            if first is not None and first <= over:
-                done.append((subject, on, "resolved", first, closes[first]))
-            elif on + self.grace * DAY < over:
-                done.append((subject, on, "expired", None, None))
-            else:
-                rings.append(end_of(first or on + (self.grace + 1) * DAY))
-        due -= {row[1] for row in done}
-        # a claim still to come falls due on or after the watermark's day
-        keep = min([*due, over + DAY])
-        self._put(self.due, [(d,) for d in sorted(due)])
-        self._put(self.closes, [(d, closes[d]) for d in days if d >= keep])
-        self._ring(min(rings, default=None))
+        done, open_, kept, ring = [], {}, {}, None
+        for subject in due.keys() | closes.keys():
+            own = closes.get(subject, {})
+            days, left, at = sorted(own), [], 0
+            for on in sorted(due.get(subject, ())):
+                while at < len(days) and days[at] < on:
+                    at += 1
+                first = days[at] if at < len(days) and days[at] <= on + (self.grace + 1) * DAY else None
+                if first is not None and first <= over:
+                    done.append((subject, on, "resolved", first, own[first]))
+                elif on + self.grace * DAY < over:
+                    done.append((subject, on, "expired", None, None))
+                else:
+                    left.append(on)
+                    rings = end_of(first or on + (self.grace + 1) * DAY)
+                    ring = rings if ring is None else min(ring, rings)
+            # a claim still to come falls due on or after the watermark's day
+            keep = min([*left, over + DAY])
+            if left:
+                open_[subject] = set(left)
+            if days and days[-1] >= keep:
+                kept[subject] = {d: own[d] for d in days if d >= keep}
+        if open_ or kept:
+            self.held.update((pickle.dumps((open_, kept), pickle.HIGHEST_PROTOCOL),))  # one value: rows of a list cost a call's work each
+        else:
+            self.held.clear()
+        self._ring(ring)
         if done:
             yield pd.DataFrame(done, columns=["subject", "resolve_on", "outcome", "priced_on", "price"]).astype({"price": "float64"})
 
-    @staticmethod
-    def _put(state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        elif state.exists():
-            state.clear()
-
     def _ring(self, at: int | None) -> None:
         """One timer, at the earliest moment at which an outcome can be known."""
         old = self.alarm.get()[0] if self.alarm.exists() else None
@@ -116,7 +121,8 @@ def settled_dates(claims: DataFrame, bars: DataFrame, delay: str = "2 days", gra
     none = lambda kind: F.lit(None).cast(kind)
     asked = claims.select("subject", F.col("date").cast("timestamp").alias("ts"), "resolve_on", none("date").alias("d"), none("double").alias("close"))
     known = bars.select(F.col("ticker").alias("subject"), F.col("d").cast("timestamp").alias("ts"), none("date").alias("resolve_on"), "d", "close")
-    return asked.unionByName(known).withWatermark("ts", delay).groupBy("subject").transformWithStateInPandas(
+    both = asked.unionByName(known).withWatermark("ts", delay).withColumn("g", group("subject"))
+    return both.groupBy("g").transformWithStateInPandas(
         DueDates(grace), outputStructType=SETTLED, outputMode="append", timeMode="EventTime")
 
 
@@ -246,8 +252,6 @@ _STARTING = threading.Lock()
 def collected(stream: DataFrame, path: str, checkpoint: str, idle: bool = True) -> DataFrame:
     """What a stream emits until it has read all there is, as a table. Batches without data, which let timers ring,
     run only if `idle`: a job whose state expires by the clock would ask for them without end."""
-    from tidegauge.streaming.jobs import enable_state
-
     spark = stream.sparkSession
     enable_state(spark)
     with _STARTING:  # the query keeps the setting it starts with; the session's comes back at once
