@@ -55,8 +55,8 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stored(self, name: str, build, bucket: str | None = None, order: str | None = None) -> DataFrame:
-        """The derived table `name`, written on first use."""
+    def stored(self, name: str, build, bucket: str | None = None, order: str | None = None, dealt: bool = False) -> DataFrame:
+        """The derived table `name`, written on first use; `dealt` if its rows come dealt by bucket."""
         spark = self.spark
         root = shared_dir(spark)
         owner = f"{spark.sparkContext.applicationId}|{self.sf_dir}"
@@ -72,7 +72,7 @@ class Tables:
             df = build()
             # from the footers' row counts, so that two sessions lay the same table out alike
             parts = bucket_count(self._lines.count()) if bucket else None
-            writer = (df.repartition(parts, bucket) if bucket else df).write.mode("overwrite").format("parquet").option("path", path)
+            writer = (df.repartition(parts, bucket) if bucket and not dealt else df).write.mode("overwrite").format("parquet").option("path", path)
             if bucket:
                 writer = writer.bucketBy(parts, bucket).sortBy(*([bucket, order] if order else [bucket]))
             spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -83,9 +83,16 @@ class Tables:
     def scan_date(self):
         return F.lit(SCAN_DATE).cast("date")
 
-    def _daily(self, rows: DataFrame, *keys) -> DataFrame:
+    def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows dealt to the buckets of the stored table before they are summed: few of them have a key in common, so sums
+        made before the shuffle would only fill the memory of a task, which reads more lines the larger the table."""
+        return rows.repartition(bucket_count(self._lines.count()), key)
+
+    def _daily(self, rows: DataFrame, *keys, deal: str | None = None) -> DataFrame:
+        rows = rows.select(*keys, F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity")
+        names = rows.columns[:-2]
         return (
-            rows.groupBy(*keys, F.to_date("l_shipdate").alias("d"))
+            (self._dealt(rows, deal) if deal else rows).groupBy(*names)
             .agg(cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
         )
 
@@ -95,10 +102,10 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return self.stored("bars", self._bars, "ticker", "d")
+        return self.stored("bars", self._bars, "ticker", "d", dealt=True)
 
     def _bars(self) -> DataFrame:
-        return self._daily(self._lines, F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"))
+        return self._daily(self._lines, F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), deal="ticker")
 
     @cached_property
     def _placed(self) -> DataFrame:
@@ -134,13 +141,13 @@ class Tables:
     @cached_property
     def raw_bars(self) -> DataFrame:
         """Closes by provider; a ticker's are in one bucket, so that no later step deals them again."""
-        return self.stored("raw_bars", self._raw_bars, "ticker", "d")
+        return self.stored("raw_bars", self._raw_bars, "ticker", "d", dealt=True)
 
     def _raw_bars(self) -> DataFrame:
         provider = (F.when(F.col("l_returnflag") == "A", "yahoo")
                     .when(F.col("l_returnflag") == "N", "stooq").otherwise("tiingo"))
         return self._daily(self._lines, provider.alias("provider"),
-                           F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"))
+                           F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), deal="ticker")
 
     @cached_property
     def price_rows(self) -> DataFrame:
@@ -207,12 +214,12 @@ class Tables:
     @cached_property
     def holdings(self) -> DataFrame:
         """One row per portfolio, account and ticker."""
-        return self.stored("holdings", self._holdings, "portfolio_id")
+        return self.stored("holdings", self._holdings, "portfolio_id", dealt=True)
 
     def _holdings(self) -> DataFrame:
         k = F.col("l_suppkey")
         return (
-            self._fills.groupBy(
+            self._dealt(self._fills, "o_custkey").groupBy(
                 F.col("o_custkey").alias("portfolio_id"), k,
                 F.when(F.col("o_orderstatus") == "F", "taxable").otherwise("ira").alias("account"))
             .agg(F.floor(F.sum("l_extendedprice")).alias("target_usd"))
@@ -226,12 +233,12 @@ class Tables:
 
     @cached_property
     def positions(self) -> DataFrame:
-        return self.stored("positions", self._positions, "portfolio_id")
+        return self.stored("positions", self._positions, "portfolio_id", dealt=True)
 
     def _positions(self) -> DataFrame:
         k = F.col("l_suppkey")
         return (
-            self._fills.groupBy(F.col("o_custkey").alias("portfolio_id"), k)
+            self._dealt(self._fills, "o_custkey").groupBy(F.col("o_custkey").alias("portfolio_id"), k)
             .agg(F.sum("l_quantity").alias("shares"),
                  cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("cost_basis"))
             .select("portfolio_id", F.concat(F.lit("S"), k).alias("ticker"), "shares", "cost_basis",
