@@ -48,3 +48,12 @@ def test_query(results, duck, name):
 
 def test_entry_returns_rows(spark):
     assert entry_point.entry(spark).count() == 10
+
+
+def test_stored_bars_are_dealt_once(spark):
+    """Lines go to the buckets in one shuffle; nothing is summed before it."""
+    from tidegauge.plans.tables import Tables
+
+    for build in (Tables(spark, "/root/testdata/sf0.001")._bars, Tables(spark, "/root/testdata/sf0.001")._raw_bars):
+        plan = build()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan.partition("Exchange")[2]
