@@ -145,6 +145,27 @@ def test_decontamination_against_alignment(spark, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_standing_items_take_no_table(monkeypatch):
+    """Items that the text holds as they are get the place that the table gives, also of several places, at the
+    text's ends and outside the reach; and none takes a step of the table."""
+    rng, steps, plain = np.random.default_rng(21), [], np.take_along_axis
+    monkeypatch.setattr(np, "take_along_axis", lambda *a: steps.append(1) or plain(*a))
+    held = 0
+    for letters in (1, 2, 2, 26) * 30:
+        text = rng.integers(97, 97 + letters, 90).astype(np.uint32)
+        k, m = int(rng.integers(0, 4)), 40
+        starts = rng.integers(0, 51, 6)
+        items, low = np.stack([text[s:s + m] for s in starts]), starts - rng.integers(-2, 4 * k + 3, 6)
+        steps.clear()
+        got = decontaminate.align(items, text, low, k)
+        assert steps == [] or None in got or any(g[0] for g in got)
+        held += steps == []
+        with monkeypatch.context() as patch:
+            patch.setattr(decontaminate, "standing", lambda *a: -1)
+            assert got == decontaminate.align(items, text, low, k)
+    assert held > 20
+
+
 def test_short_items(spark):
     """Items below the least length are found between word borders without an edit, wherever they stand."""
     items = ["Paris is the capital of France", "a b c", "Paris is the capital", "two words", "...", ""]

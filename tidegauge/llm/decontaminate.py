@@ -72,6 +72,11 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return h
 
 
+def bits(keys: np.ndarray) -> np.ndarray:
+    """Each key's place in the bitmap. The last characters of a q-gram reach the upper bits of its hash only by this product."""
+    return (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).view(np.int64)
+
+
 @dataclass
 class Block:
     """Part of the benchmark: its items' code points, the inverted index of their q-grams, and for each
@@ -104,7 +109,7 @@ def block_of(texts: list[str], q: int = Q, edits: float = EDITS) -> Block:
     values, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
     order = np.argsort(inverse, kind="stable")
     bitmap = np.zeros(1 << 20, bool)
-    bitmap[values >> np.uint64(44)] = True
+    bitmap[bits(values)] = True
     return Block(items, budget, sizes + 1 - q * (budget + 1), Lookup(values), bitmap,
                  np.cumsum(count) - count, count, item[order], place[order], short)
 
@@ -145,14 +150,30 @@ def short_items(block: Block, codes: np.ndarray) -> dict[int, tuple[int, int, in
     return out
 
 
+def standing(item: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
+    """The first place from low up to high, not included, at which the text holds the item as it is; -1 if there is none."""
+    low = max(low, 0)
+    stretch, own = text[low:max(high - 1 + len(item), 0)].tobytes(), item.tobytes()
+    at = stretch.find(own)
+    while at % item.itemsize and at >= 0:
+        at = stretch.find(own, at + 1)
+    return at if at < 0 else low + at // item.itemsize
+
+
 def align(items: np.ndarray, text: np.ndarray, low: np.ndarray, k: int) -> list[tuple[int, int, int] | None]:
     """Fewest edits of each item (a row; all of one length) against a stretch of text whose start lies on
     diagonals low to low + 2 k + 1, with all cells within k of them; (edits, start, end), the leftmost end
-    among the best; None above k. All rows take a step at once; those above k everywhere are left."""
-    n, m = items.shape
+    among the best; None above k. Items that stand there as they are need no table. All other rows take a step
+    at once; those above k everywhere are left."""
+    m = items.shape[1]
     width, far = 4 * k + 2, 1 << 20
-    steps, out = np.arange(width, dtype=np.int32), [None] * n
-    alive, low = np.arange(n), (low - k).reshape(-1, 1)
+    first = [standing(item, text, at - k, at - k + width) for item, at in zip(items, low.tolist())]
+    out = [None if at < 0 else (0, at, at + m) for at in first]
+    alive = np.flatnonzero(np.array(first) < 0)
+    if not len(alive):
+        return out
+    n, items, low = len(alive), items[alive], (low[alive] - k).reshape(-1, 1)
+    steps = np.arange(width, dtype=np.int32)
     origin = (steps + low).astype(np.int32)
     line = np.where((origin < 0) | (origin > len(text)), far, 0).astype(np.int32)
     edge, zero = np.full((n, 1), far, np.int32), np.zeros((n, 1), np.int32)
@@ -192,7 +213,7 @@ def search(block: Block, text: str | None) -> list[dict]:
 def long_items(block: Block, codes: np.ndarray) -> dict[int, tuple[int, int, int]]:
     """(edits, start, end) of the items of LEAST characters or more, by q-gram counts in bands."""
     keys = grams(codes)
-    near = np.flatnonzero(block.bitmap[keys >> np.uint64(44)])
+    near = np.flatnonzero(block.bitmap[bits(keys)])
     if not len(near):
         return {}
     of = block.lookup.find(keys[near])
