@@ -309,6 +309,18 @@ def test_signature_estimates_similarity():
     assert simhash.signature(None) is None and simhash.signature(" \n") is None
 
 
+def test_texts_are_read_into_shingles_once(spark, monkeypatch):
+    """Both fingerprints come from one pass over the texts, which is one Python worker a task, and are what each is alone."""
+    passes, plain = [], simhash.annotate
+    monkeypatch.setattr(simhash, "annotate", lambda df, text, out, *rest: passes.append(out) or plain(df, text, out, *rest))
+    rng = np.random.default_rng(22)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 4, 5, 6, 300, 2000)] + [None, "", " \n"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["fp"] for r in simhash.cluster(df, words=5, similarity=0.8).collect()}
+    assert len([p for p in passes if p != "hashes"]) == 1
+    assert got == {i: simhash.fingerprint(t, 5) for i, t in enumerate(texts)}
+
+
 def test_similarity_is_exact_at_the_limit(spark):
     """Pairs just at and just under 0.8, where an estimate goes either way: 20 of each, all decided right."""
     rng, texts = np.random.default_rng(8), []

@@ -50,6 +50,8 @@ MARGIN = 5
 SURE, SPLITS = 3, 3
 #: Members of a list that all meet each other; in a longer one they meet one member first.
 FEW = 8
+#: Shingle hashes put under all functions at once: 2 KB each.
+AT_ONCE = 1 << 9
 _ODD, _SHIFT = np.random.default_rng(SEED).integers(0, 2**64, (2, POSITIONS, 1), np.uint64) | np.uint64(1)
 
 
@@ -69,8 +71,12 @@ def shingles(text: str | None, words: int = WORDS, piece: int = 1 << 16) -> Iter
 
 def fingerprint(text: str | None, words: int = WORDS, piece: int = 1 << 16) -> int:
     """The majority of each bit of the shingles' XXH64 as a signed 64-bit number; zero without a word."""
+    return majority(shingles(text, words, piece))
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingles(text, words, piece):  # long texts in pieces: bits take 64 bytes a shingle
+    for hashes in pieces:  # long texts in pieces: bits take 64 bytes a shingle
         bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
         n += len(hashes)
         for some in range(0, len(bits), 255):
@@ -78,9 +84,13 @@ def fingerprint(text: str | None, words: int = WORDS, piece: int = 1 << 16) -> i
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
 
 
+def different(pieces: Iterable[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *pieces]))
+
+
 def distinct_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The XXH64 of the different shingles, as signed numbers in order."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(text, words)])).view(np.int64)
+    return different(shingles(text, words)).view(np.int64)
 
 
 def signature(text: str | None, words: int = WORDS) -> bytes | None:
@@ -89,13 +99,17 @@ def signature(text: str | None, words: int = WORDS) -> bytes | None:
 
 
 def sketch(text: str | None, words: int = WORDS) -> dict:
-    """The longer fingerprint `sig` and `node`, a 64-bit hash of the set of different shingles."""
-    hashes, least = distinct_shingles(text, words), None
-    for at in range(0, len(hashes), 1 << 12):
-        own = (hashes[at:at + (1 << 12)].view(np.uint64) * _ODD + _SHIFT).min(1)
+    """The fingerprint `fp`, the longer one `sig` and `node`, a 64-bit hash of the set of different shingles, from one
+    reading of the shingles."""
+    pieces = list(shingles(text, words))
+    hashes, least = different(pieces), None
+    for at in range(0, len(hashes), AT_ONCE):
+        under = hashes[at:at + AT_ONCE] * _ODD
+        under += _SHIFT
+        own = under.min(1)
         least = own if least is None else np.minimum(least, own)
     sig = None if least is None else (mixed(least, 5) >> np.uint64(56)).astype(np.uint8).tobytes()
-    return {"sig": sig, "node": int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))}
+    return {"fp": majority(pieces), "sig": sig, "node": int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))}
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: int = WORDS) -> DataFrame:
@@ -299,13 +313,15 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     columns = [docs[c] for c in dict.fromkeys([*keep, doc_id, text])]
     plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     of = dict(zip(dict.fromkeys([*keep, doc_id, text]), plain.columns))
-    printed = fingerprints(plain, of[text], "fp", words)
     key, sigs = "fp", []
-    if similarity is not None:
+    if similarity is None:
+        printed = fingerprints(plain, of[text], "fp", words)
+    else:
         key, sigs = "node", ["sig", "t1", "t2"]
-        kind = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("node", T.LongType())])
-        printed = annotate(printed, of[text], "sketch", kind, lambda texts: [sketch(t, words) for t in texts])
-        printed = printed.withColumns({f"t{i}": F.xxhash64(F.lit(i), of[text]) for i in (1, 2)} | {c: F.col(f"sketch.{c}") for c in ("sig", "node")})
+        kind = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("node", T.LongType())])
+        # one pass: each pass of a stage holds a Python worker and a copy of the batch for every task
+        printed = annotate(plain, of[text], "sketch", kind, lambda texts: [sketch(t, words) for t in texts])
+        printed = printed.withColumns({f"t{i}": F.xxhash64(F.lit(i), of[text]) for i in (1, 2)} | {c: F.col(f"sketch.{c}") for c in kind.names})
     marked = cut(printed.select(*dict.fromkeys(["fp", key]), *sigs, *dict.fromkeys([of[doc_id], *[of[c] for c in keep]])))
     one = [F.min(F.struct(*sigs)).alias("one")] if sigs else []
     ids = cut(marked.groupBy(key).agg(F.min(of[doc_id]).alias("low"), *one).select(key, "low", *[f"one.{c}" for c in sigs]))
