@@ -381,6 +381,24 @@ def test_links_of_a_group_follow_its_size(spark, monkeypatch):
     assert [got[i] for i in range(120)] == list(want) and sum(counted) <= 6 * len(texts)
 
 
+def test_joined_groups_leave_long_lists(spark, monkeypatch):
+    """Near copies joined by way of one of them do not go on to finer lists, though many pairs of them lie under the limit."""
+    rng, texts = np.random.default_rng(13), []
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    for _ in range(300):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 5)), replace=False):
+            words[at] = f"v{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    listed, plain = [], simhash.estimates
+    monkeypatch.setattr(simhash, "estimates", lambda pairs, named: listed.append(pairs.count()) or plain(pairs, named))
+    got = {r["doc_id"]: r["component"] for r in simhash.cluster(
+        spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), words=5, similarity=0.8).collect()}
+    want = brute.components([(i, brute.shingles(t)) for i, t in enumerate(texts)], lambda a, b: brute.similarity(a, b) >= 0.8)
+    assert [got[i] for i in range(300)] == list(want)
+    assert sum(listed[:-1]) <= 5 * len(texts), listed  # the last are the pairs asked one by one
+
+
 def test_unlike_texts_of_one_fingerprint(spark):
     """A repeated line outvotes the rest: one fingerprint, but only texts at the similarity are linked."""
     rng, line = np.random.default_rng(9), "the same five words now\n" * 300

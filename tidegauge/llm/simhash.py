@@ -187,17 +187,17 @@ def similar_links(nodes: DataFrame, also: DataFrame, texts: DataFrame, similarit
     """(a, b) pairs of nodes (node, sig, t1, t2) whose texts reach the similarity, as many as it takes to join all
     that such pairs join. Candidates are the pairs `also`, and pairs whose longer fingerprints `sig` meet in a posting
     list; those go on whose fingerprints share so many bytes that their texts may reach it. All pairs of
-    posting lists up to FEW are candidates. In a longer list all members meet one of them, and by that tally are its core (certainly linked
-    to it, so to each other; in a list up to `most` by the wider margin), near (a core member may be linked to them)
-    or far, so copies of one text cost their number and not its square. Where the near and the far, or the
-    near alone, are at most `most`, they meet the members that they may be linked to; a list of core only is done. Who
-    still has others to meet goes on to the parts of the list that share one of SPLITS further stretches of the
-    fingerprint, which are lists again, until none is left: a list loses unlike members faster than a linked pair. The
+    posting lists up to FEW are candidates. In a longer list all members meet the one with most company in long lists, which is in most
+    lists of its group, and by that tally are its core (certainly linked to it, so to each other; in a list up to `most` by the wider
+    margin), near (a core member may be linked to them) or far. The likeliest one or two of the members that a node met are counted on
+    the texts at once, and groups so joined are one from there on: pairs inside a group are asked nowhere, and a list of one group is
+    done. Members outside the largest group of a list meet all others, if that makes at most `most` squared pairs or SPLITS a member;
+    else the near meet the core, under the same limit, and the core is done. Who still has others to meet goes on to the parts of the list
+    that share one of SPLITS further stretches of the fingerprint, which are lists again, until none holds two groups. The
     stretches double in length, so there are at most eight levels. A pair that is in no short list, never met one
-    by one and parted at each level is lost; in 900 texts of two templates that is 1 of the 289 linked to another.
+    by one and parted at each level is lost.
 
-    The likeliest one or two members that a node met in long lists are counted on the texts first. Pairs inside what these
-    links join are left out then: a group's links follow its size, however many lists its members share.
+    The other pairs are counted on the texts last, if their nodes are still in different groups.
 
     An index entry is written as a hash of its slot and bytes, and only if another node has it: two nodes
     whose hashes agree by chance are one more candidate pair."""
@@ -206,51 +206,69 @@ def similar_links(nodes: DataFrame, also: DataFrame, texts: DataFrame, similarit
     apart = sure - (1 - similarity) - MARGIN * deviation  # shingle distances obey the triangle inequality
     named = nodes.where("sig is not null")
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", BAND * k + 1, BAND))
-    entries = named.select("node", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
+    entries = named.select("node", F.col("node").alias("root"), F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
     wanted, likely = [also], [also.limit(0).withColumn("alike", F.lit(0.0))]
+    roots, sets = named.limit(0).select("node", F.col("node").alias("root")), None
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")).hint("merge")
+    rooted = lambda pairs: pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns(
+        {f"root_{side}": F.coalesce(f"root_{side}", side) for side in "ab"})
+    unjoined = lambda pairs: rooted(pairs).where("root_a != root_b").select(*pairs.columns)
+    common = F.min_by("a", F.when(F.col("alike") >= sure, F.xxhash64("a")))
     for level in itertools.count(1):
-        lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(level))).alias("first")) \
-            .where(F.col("n") > 1)
+        lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")) \
+            .where("n > 1 and low != high").select("key", "n")
         met = cut(entries.join(lists.hint("merge"), "key"))
+        if sets is None:
+            sets = shingle_sets(also.union(met.select(F.col("node").alias("a"), F.col("node").alias("b"))), nodes, texts, words)
         short, long_ = met.where(F.col("n") <= min(FEW, most)), met.where(F.col("n") > min(FEW, most))
-        wanted.append(short.select("key", F.col("node").alias("a")).join(short.select("key", F.col("node").alias("b")).hint("merge"), "key")
-                      .where(F.col("a") < F.col("b")).select("a", "b"))
+        one = lambda side: short.select("key", F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        wanted.append(one("a").join(one("b").hint("merge"), "key").where("a < b and root_a != root_b").select("a", "b"))
         if long_.isEmpty():
             break
+        # the member with most company: it is in most of a group's lists, and linked to most of the group
+        company = long_.withColumn("company", F.sum("n").over(Window.partitionBy("node")))
+        firsts = company.groupBy("key").agg(F.max_by("node", F.struct("company", F.xxhash64("node", F.lit(level)))).alias("first"))
+        long_ = cut(long_.join(firsts.hint("merge"), "key"))
         stars = cut(estimates(long_.where(F.col("first") != F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), named))
         likely.append(stars.where(F.col("alike") >= least).select("a", "b", "alike"))
-        told = long_.join(stars.select(F.col("a").alias("first"), F.col("b").alias("node"), "alike").hint("merge"), ["first", "node"], "left")
+        trunk = ordered(unjoined(likely[-1]).groupBy("b").agg(F.array_compact(F.array(F.max_by("a", "alike"), common)).alias("of"))
+                        .select(F.explode("of").alias("a"), "b")).distinct()
+        # only groups are joined to groups, so a level's links are as few as the groups it joins
+        groups = rooted(reaching(cut(trunk), sets, similarity)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+        moved = cut(components(cut(groups)))
+        onto = moved.select(F.col("node").alias("root"), F.col("root").alias("onto"))
+        roots = cut(roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root")).union(moved).distinct())
+        # null: joined to the member that all have met
+        away = F.when(F.col("root_a") != F.col("root_b"), F.col("root_b"))
+        told = long_.join(rooted(stars).select(F.col("a").alias("first"), F.col("b").alias("node"), "alike", away.alias("away")).hint("merge"),
+                          ["first", "node"], "left")
         certain = F.when(F.col("n") <= most, similarity + MARGIN * deviation).otherwise(sure)
         kind = F.when(F.coalesce("alike", F.lit(1.0)) >= certain, "core").when(F.col("alike") >= apart, "near").otherwise("far")
-        told = cut(told.select("key", "node", kind.alias("kind")))
-        sizes = told.groupBy("key").agg(F.count_if(F.col("kind") == "near").alias("near"), F.count_if(F.col("kind") == "far").alias("far")) \
-            .where(F.col("near") + F.col("far") > 0)
+        told = cut(told.select("key", "node", kind.alias("kind"), F.when(kind != "core", F.col("away")).alias("away")))
+        sizes = told.groupBy("key", "away").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("kind") == "near") & F.col("away").isNotNull()).alias("near")) \
+            .groupBy("key").agg(F.max_by("away", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("near").alias("near"), F.sum("n").alias("n")) \
+            .where("others > 0")
         open_ = cut(told.join(sizes.hint("merge"), "key"))
-        core, few, few_near = F.col("kind") == "core", F.col("near") + F.col("far") <= most, F.col("near") <= most
-        asking = F.when(few, ~core).otherwise(few_near & (F.col("kind") == "near"))
-        asks = open_.where(asking).select("key", F.col("node").alias("x"))
-        asked = open_.where(few | few_near & core).select("key", F.col("node").alias("y"), asking.alias("too"))
-        wanted.append(asked.join(asks.hint("merge"), "key").where((F.col("x") < F.col("y")) | ~F.col("too") & (F.col("x") != F.col("y")))
+        core = F.col("kind") == "core"
+        few, few_near = ((F.col(c) * F.col("n") <= most * most) | (F.col(c) <= SPLITS) for c in ("others", "near"))
+        asking = F.when(few, ~F.col("away").eqNullSafe(F.col("main"))).otherwise(few_near & (F.col("kind") == "near") & F.col("away").isNotNull())
+        asks = open_.where(asking).select("key", F.col("node").alias("x"), F.col("away").alias("away_x"))
+        asked = open_.where(few | few_near & core).select("key", F.col("node").alias("y"), F.col("away").alias("away_y"), asking.alias("too"))
+        wanted.append(asked.join(asks.hint("merge"), "key").where(((F.col("x") < F.col("y")) | ~F.col("too")) & ~F.col("away_x").eqNullSafe(F.col("away_y")))
                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         # twice as many positions at each level; the last takes all, and members of one signature are core
         width = min(POSITIONS, BAND << level - 1)
         place = lambda s: F.pmod(F.xxhash64("key", F.lit(s)), F.lit(POSITIONS)).cast("int") + 1
         finer = F.array(*[F.xxhash64("key", F.substring(F.concat("sig", "sig"), place(s), F.lit(width))) for s in range(SPLITS)])
-        entries = open_.where(~few & (~few_near | ~core)).select("key", "node").join(named.select("node", "sig").hint("merge"), "node") \
-            .select("node", F.explode(finer).alias("key")).distinct()
+        parted = open_.where(~few & (~few_near | ~core)).select("key", "node").join(named.select("node", "sig").hint("merge"), "node") \
+            .join(roots.hint("merge"), "node", "left")
+        # read twice, by the sizes of the lists and by their members
+        entries = cut(parted.select("node", F.coalesce("root", "node").alias("root"), F.explode(finer).alias("key")).distinct())
     wanted, likely = (cut(functools.reduce(DataFrame.union, some).distinct()) for some in (wanted, likely))
-    sets = shingle_sets(wanted.union(likely.select("a", "b")), nodes, texts, words)
-    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    common = F.min_by("a", F.when(F.col("alike") >= sure, F.xxhash64("a")))
-    trunk = ordered(likely.groupBy("b").agg(F.array_compact(F.array(F.max_by("a", "alike"), common)).alias("of"))
-                    .select(F.explode("of").alias("a"), "b")).distinct()
-    joined = cut(reaching(trunk, sets, similarity))
-    roots = cut(components(joined))
-    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")).hint("merge")
-    unjoined = lambda pairs: pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     others = estimates(unjoined(wanted), named).where(F.col("alike") >= least).select("a", "b")
-    return joined.union(reaching(cut(unjoined(ordered(likely)).union(others).distinct()), sets, similarity))
+    left = cut(unjoined(ordered(likely)).union(others).distinct())
+    return roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(reaching(left, sets, similarity))
 
 
 def shingle_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
