@@ -215,6 +215,16 @@ def test_episodes_match_sequential_scan(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_episodes_are_judged_at_the_precision_shown(spark):
+    """0.495 is not below 0.5 - 0.005, whatever the digits that are not shown; 0.494999 is."""
+    rows = [("A", 0, 100.0, 100.0), ("A", 1, 49.99996, 50.50003), ("B", 0, 100.0, 100.0), ("B", 1, 50.0, 50.5001)]
+    path = spark.createDataFrame(rows, "ticker string, i int, hold double, timed double").withColumn(
+        "d", F.date_add(F.lit(DAY0), F.col("i")))
+    got = {r["ticker"]: (r["depth"], r["timed_dd"], r["timed_helped"])
+           for r in evaluate.drawdown_episodes(path, ["ticker"], "hold", ["timed"]).collect()}
+    assert got == {"A": (0.5, 0.495, False), "B": (0.5, 0.494999, True)}
+
+
 def test_mixed_drawdown_lies_between(spark):
     proof = evaluate.rule_proof(evaluate.ladder_path(bars(spark, crash_path())), blend=0.4).first()
     lo, hi = sorted([proof["hold_max_drawdown"], proof["timed_max_drawdown"]])

@@ -73,12 +73,13 @@ def rule_summary(path: DataFrame, cost_bps: float = 10) -> DataFrame:
 
 
 def drawdown_episodes(path: DataFrame, keys: list[str], base: str, others: list[str],
-                      min_depth: float = 0.20) -> DataFrame:
+                      min_depth: float = 0.20, digits: int = 6) -> DataFrame:
     """Peak-to-trough episodes of `base` at least `min_depth` deep, with the drawdown of the other
     columns between the same dates.
 
     A new episode starts on every bar at or above the running maximum, so the running count of those
-    bars numbers the episodes.
+    bars numbers the episodes. Whether another column helped compares drawdowns at presentation
+    precision, as they are shown.
     """
     w = Window.partitionBy(*keys).orderBy("d")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -97,6 +98,7 @@ def drawdown_episodes(path: DataFrame, keys: list[str], base: str, others: list[
         (1 - F.min("_trough.v") / F.max(base)).alias("depth"),
         *[F.max(F.when(upto, F.col(f"_dd_{o}"))).alias(f"{o}_dd") for o in others])
     out = agg.where(F.col("depth") >= min_depth).drop("_ep")
+    out = out.withColumns({c: F.round(c, digits) for c in ["depth", *[f"{o}_dd" for o in others]]})
     for o in others:
         out = out.withColumn(f"{o}_helped", F.col(f"{o}_dd") < F.col("depth") - 0.005)
     return out
