@@ -225,6 +225,16 @@ def test_episodes_are_judged_at_the_precision_shown(spark):
     assert got == {"A": (0.5, 0.495, False), "B": (0.5, 0.494999, True)}
 
 
+def test_every_other_column_is_judged_as_shown(spark):
+    """The blend's 0.978086 is not below 0.983086 - 0.005, the timed column's drawdown is."""
+    rows = [("A", 0, 100.0, 100.0, 100.0), ("A", 1, 1.69141, 15.8787, 2.191449)]
+    path = spark.createDataFrame(rows, "ticker string, i int, hold double, timed double, mixed double").withColumn(
+        "d", F.date_add(F.lit(DAY0), F.col("i")))
+    got = evaluate.drawdown_episodes(path, ["ticker"], "hold", ["timed", "mixed"]).first()
+    assert (got["depth"], got["timed_dd"], got["mixed_dd"]) == (0.983086, 0.841213, 0.978086)
+    assert got["timed_helped"] is True and got["mixed_helped"] is False
+
+
 def test_mixed_drawdown_lies_between(spark):
     proof = evaluate.rule_proof(evaluate.ladder_path(bars(spark, crash_path())), blend=0.4).first()
     lo, hi = sorted([proof["hold_max_drawdown"], proof["timed_max_drawdown"]])
