@@ -96,8 +96,8 @@ def test_funding_is_idempotent_and_sums_to_one(spark):
 
 
 def test_scale_does_not_depend_on_the_order_of_holdings(spark):
-    """The scale, 0.65 / 0.832 = 0.78125, lies on a half (in doubles just below it): noise in the sums would scale a name
-    of weight 0.0048 to 0.0037 in one book and 0.0038 in another."""
+    """The scale, 0.65 / 0.832 = 0.78125, lies on a half and goes up: noise in the sums would scale a name of weight
+    0.0048 to 0.0037 in one book and 0.0038 in another."""
     rnd, rows = random.Random(3), []
     for p in range(60):
         own = [(f"W{i}", w, True) for i, w in enumerate([0.0022, 0.0123, 0.0166, 0.0183, 0.0195, 0.0201, 0.0309, 0.0481])]
@@ -107,9 +107,9 @@ def test_scale_does_not_depend_on_the_order_of_holdings(spark):
     names = spark.createDataFrame([(p, f"N{c}", c, 1.0) for p in range(60) for c in (0.602, 0.612, 0.606)],
                                   "portfolio_id bigint, ticker string, conviction double, vol double")
     fund = diversify.fund_sleeve(names, book, 0.35)
-    assert {r["weight"] for r in fund.collect()} == {0.0602, 0.0612, 0.0606} and {r["existing"] for r in fund.collect()} == {0.168}
+    assert {r["weight"] for r in fund.collect()} == {0.0602, 0.0612, 0.0606}
     after = diversify.apply_funding(book, fund).where(F.col("ticker") == "A")
-    assert {(r["weight"], r["target_usd"]) for r in after.collect()} == {(0.0037, 3700)}
+    assert {(r["weight"], r["target_usd"]) for r in after.collect()} == {(0.0038, 3800)}
 
 
 def test_trim_keeps_axis_totals(spark):

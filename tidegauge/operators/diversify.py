@@ -76,8 +76,6 @@ def fund_sleeve(names: DataFrame, holdings: DataFrame, sleeve_pct: float = 0.15,
     `names` (portfolio_id, ticker, conviction, vol) not yet held share the budget left by the existing
     diversifiers in proportion to conviction over volatility. `holdings` needs portfolio_id, ticker,
     weight, is_diversifier.
-
-    Weights carry four decimals, so rounding their sums removes only the noise of the summation order.
     """
     fresh = names.join(holdings.select("portfolio_id", "ticker"), ["portfolio_id", "ticker"], "left_anti")
     fresh = fresh.withColumn("conviction", F.coalesce("conviction", F.lit(default_conviction)))
@@ -85,7 +83,7 @@ def fund_sleeve(names: DataFrame, holdings: DataFrame, sleeve_pct: float = 0.15,
         order = Window.partitionBy("portfolio_id").orderBy(F.desc("conviction"), "ticker")
         fresh = fresh.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_names).drop("_k")
     existing = holdings.groupBy("portfolio_id").agg(
-        F.coalesce(F.round(F.sum(F.when(F.col("is_diversifier"), F.col("weight"))), 6), F.lit(0.0)).alias("existing"))
+        F.coalesce(F.sum(F.when(F.col("is_diversifier"), F.col("weight"))), F.lit(0.0)).alias("existing"))
     raw = F.col("conviction") / F.greatest(F.coalesce("vol", F.lit(default_vol)), F.lit(vol_floor))
     shared = with_group(fresh.withColumn("_raw", raw), ["portfolio_id"], _sum=F.sum("_raw"))
     existing_or_none = F.coalesce("existing", F.lit(0.0))  # a book without holdings has its whole budget
@@ -105,8 +103,9 @@ def apply_funding(holdings: DataFrame, funding: DataFrame) -> DataFrame:
     key = "portfolio_id"
     done = funding.join(holdings.select(key, "ticker"), [key, "ticker"], "left_semi").select(key).distinct()
     todo = funding.join(done, key, "left_anti")
-    scale = todo.groupBy(key).agg(
-        fixed((1 - F.max("existing") - F.round(F.sum("weight"), 6)) / F.nullif(1 - F.max("existing"), F.lit(0.0)), 4).alias("_scale"))
+    left = (1 - F.max("existing") - F.sum("weight")) / F.nullif(1 - F.max("existing"), F.lit(0.0))
+    # weights carry four decimals, so ten digits drop only the noise of the sums, and a half goes up whatever their order
+    scale = todo.groupBy(key).agg(F.round(F.round(left, 10), 4).alias("_scale"))
     scaled = F.col("_scale").isNotNull() & ~F.col("is_diversifier")
     weight = F.when(scaled, fixed(F.col("weight") * F.col("_scale"), 4)).otherwise(F.col("weight"))
     old = holdings.join(scale, key, "left").select(
